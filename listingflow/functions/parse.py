@@ -10,12 +10,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from . import vocab as v
-from .text import any_contains, blank_to_null, strip
+from .text import any_contains, blank_to_null, let, strip
 
 
 def _group(text: Column, pattern: str, index: int) -> Column:
     """Regex group as null when the pattern or the group does not match."""
-    return blank_to_null(F.regexp_extract(text, pattern, index))
+    return let(F.regexp_extract(text, pattern, index), blank_to_null)
+
+
+def _int_group(text: Column, pattern: str, index: int) -> Column:
+    """Regex group as a number; no match is no number.
+
+    The blank is tested first: a failing ``try_cast`` costs an exception per row.
+    """
+    return let(F.regexp_extract(text, pattern, index), lambda x: F.when(x != "", x.try_cast("int")))
 
 
 def _number(text: Column) -> Column:
@@ -28,8 +36,18 @@ def _month_number(name: Column) -> Column:
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
-    """Date from three integers; null when it does not exist."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    """Date from three integers; null when it does not exist.
+
+    Integer arithmetic only: the first of the month is safe to build, and the day
+    is checked against the length of the month.
+    """
+    def build(x: Column) -> Column:
+        y, m, d = x["y"], x["m"], x["d"]
+        usable = y.between(1, 9999) & m.between(1, 12) & (d >= 1)
+        first = F.when(usable, F.make_date(y, m, F.lit(1)))
+        return let(first, lambda f: F.when(d <= F.day(F.last_day(f)), F.date_add(f, d - 1)))
+
+    return let(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), build)
 
 
 # ---------------------------------------------------------------- price
@@ -41,10 +59,9 @@ def extract_price(text: Column, limit: float = v.PRICE_LIMIT_PARSE) -> Column:
         _group(text, "(?iu)" + v.PRICE_AMOUNT, 1),
         _group(text, "(?iu)" + v.PRICE_AMOUNT, 2),
     )
-    amount = _number(found)
-    return F.when(amount < limit, amount).when(
-        any_contains(F.lower(text), v.FREE_WORDS), F.lit(0.0)
-    )
+    below = let(_number(found), lambda x: F.when(x < limit, x))
+    free = F.when(any_contains(F.lower(text), v.FREE_WORDS), F.lit(0.0))
+    return F.coalesce(below, free)
 
 
 def card_price(text: Column) -> Column:
@@ -78,15 +95,18 @@ def infer_year(month: Column, day: Column, as_of: Column) -> Column:
     Null when the day does not exist in the current year.
     """
     this_year = F.year(as_of)
-    candidate = _day(this_year, month, day)
-    return F.when(candidate < F.date_sub(as_of, 30), this_year + 1).when(
-        candidate.isNotNull(), this_year
+    return let(
+        _day(this_year, month, day),
+        lambda d: F.when(d < F.date_sub(as_of, 30), this_year + 1).when(d.isNotNull(), this_year),
     )
 
 
 def yearless_date(month: Column, day: Column, as_of: Column) -> Column:
     """Date from day and month with the inferred year."""
-    return _day(infer_year(month, day, as_of), month, day)
+    return let(
+        F.struct(month.alias("m"), day.alias("d")),
+        lambda x: _day(infer_year(x["m"], x["d"], as_of), x["m"], x["d"]),
+    )
 
 
 def badge_date(day: Column, month_name: Column, as_of: Column) -> Column:
@@ -99,7 +119,7 @@ def normalize_date(text: Column, as_of: Column) -> Column:
     """Date from "15 de marzo" or "15 mar"."""
     low = F.lower(text)
     month = _month_number(F.substring(F.regexp_extract(low, v.DATE_DAY_MONTH, 2), 1, 3))
-    return yearless_date(month, _group(low, v.DATE_DAY_MONTH, 1).try_cast("int"), as_of)
+    return yearless_date(month, _int_group(low, v.DATE_DAY_MONTH, 1), as_of)
 
 
 def extract_date(
@@ -110,32 +130,39 @@ def extract_date(
     Only the first match of a layer is tried; a layer whose match is no date in
     the accepted years falls through to the next.
     """
-    def valid(d: Column) -> Column:
-        return F.when(F.year(d).between(year_min, year_max), d)
+    def valid(day: Column) -> Column:
+        return let(day, lambda d: F.when(F.year(d).between(year_min, year_max), d))
 
     iso = F.try_to_date(_group(text, v.DATE_ISO, 0), "yyyy-MM-dd")
 
     dmy_year = F.regexp_extract(text, v.DATE_DMY, 3)
-    full_year = F.when(F.length(dmy_year) == 2, F.concat(F.lit("20"), dmy_year)).otherwise(dmy_year)
+    full_year = let(dmy_year, lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y))
     dmy = _day(
-        full_year.try_cast("int"),
-        _group(text, v.DATE_DMY, 2).try_cast("int"),
-        _group(text, v.DATE_DMY, 1).try_cast("int"),
+        F.when(dmy_year != "", full_year.try_cast("int")),
+        _int_group(text, v.DATE_DMY, 2),
+        _int_group(text, v.DATE_DMY, 1),
     )
 
     def worded(pattern: str, day_group: int, month_group: int, year_group: int, short: bool) -> Column:
         flagged = "(?iU)" + pattern
-        name = F.lower(F.regexp_extract(text, flagged, month_group))
-        month = _month_number(name)
-        if short:
-            month = F.coalesce(
+
+        def month_of(name: Column) -> Column:
+            month = _month_number(name)
+            if not short:
+                return month
+            return F.coalesce(
                 month, F.when(F.length(name) > 3, _month_number(F.substring(name, 1, 3)))
             )
-        day = _group(text, flagged, day_group).try_cast("int")
-        year = F.coalesce(
-            _group(text, flagged, year_group).try_cast("int"), infer_year(month, day, as_of)
+
+        found = F.struct(
+            let(F.lower(F.regexp_extract(text, flagged, month_group)), month_of).alias("m"),
+            _int_group(text, flagged, day_group).alias("d"),
+            _int_group(text, flagged, year_group).alias("y"),
+        )
+        return let(
+            found,
+            lambda x: _day(F.coalesce(x["y"], infer_year(x["m"], x["d"], as_of)), x["m"], x["d"]),
         )
-        return _day(year, month, day)
 
     return F.coalesce(
         valid(iso),
@@ -202,12 +229,14 @@ def extract_hour(text: Column, improbable: Sequence[str] = v.IMPROBABLE_HOURS) -
     """HH:MM from "a las 19:30", a clock time, or "20 h"; amounts of money are not hours."""
     def clock(pattern: str, minutes: bool) -> Column:
         flagged = "(?iU)" + pattern
-        h = _group(text, flagged, 1).try_cast("int")
         m = F.regexp_extract(text, flagged, 2) if minutes else F.lit("00")
-        return F.when(h <= 23, F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), m))
+        return let(
+            _int_group(text, flagged, 1),
+            lambda h: F.when(h <= 23, F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), m)),
+        )
 
     hour = F.coalesce(clock(v.HOUR_AT, True), clock(v.HOUR_CLOCK, True), clock(v.HOUR_SHORT, False))
-    return F.when(~hour.isin(*improbable), hour)
+    return let(hour, lambda h: F.when(~h.isin(*improbable), h))
 
 
 def plain_hour(text: Column) -> Column:
@@ -221,18 +250,21 @@ def plain_hour(text: Column) -> Column:
 
 def hour_to_minutes(hour: Column) -> Column:
     """Minutes since midnight; -999 for a blank or unreadable hour."""
-    parts = F.split(F.coalesce(hour, F.lit("")), ":")
-    h, m = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
-    return F.coalesce(h * 60 + m, F.lit(v.NO_HOUR))
+    readable = hour.rlike(r"^\s*\d{1,6}\s*:\s*\d{1,6}\s*(:|$)")
+    parts = F.split(hour, ":")
+    minutes = parts[0].cast("int") * 60 + parts[1].cast("int")
+    return F.when(readable, minutes).otherwise(F.lit(v.NO_HOUR))
 
 
 # ---------------------------------------------------------------- urls
 def valid_image(url: Column, bad_tokens: Sequence[str] = v.BAD_IMAGE_TOKENS) -> Column:
-    u = strip(url)
-    good = F.startswith(u, F.lit("http")) & (F.length(u) >= v.MIN_IMAGE_URL)
-    if bad_tokens:
-        good = good & ~any_contains(F.lower(u), bad_tokens)
-    return F.when(good, u)
+    def keep(u: Column) -> Column:
+        good = F.startswith(u, F.lit("http")) & (F.length(u) >= v.MIN_IMAGE_URL)
+        if bad_tokens:
+            good = good & ~any_contains(F.lower(u), bad_tokens)
+        return F.when(good, u)
+
+    return let(strip(url), keep)
 
 
 def host_of(url: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import operator
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, functions as F
@@ -19,6 +19,11 @@ from . import vocab as v
 SPACES = r"(?U)\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_contains(text: Column, parts: Sequence[str]) -> Column:
     """True when ``text`` contains one of the literal ``parts``; null stays null.
 
@@ -67,7 +72,8 @@ def _fold_table() -> tuple[str, str]:
 def strip_marks(c: Column) -> Column:
     """Remove diacritics (canonical and compatibility forms of Latin letters)."""
     src, dst = _fold_table()
-    return F.translate(c, src, dst)
+    plain = F.length(c) == F.octet_length(c)  # ASCII needs no table
+    return F.when(plain, c).otherwise(F.translate(c, src, dst))
 
 
 def clean_text(c: Column) -> Column:

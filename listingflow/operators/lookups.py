@@ -15,15 +15,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import vocab as v
 from ..functions.flags import is_garbage_row, is_generic_place
 from ..functions.parse import address_in, page_venue_source
-from ..functions.text import fold, strip, strip_ai_tags
+from ..functions.text import fold, let, strip, strip_ai_tags
 from .survivors import keep_best
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _entries(rows: Sequence[Sequence], names: Sequence[str]) -> Column:
     return F.array(*[
         F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row)]) for row in rows

@@ -62,10 +62,10 @@ def rss_rows(df: DataFrame, site: str, as_of: dt.date, n: int = v.RSS_ITEMS) ->
 
 def ics_rows(df: DataFrame, stamp: str, uid_host: str = "listingflow") -> DataFrame:
     """One calendar document per dated listing; two hours long, or all day without an hour."""
+    timed = F.coalesce(F.col("hora").rlike(r"^\d{1,2}:\d{2}$"), F.lit(False))
     parts = F.split("hora", ":")
-    h, m = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
+    h, m = F.when(timed, parts[0].cast("int")), F.when(timed, parts[1].cast("int"))
     compact = F.date_format("fecha_iso", "yyyyMMdd")
-    timed = F.col("hora").isNotNull() & (F.col("hora") != "") & h.isNotNull()
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     end_h = F.least(h + 2, F.lit(23))
     end_m = F.when(h + 2 <= 23, m).otherwise(F.lit(59))
