@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
+from ..operators.facts import layered_facts
 from ..sources import feeds, listings, pages, payloads, sinks
 from . import sqltext as s
 from .registry import on_listing, query
@@ -203,7 +204,7 @@ def event_pages(spark, sf):
                 LIT('<div style="background-image: url('), LIT("'"), image, LIT("'"), LIT(')"></div><span class="badge">'),
                 F.coalesce("estilo", LIT(" ")), LIT('</span><div class="text-truncate">'), place, LIT("</div></article>"))
     section = TXT(LIT("<h3>1. "), name, LIT("</h3><ul><li>📍 : "), place, LIT("</li><li>🗓 "), F.col("fecha_raw"), LIT("</li><li>⏰ "),
-                  F.coalesce(hour, LIT("por confirmar")), LIT('</li><li>Entrada gratuita</li></ul><a href="'), F.col("url_venta"),
+                  F.coalesce(hour, LIT("por confirmar")), LIT('</li><li>Entrada gratis</li></ul><a href="'), F.col("url_venta"),
                   LIT('">Comprar</a><h3>Conclusión final</h3><p>Fin</p>'))
     html = TXT(LIT("<html><head>"), F.when(k % 2 == 0, TXT(LIT('<meta property="og:image" content="'), image, LIT('"/>'))).otherwise(""),
                script, LIT("</head><body>"), micro, section,
@@ -256,14 +257,11 @@ def _(spark, sf):
 
 
 @query("page_facts", f"""
-WITH {LISTING_SQL} SELECT id AS page_id, CASE WHEN id % 4 <> 3 AND precio_num IS NOT NULL THEN CAST(precio_num AS VARCHAR) END AS precio_jsonld,
-  CAST(coalesce(fecha_iso, CAST(strptime(fecha_raw, '%d/%m/%Y') AS DATE)) AS VARCHAR) AS fecha_iso FROM listing""")
+WITH {LISTING_SQL} SELECT id AS page_id, coalesce(CASE WHEN id % 4 <> 3 THEN CAST(precio_num AS VARCHAR) END, '0.0') AS precio_num,
+  CAST(coalesce(fecha_iso, CAST(strptime(fecha_raw, '%d/%m/%Y') AS DATE)) AS VARCHAR) AS fecha_iso,
+  {_HOUR} AS hora, CASE WHEN id % 4 <> 3 THEN lugar END AS lugar FROM listing""")
 def _(spark, sf):
-    from ..operators.facts import layered_facts
-    cand = pages.fact_candidates(event_pages(spark, sf), LIT(AS_OF))
-    ld = F.min(F.when((F.col("field") == "precio_num") & (F.col("layer") == 1), F.col("value"))).alias("precio_jsonld")
-    first = cand.groupBy("page_id").agg(ld)
-    return layered_facts(cand).select("page_id", "fecha_iso").join(first, "page_id")
+    return layered_facts(pages.fact_candidates(event_pages(spark, sf), LIT(AS_OF)))
 
 
 # ------------------------------------------------------------ table scans, sinks

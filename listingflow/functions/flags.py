@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from . import vocab as v
-from .text import any_contains, count_contains, fold, strip
+from .text import any_contains, count_contains, fold, let, strip
 
 
 def is_generic_title(title: Column, phrases: Sequence[str] = v.GENERIC_TITLE_PHRASES,
@@ -19,7 +19,7 @@ def is_generic_title(title: Column, phrases: Sequence[str] = v.GENERIC_TITLE_PHR
 
 def is_boilerplate(text: Column, phrases: Sequence[str] = v.BOILERPLATE_PHRASES) -> Column:
     """At least two legal or footer phrases."""
-    return count_contains(F.lower(F.coalesce(text, F.lit(""))), phrases) >= 2
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: count_contains(low, phrases) >= 2)
 
 
 def is_junk_title(title: Column) -> Column:

@@ -16,7 +16,7 @@ from ..functions.flags import is_boilerplate, is_generic_title
 from ..functions.parse import (
     extract_date, extract_hour, extract_price, prefer_ticket_link, resolve_url, valid_image,
 )
-from ..functions.text import any_contains, blank_to_null, clean_text, name_from_slug, strip
+from ..functions.text import any_contains, blank_to_null, clean_text, let, name_from_slug, strip
 from ..operators.survivors import first_seen
 
 # Description containers in order of preference, as (tag, attribute part).
@@ -192,51 +192,52 @@ def segment_sections(pages: DataFrame, as_of: Column, heading: str = "h3") -> Da
 
 
 # ---------------------------------------------------------------- JSON-LD
-def jsonld_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, item): every JSON-LD object; lists are opened."""
+def jsonld_items(html: Column) -> Column:
+    """Array of all JSON-LD objects of a page; lists are opened, bad scripts skipped."""
     pattern = r"<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"
-    scripts = pages.select(
-        "page_id", F.posexplode(F.regexp_extract_all("html", F.lit(DOTALL + pattern), 1)).alias("script", "json")
-    )
-    data = F.try_parse_json("json")
-    listed = F.try_variant_get(data, "$", "array<variant>")
-    return (
-        scripts.select("page_id", "script", F.posexplode(F.coalesce(listed, F.array(data))).alias("n", "item"))
-        .filter(F.col("item").isNotNull())
-    )
+    scripts = F.regexp_extract_all(html, F.lit(DOTALL + pattern), 1)
+
+    def opened(data: Column) -> Column:
+        return F.coalesce(F.try_variant_get(data, "$", "array<variant>"), F.array(data))
+
+    data = F.filter(F.transform(scripts, F.try_parse_json), lambda d: d.isNotNull())
+    return F.flatten(F.transform(data, opened))
 
 
 def _text_at(item: Column, path: str) -> Column:
-    return blank_to_null(F.try_variant_get(item, path, "string"))
+    return F.nullif(F.try_variant_get(item, path, "string"), F.lit(""))
+
+
+def _raw_text(item: Column, path: str) -> Column:
+    return F.try_variant_get(item, path, "string")
 
 
 def _first_text(item: Column, name: str, inner: Sequence[str]) -> Column:
     """Text of a member that may be a list, an object or plain text."""
-    paths = [f"$.{name}[0].{i}" for i in inner] + [f"$.{name}.{i}" for i in inner]
+    objects = [F.try_variant_get(item, f"$.{name}{at}", "map<string,variant>") for at in ("[0]", "")]
     plain = F.coalesce(_text_at(item, f"$.{name}[0]"), _text_at(item, f"$.{name}"))
-    is_object = F.try_variant_get(item, f"$.{name}", "map<string,variant>").isNotNull() | F.try_variant_get(
-        item, f"$.{name}[0]", "map<string,variant>"
-    ).isNotNull()
-    return F.coalesce(*[_text_at(item, p) for p in paths], F.when(~is_object, plain))
+    members = [_text_at(item, f"$.{name}{at}.{i}") for at in ("[0]", "") for i in inner]
+    return F.coalesce(*members, F.when(F.coalesce(*objects).isNull(), plain))
 
 
 def extract_jsonld(pages: DataFrame, as_of: Column, types: Sequence[str] = v.EVENT_TYPES) -> DataFrame:
-    """First event object of each page with price, date, hour, venue, image and offer link."""
-    items = jsonld_blocks(pages).filter(_text_at(F.col("item"), "$['@type']").isin(*types))
+    """First event object of each page with price, date, hour, venue, image and offer link.
+
+    Every step works inside the page's row, so nothing shuffles.
+    """
+    typed = F.filter(jsonld_items(F.col("html")), lambda i: _raw_text(i, "$['@type']").isin(*types))
     item = F.col("item")
-    flat = items.select(
-        "page_id", "script", "n",
-        _text_at(item, "$.name").alias("name"), _text_at(item, "$.startDate").alias("start"),
-        _first_text(item, "offers", ["price", "lowPrice"]).try_cast("double").alias("price"),
+    flat = pages.select("page_id", F.get(typed, F.lit(0)).alias("item")).filter(item.isNotNull()).select(
+        "page_id", _text_at(item, "$.name").alias("name"), _text_at(item, "$.startDate").alias("start"),
+        _first_text(item, "offers", ["price", "lowPrice"]).alias("price"),
         strip(_first_text(item, "location", ["name"])).alias("venue"),
         _first_text(item, "image", ["url"]).alias("image"),
         _first_text(item, "offers", ["url"]).alias("offer_url"),
     )
-    first = first_seen(flat, ["page_id"], ["script", "n"])
     start = F.col("start")
-    return first.select(
+    return flat.select(
         "page_id", "name", "start", extract_date(start, as_of).alias("day"),
-        extract_hour(start).alias("hour"), "price",
+        extract_hour(start).alias("hour"), F.col("price").try_cast("double").alias("price"),
         F.when(F.length("venue") > 2, F.col("venue")).alias("venue"),
         valid_image(F.col("image")).alias("image"),
         F.when(F.startswith("offer_url", F.lit("http")), F.col("offer_url")).alias("offer_url"),
@@ -245,20 +246,23 @@ def extract_jsonld(pages: DataFrame, as_of: Column, types: Sequence[str] = v.EVE
 
 def extract_article_date(pages: DataFrame, as_of: Column) -> DataFrame:
     """Publication date of the first article object, in a graph or at top level."""
-    items = jsonld_blocks(pages)
-    item = F.col("item")
-    graph = F.try_variant_get(item, "$['@graph']", "array<variant>")
-    top = items.select("page_id", "script", F.lit(-1).alias("m"), "n", "item",
-                       F.lit(False).alias("in_graph")).filter(graph.isNull())
-    nested = items.select("page_id", "script", "n", F.posexplode(graph).alias("m", "item")).select(
-        "page_id", "script", "m", "n", "item", F.lit(True).alias("in_graph"))
-    kind = _text_at(F.col("item"), "$['@type']")
-    rows = top.unionByName(nested).withColumn("published", _text_at(F.col("item"), "$.datePublished"))
-    typed = F.when(F.col("in_graph"), kind.isin(*v.GRAPH_ARTICLE_TYPES)).otherwise(kind.isin(*v.ARTICLE_TYPES))
-    rows = rows.filter(typed & F.col("published").isNotNull()).drop("item")
-    return first_seen(rows, ["page_id"], ["script", "n", "m"]).select(
-        "page_id", "published", extract_date(F.col("published"), as_of).alias("day"),
-        extract_hour(F.col("published")).alias("hour"),
+    def dated(kinds: Sequence[str]):
+        return lambda i: _raw_text(i, "$['@type']").isin(*kinds) & _raw_text(i, "$.datePublished").isNotNull()
+
+    def articles(item: Column) -> Column:
+        graph = F.try_variant_get(item, "$['@graph']", "array<variant>")
+        return F.coalesce(
+            F.filter(graph, dated(v.GRAPH_ARTICLE_TYPES)), F.filter(F.array(item), dated(v.ARTICLE_TYPES))
+        )
+
+    found = F.flatten(F.transform(jsonld_items(F.col("html")), articles))
+    published = F.col("published")
+    return (
+        pages.select("page_id", F.get(found, F.lit(0)).alias("item"))
+        .select("page_id", _text_at(F.col("item"), "$.datePublished").alias("published"))
+        .filter(published.isNotNull())
+        .select("page_id", "published", extract_date(published, as_of).alias("day"),
+                extract_hour(published).alias("hour"))
     )
 
 
@@ -279,15 +283,16 @@ def extract_paragraphs(pages: DataFrame, containers: Sequence[tuple[str, str]] =
     """Description of each page: first container with enough text, else loose paragraphs."""
     html = F.regexp_replace("html", r"(?is)<(script|style|nav|footer)\b.*?</(script|style|nav|footer)>", " ")
     body = pages.select("page_id", "url", html.alias("body"))
-    text = F.lit(None).cast("string")
-    for tag, mark in reversed(containers):
-        inside = _pick(F.col("body"), rf"<{tag}\b[^>]*{mark}[^>]*>(.*?)</(?:{tag})>")
-        found = _paragraphs(inside, 5)
-        text = F.when(
-            (F.length(found) > min_text) & ~is_boilerplate(found), found
-        ).otherwise(text)
-    loose = blank_to_null(_paragraphs(F.col("body"), 20))
-    return body.select("page_id", "url", F.coalesce(text, loose).alias("descripcion"))
+
+    def usable(found: Column) -> Column:
+        return F.when((F.length(found) > min_text) & ~is_boilerplate(found), found)
+
+    layers = [
+        let(_paragraphs(_pick(F.col("body"), rf"<{tag}\b[^>]*{mark}[^>]*>(.*?)</(?:{tag})>"), 5), usable)
+        for tag, mark in containers
+    ]
+    loose = F.nullif(_paragraphs(F.col("body"), 20), F.lit(""))
+    return body.select("page_id", "url", F.coalesce(*layers, loose).alias("descripcion"))
 
 
 def image_candidates(pages: DataFrame) -> DataFrame:
@@ -325,38 +330,52 @@ def extract_heading(pages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- fact layers
 def fact_candidates(pages: DataFrame, as_of: Column, *, text_size: int | None = None) -> DataFrame:
-    """(page_id, field, layer, ord, value) from JSON-LD, marked elements, ``time`` tags and text."""
-    ld = extract_jsonld(pages, as_of)
-    layers = [
-        ld.select("page_id", F.lit(1).alias("layer"), F.lit(0).alias("ord"),
-                  F.col("price").cast("string").alias("precio_num"), F.col("day").cast("string").alias("fecha_iso"),
-                  F.col("hour").alias("hora"), F.col("venue").alias("lugar"))
-    ]
+    """(page_id, field, layer, ord, value) from JSON-LD, marked elements, ``time`` tags and text.
+
+    One pass over the pages.  ``text_size`` limits the text layer; the default
+    reads the whole visible text.
+    """
     html = F.col("html")
-    none = F.lit(None).cast("string")
-    price = blank_to_null(tag_text(_pick(html, r"class=\"[^\"]*(?:price|precio|tarifa)[^\"]*\"[^>]*>(.*?)</")))
-    date = blank_to_null(tag_text(_pick(html, r"class=\"[^\"]*(?:date|fecha)[^\"]*\"[^>]*>(.*?)</")))
-    venue = blank_to_null(tag_text(_pick(html, r"class=\"[^\"]*(?:venue|location|lugar|recinto)[^\"]*\"[^>]*>(.*?)</")))
-    layers.append(pages.select(
-        "page_id", F.lit(2).alias("layer"), F.lit(0).alias("ord"),
-        extract_price(price).cast("string").alias("precio_num"),
-        extract_date(date, as_of).cast("string").alias("fecha_iso"), extract_hour(date).alias("hora"),
-        venue.alias("lugar")))
-    times = pages.select("page_id", F.posexplode(F.slice(
-        F.regexp_extract_all("html", F.lit(r"(?is)<time\b[^>]*datetime=\"([^\"]*)\""), 1), 1, 5)).alias("ord", "at"))
-    layers.append(times.select(
-        "page_id", F.lit(3).alias("layer"), "ord", none.alias("precio_num"),
-        extract_date(F.col("at"), as_of).cast("string").alias("fecha_iso"),
-        extract_hour(F.col("at")).alias("hora"), none.alias("lugar")))
+
+    def marked(names: str) -> Column:
+        return tag_text(_pick(html, rf"class=\"[^\"]*(?:{names})[^\"]*\"[^>]*>(.*?)</"))
+
+    typed = F.filter(jsonld_items(html), lambda i: _raw_text(i, "$['@type']").isin(*v.EVENT_TYPES))
     text = tag_text(html)
-    text = F.substring(text, 1, text_size) if text_size else text
-    layers.append(pages.select(
-        "page_id", F.lit(4).alias("layer"), F.lit(0).alias("ord"),
-        extract_price(text).cast("string").alias("precio_num"),
-        extract_date(text, as_of).cast("string").alias("fecha_iso"), extract_hour(text).alias("hora"),
-        none.alias("lugar")))
-    wide = layers[0]
-    for layer in layers[1:]:
-        wide = wide.unionByName(layer)
-    return wide.unpivot(["page_id", "layer", "ord"], ["precio_num", "fecha_iso", "hora", "lugar"],
-                        "field", "value").filter("value IS NOT NULL")
+    parts = pages.select(
+        "page_id", F.get(typed, F.lit(0)).alias("item"), marked("price|precio|tarifa").alias("price"),
+        marked("date|fecha").alias("date"), marked("venue|location|lugar|recinto").alias("venue"),
+        F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<time\b[^>]*datetime=\"([^\"]*)\""), 1), 1, 5).alias("times"),
+        (F.substring(text, 1, text_size) if text_size else text).alias("text"),
+    )
+    item = F.col("item")
+    parts = parts.withColumns({
+        "start": _text_at(item, "$.startDate"),
+        "ld_price": _first_text(item, "offers", ["price", "lowPrice"]),
+        "ld_venue": strip(_first_text(item, "location", ["name"])),
+    })
+
+    def fact(field: str, layer: int, value: Column, ord_: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(field).alias("field"), F.lit(layer).alias("layer"),
+            (F.lit(0) if ord_ is None else ord_).alias("ord"), value.cast("string").alias("value"),
+        )
+
+    def day(c: Column) -> Column:
+        return extract_date(c, as_of)
+
+    price, date, body, start = F.col("price"), F.col("date"), F.col("text"), F.col("start")
+    fixed = F.array(
+        fact("precio_num", 1, F.col("ld_price").try_cast("double")), fact("fecha_iso", 1, day(start)),
+        fact("hora", 1, extract_hour(start)), fact("lugar", 1, F.when(F.length("ld_venue") > 2, F.col("ld_venue"))),
+        fact("precio_num", 2, extract_price(price)), fact("fecha_iso", 2, day(date)),
+        fact("hora", 2, extract_hour(date)), fact("lugar", 2, F.nullif("venue", F.lit(""))),
+        fact("precio_num", 4, extract_price(body)), fact("fecha_iso", 4, day(body)),
+        fact("hora", 4, extract_hour(body)),
+    )
+    timed = F.flatten(F.transform("times", lambda t, i: F.array(
+        fact("fecha_iso", 3, day(t), i), fact("hora", 3, extract_hour(t), i))))
+    return (
+        parts.select("page_id", F.explode(F.concat(fixed, timed)).alias("f"))
+        .select("page_id", "f.*").filter("value IS NOT NULL")
+    )
