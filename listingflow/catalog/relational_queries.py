@@ -226,10 +226,14 @@ SELECT *, row_number() OVER (PARTITION BY fecha_iso ORDER BY coalesce(hora, ''),
     lambda df: survivors.top_n_per_day(df, 4).select("id", "fecha_iso", "place", "total", "rest"))
 
 # ------------------------------------------------------------ sets
+def _no_data():
+    raise OSError("source is down")
+
+
 on_listing("union_sources", "SELECT organiza, count(*) AS total FROM (SELECT * FROM listing WHERE organiza = 'CICCA' UNION ALL SELECT * FROM listing WHERE organiza <> 'CICCA') GROUP BY organiza")(
     lambda df: aggregates.source_counts(sets.union_sources({
         "a": df.filter("organiza = 'CICCA'"), "b": lambda: df.filter("organiza <> 'CICCA'").drop("estilo"),
-        "broken": lambda: df.select("no_such_column")})[0]))
+        "broken": _no_data})[0]))
 on_listing("fallback_source", "SELECT id FROM listing WHERE organiza = 'CICCA'")(
     lambda df: sets.fallback_source(df.filter("organiza = 'nadie'").select("id"), df.filter("organiza = 'CICCA'").select("id")))
 on_listing("fallback_unused", "SELECT id FROM listing WHERE organiza = 'Tickety'")(

@@ -88,9 +88,9 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         k.alias("id"), title.alias("nombre"), place.alias("lugar"),
         text(s(F.day("day")), lit("/"), s(F.month("day")), lit("/"), s(F.year("day"))).alias("fecha_raw"),
-        F.when(k % 7 != 0, F.col("day")).alias("fecha_iso"),
+        F.when(k % 7 == 0, None).when(k % 3 == 0, F.trunc("day", "month")).otherwise(F.col("day")).alias("fecha_iso"),
         case(F.col("c_mktsegment"), {a: lit(b) for a, b in SOURCES.items()}).alias("organiza"),
-        text(host, F.replace(name, lit(" "), lit("-")), lit("/"), s(k % 500),
+        text(host, F.replace(name, lit(" "), lit("-")), lit("/"), s(k % 3),
              F.when(k % 3 == 0, "?ref=x").otherwise("")).alias("url_venta"),
         F.when(k % 12 == 0, None).when(k % 13 == 0, lit("data:image/png;base64,AAAA")).otherwise(
             text(lit("https://img.example.com/"), s(k), lit(".jpg"))).alias("imagen_url"),
@@ -125,11 +125,11 @@ SELECT o_orderkey AS id,
   CASE WHEN o_orderkey % 6 = 0 THEN 'Gran Canaria' WHEN o_orderkey % 71 = 0 THEN NULL
        ELSE ({PLACES_SQL})[n_nationkey + 1] END AS lugar,
   day(day) || '/' || month(day) || '/' || year(day) AS fecha_raw,
-  CASE WHEN o_orderkey % 7 <> 0 THEN day END AS fecha_iso,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN CAST(date_trunc('month', day) AS DATE) ELSE day END AS fecha_iso,
   {_case_sql('c_mktsegment', SOURCES)} AS organiza,
   (['https://www.tomaticket.es/es-es/evento/', 'https://tickety.es/event/',
     'https://teatrocuyas.com/evento/', 'https://shop.example.com/entradas/'])[o_custkey % 4 + 1]
-    || replace(p_name, ' ', '-') || '/' || (o_orderkey % 500)
+    || replace(p_name, ' ', '-') || '/' || (o_orderkey % 3)
     || CASE WHEN o_orderkey % 3 = 0 THEN '?ref=x' ELSE '' END AS url_venta,
   CASE WHEN o_orderkey % 12 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'data:image/png;base64,AAAA'
        ELSE 'https://img.example.com/' || o_orderkey || '.jpg' END AS imagen_url,

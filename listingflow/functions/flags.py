@@ -13,8 +13,10 @@ from .text import any_contains, count_contains, fold, let, strip
 def is_generic_title(title: Column, phrases: Sequence[str] = v.GENERIC_TITLE_PHRASES,
                      words: Sequence[str] = v.CATEGORY_WORDS) -> Column:
     """A portal phrase or a bare category word instead of an event title."""
-    low = strip(F.lower(F.coalesce(title, F.lit(""))))
-    return (F.length(low) < 3) | low.isin(*words) | any_contains(low, phrases)
+    return let(
+        strip(F.lower(F.coalesce(title, F.lit("")))),
+        lambda low: (F.length(low) < 3) | low.isin(*words) | any_contains(low, phrases),
+    )
 
 
 def is_boilerplate(text: Column, phrases: Sequence[str] = v.BOILERPLATE_PHRASES) -> Column:
@@ -24,24 +26,23 @@ def is_boilerplate(text: Column, phrases: Sequence[str] = v.BOILERPLATE_PHRASES)
 
 def is_junk_title(title: Column) -> Column:
     """Title that should not be published; its row becomes a draft."""
-    t = strip(F.coalesce(title, F.lit("")))
-    return (
-        F.lower(t).isin(*v.JUNK_TITLES)
+    return let(
+        strip(F.coalesce(title, F.lit(""))),
+        lambda t: F.lower(t).isin(*v.JUNK_TITLES)
         | (F.length(t) < 2)
         | (F.length(t) >= 110)
         | t.rlike("(?U)" + v.TWO_NUMBER_GROUPS)
-        | F.endswith(t, F.lit("..."))
+        | F.endswith(t, F.lit("...")),
     )
 
 
 def is_garbage_row(title: Column, place: Column) -> Column:
     """Row to delete: hardly a title, only digits, or the title repeats the place."""
-    t = strip(F.coalesce(title, F.lit("")))
-    folded = fold(t)
-    return (
-        (F.length(t) < 3)
+    return let(
+        strip(F.coalesce(title, F.lit(""))),
+        lambda t: (F.length(t) < 3)
         | t.rlike("(?U)" + v.DIGITS_ONLY_NAME)
-        | ((folded != "") & (folded == fold(place)))
+        | let(fold(t), lambda folded: (folded != "") & (folded == fold(place))),
     )
 
 

@@ -72,8 +72,12 @@ def _fold_table() -> tuple[str, str]:
 def strip_marks(c: Column) -> Column:
     """Remove diacritics (canonical and compatibility forms of Latin letters)."""
     src, dst = _fold_table()
-    plain = F.length(c) == F.octet_length(c)  # ASCII needs no table
-    return F.when(plain, c).otherwise(F.translate(c, src, dst))
+
+    def fold_one(x: Column) -> Column:
+        plain = F.length(x) == F.octet_length(x)  # ASCII needs no table
+        return F.when(plain, x).otherwise(F.translate(x, src, dst))
+
+    return let(c, fold_one)
 
 
 def clean_text(c: Column) -> Column:
@@ -123,21 +127,24 @@ def canonical_venue(
     max_length: int = 150,
 ) -> Column:
     """Known venue names from free place text; narrative text becomes null."""
-    place = strip(F.coalesce(c, F.lit("")))
-    folded = ascii_only(F.lower(place))
-    named = F.lit(None).cast("string")
-    for alternatives, name in reversed(aliases):
-        hit = F.lit(False)
-        for parts in alternatives:
-            every = F.lit(True)
-            for part in parts:
-                every = every & F.contains(folded, F.lit(part))
-            hit = hit | every
-        named = F.when(hit, F.lit(name)).otherwise(named)
-    rejected = (
-        (place == "") | (F.length(place) > max_length) | any_contains(F.lower(place), leaks)
-    )
-    return F.when(~rejected, F.coalesce(named, place))
+    def alias(folded: Column) -> Column:
+        named = F.lit(None).cast("string")
+        for alternatives, name in reversed(aliases):
+            hit = F.lit(False)
+            for parts in alternatives:
+                every = F.lit(True)
+                for part in parts:
+                    every = every & F.contains(folded, F.lit(part))
+                hit = hit | every
+            named = F.when(hit, F.lit(name)).otherwise(named)
+        return named
+
+    def resolve(place: Column) -> Column:
+        low = F.lower(place)
+        rejected = (place == "") | (F.length(place) > max_length) | any_contains(low, leaks)
+        return F.when(~rejected, F.coalesce(let(ascii_only(low), alias), place))
+
+    return let(strip(F.coalesce(c, F.lit(""))), resolve)
 
 
 def canonical_title(c: Column, stop_phrases: Sequence[str] = v.TITLE_STOP_PHRASES) -> Column:

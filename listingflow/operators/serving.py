@@ -90,10 +90,11 @@ def search_index(df: DataFrame, *, key: str, fields: dict[str, str],
     ``fields`` maps a column to its weight class.  All tokens of a row come from
     one map task, so the partial aggregate folds them before the shuffle.
     """
-    parts = []
-    for column, cls in fields.items():
+    def weighted(column: str, weight: float) -> Column:
         tokens = F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"[^\p{L}\p{N}]+")
-        parts.append(F.transform(tokens, lambda t, w=weights[cls]: F.struct(t.alias("token"), F.lit(w).alias("w"))))
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(weight).alias("w")))
+
+    parts = [weighted(column, weights[cls]) for column, cls in fields.items()]
     rows = df.select(F.col(key), F.explode(F.concat(*parts)).alias("t")).select(key, "t.token", "t.w")
     return (
         rows.filter((F.col("token") != "") & ~F.col("token").isin(*stop_words))
