@@ -214,7 +214,7 @@ SELECT m.id, d.descripcion AS descripcion, i.imagen_url AS imagen_url, n AS copi
 
 def _merge(df):
     from ..operators.resolve import merge_clusters
-    return merge_clusters(df)
+    return merge_clusters(df).drop("cluster")
 
 
 query("first_seen", f"SELECT conv_id, turn, role FROM ({s.first_row('conversations', 'conv_id, role', 'turn')})")(

@@ -32,7 +32,7 @@ on_listing("similar_pairs")(lambda df: resolve.similar_pairs(
     title=canonical_title(F.col("nombre")), rank=survivors.survivor_rank()))
 on_listing("fuzzy_cluster")(lambda df: resolve.fuzzy_cluster(_ready(df)).select("id", "fecha_iso", "cluster"))
 on_listing("hour_subgroups")(lambda df: _subgroups(resolve.fuzzy_cluster(_ready(df))))
-on_listing("session_survivors")(lambda df: resolve.session_survivors(resolve.fuzzy_cluster(_ready(df))).select("id", "cluster", "merged_from_sources"))
+on_listing("session_survivors")(lambda df: refine.resolve(quality.sanitize(df, F.lit(AS_OF))).select("id", "cluster", "merged_from_sources"))
 on_listing("table_clusters")(lambda df: resolve.table_clusters(df).select("id", "cluster"))
 on_listing("clean_table")(lambda df: resolve.clean_table(df).select("id", "nombre", F.length("descripcion").alias("size"), "imagen_url"))
 on_listing("refine")(lambda df: refine.refine(df, AS_OF).select(

@@ -33,8 +33,21 @@ SOURCES = {
 STYLES = {"1-URGENT": "Música", "2-HIGH": "Teatro", "3-MEDIUM": "Cine", "5-LOW": "Humor"}
 
 
+FEW_SPLITS = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.
+
+    The small scale factors are single files with one row group, which is one
+    scan task however many cores there are.  Such an input (known from the plan's
+    size estimate) is dealt out to all cores; a real table has many splits and is
+    read as it is, without that exchange.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if (256 << 10) < size < FEW_SPLITS else df
 
 
 def case(key: Column, mapping: dict) -> Column:
@@ -60,47 +73,35 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(p, F.col("p_partkey") == F.col("o_custkey"))
     )
-    k, name = F.col("o_orderkey"), F.col("p_name")
-    text = F.concat
-    lit = F.lit
-    s = lambda c: c.cast("string")
-    title = (
-        F.when(k % 97 == 0, text(lit("Entradas para "), name))
-        .when(k % 89 == 0, text(lit("Youtube "), name))
-        .when(k % 83 == 0, text(name, lit("...")))
-        .when(k % 79 == 0, lit("12-3"))
-        .when(k % 5 == 0, text(name, lit(" en concierto")))
-        .when(k % 5 == 1, text(lit("Concierto de "), name))
-        .when(k % 5 == 2, text(F.upper(name), lit(" | Las Palmas de Gran Canaria")))
-        .otherwise(name)
-    )
-    place = F.when(k % 6 == 0, lit("Gran Canaria")).when(k % 71 == 0, None).otherwise(
-        F.element_at(F.array(*[lit(x) for x in PLACES]), F.col("n_nationkey") + 1))
-    about = text(lit("Cita "), F.lower("p_type"), lit(" con "), name, lit(" en Plaza "), F.col("n_name"),
-                 lit(", "), F.col("c_name"), lit(". "))
-    extra = F.when(k % 31 == 0, "Nos vemos en el Teatro Cuyás").when(
-        k % 37 == 0, "Entrada libre, aviso legal y cookies").otherwise("")
-    host = case(F.col("o_custkey") % 4, {
-        0: lit("https://www.tomaticket.es/es-es/evento/"), 1: lit("https://tickety.es/event/"),
-        2: lit("https://teatrocuyas.com/evento/"), 3: lit("https://shop.example.com/entradas/")})
-    hour = F.when(k % 4 == 0, None).when(k % 11 == 0, lit("")).otherwise(
-        text(F.lpad(s(k % 24), 2, "0"), F.when(k % 2 == 0, ":00").otherwise(":30")))
-    return rows.select(
-        k.alias("id"), title.alias("nombre"), place.alias("lugar"),
-        text(s(F.day("day")), lit("/"), s(F.month("day")), lit("/"), s(F.year("day"))).alias("fecha_raw"),
-        F.when(k % 7 == 0, None).when(k % 3 == 0, F.trunc("day", "month")).otherwise(F.col("day")).alias("fecha_iso"),
-        case(F.col("c_mktsegment"), {a: lit(b) for a, b in SOURCES.items()}).alias("organiza"),
-        text(host, F.replace(name, lit(" "), lit("-")), lit("/"), s(k % 3),
-             F.when(k % 3 == 0, "?ref=x").otherwise("")).alias("url_venta"),
-        F.when(k % 12 == 0, None).when(k % 13 == 0, lit("data:image/png;base64,AAAA")).otherwise(
-            text(lit("https://img.example.com/"), s(k), lit(".jpg"))).alias("imagen_url"),
-        F.when(k % 8 != 0, text(F.repeat(about, (F.col("p_size") % 7 + 1).cast("int")), extra)).alias("descripcion"),
-        case(F.col("o_orderpriority"), {a: lit(b) for a, b in STYLES.items()}).alias("estilo"),
-        F.when(k % 3 != 0, F.lit(27.7) + F.col("n_nationkey") * 0.02).alias("latitud"),
-        F.when(k % 3 != 0, F.lit(-15.8) + F.col("n_nationkey") * 0.02).alias("longitud"),
-        F.when(k % 9 == 0, None).when(k % 10 == 3, lit(0.0)).otherwise(
-            F.floor(F.col("o_totalprice") / 10) / 100.0).alias("precio_num"),
-        hour.alias("hora"), lit("upcoming").alias("estado"), (k % 2 == 1).alias("enriquecido"),
+    k = "o_orderkey"
+    places = "array(" + ", ".join(f"'{x}'" for x in PLACES) + ")"
+    return rows.selectExpr(
+        f"{k} AS id",
+        f"""CASE WHEN {k} % 97 = 0 THEN concat('Entradas para ', p_name) WHEN {k} % 89 = 0 THEN concat('Youtube ', p_name)
+            WHEN {k} % 83 = 0 THEN concat(p_name, '...') WHEN {k} % 79 = 0 THEN '12-3'
+            WHEN {k} % 5 = 0 THEN concat(p_name, ' en concierto') WHEN {k} % 5 = 1 THEN concat('Concierto de ', p_name)
+            WHEN {k} % 5 = 2 THEN concat(upper(p_name), ' | Las Palmas de Gran Canaria') ELSE p_name END AS nombre""",
+        f"""CASE WHEN {k} % 6 = 0 THEN 'Gran Canaria' WHEN {k} % 71 = 0 THEN NULL
+            ELSE element_at({places}, n_nationkey + 1) END AS lugar""",
+        "concat(day(day), '/', month(day), '/', year(day)) AS fecha_raw",
+        f"CASE WHEN {k} % 7 = 0 THEN NULL WHEN {k} % 3 = 0 THEN trunc(day, 'month') ELSE day END AS fecha_iso",
+        f"{_case_sql('c_mktsegment', SOURCES)} AS organiza",
+        f"""concat(element_at(array('https://www.tomaticket.es/es-es/evento/', 'https://tickety.es/event/',
+            'https://teatrocuyas.com/evento/', 'https://shop.example.com/entradas/'), CAST(o_custkey % 4 + 1 AS INT)),
+            replace(p_name, ' ', '-'), '/', {k} % 3, CASE WHEN {k} % 3 = 0 THEN '?ref=x' ELSE '' END) AS url_venta""",
+        f"""CASE WHEN {k} % 12 = 0 THEN NULL WHEN {k} % 13 = 0 THEN 'data:image/png;base64,AAAA'
+            ELSE concat('https://img.example.com/', {k}, '.jpg') END AS imagen_url""",
+        f"""CASE WHEN {k} % 8 <> 0 THEN concat(
+            repeat(concat('Cita ', lower(p_type), ' con ', p_name, ' en Plaza ', n_name, ', ', c_name, '. '), CAST(p_size % 7 + 1 AS INT)),
+            CASE WHEN {k} % 31 = 0 THEN 'Nos vemos en el Teatro Cuyás' WHEN {k} % 37 = 0
+                 THEN 'Entrada libre, aviso legal y cookies' ELSE '' END) END AS descripcion""",
+        f"{_case_sql('o_orderpriority', STYLES)} AS estilo",
+        f"CASE WHEN {k} % 3 <> 0 THEN 27.7D + n_nationkey * 0.02D END AS latitud",
+        f"CASE WHEN {k} % 3 <> 0 THEN -15.8D + n_nationkey * 0.02D END AS longitud",
+        f"CASE WHEN {k} % 9 = 0 THEN NULL WHEN {k} % 10 = 3 THEN 0D ELSE floor(o_totalprice / 10) / 100D END AS precio_num",
+        f"""CASE WHEN {k} % 4 = 0 THEN NULL WHEN {k} % 11 = 0 THEN ''
+            ELSE concat(lpad(CAST({k} % 24 AS STRING), 2, '0'), CASE WHEN {k} % 2 = 0 THEN ':00' ELSE ':30' END) END AS hora""",
+        "'upcoming' AS estado", f"{k} % 2 = 1 AS enriquecido",
     )
 
 

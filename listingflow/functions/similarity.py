@@ -7,12 +7,18 @@ among "common" and "common + rest" of both sides.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+# The kernel travels with the UDF, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WORD = 64  # bits of one machine word in the vectorised LCS
 
 
@@ -50,7 +56,6 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-@lru_cache(maxsize=1 << 17)
 def title_score(a: str, b: str, use_ratio: bool = True) -> float:
     """max(ratio, token_set_ratio), or the latter alone."""
     score = token_set_ratio(a, b)
@@ -61,15 +66,21 @@ def title_similarity(a: Column, b: Column, use_ratio: bool = True) -> Column:
     """Similarity of two title columns, in Arrow batches; null when either is null."""
 
     @F.pandas_udf("double")
-    def score(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if x is None or y is None else title_score(x, y, use_ratio)
-            for x, y in zip(left, right)
-        ], dtype="float64")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        cached = cached_score(use_ratio)
+        for left, right in batches:
+            yield pd.Series([
+                None if x is None or y is None else cached(x, y) for x, y in zip(left, right)
+            ], dtype="float64")
 
     return score(a, b)
 
 
+def cached_score(use_ratio: bool, size: int = 1 << 17):
+    """``title_score`` with a bounded cache, made once per task: titles recur across blocks."""
+    return lru_cache(maxsize=size)(lambda a, b: title_score(a, b, use_ratio))
+
+
 class Leaders:
     """Ordered cluster leaders; ``first`` finds the earliest one similar to a title.
 
@@ -80,8 +91,9 @@ class Leaders:
 
     SMALL = 24
 
-    def __init__(self, threshold: float, use_ratio: bool):
+    def __init__(self, threshold: float, use_ratio: bool, score=None):
         self.threshold, self.use_ratio = threshold, use_ratio
+        self.score = score or (lambda a, b: title_score(a, b, use_ratio))
         self.names: list[str] = []
         self.by_token: dict[str, list[int]] = {}
         self.letters: dict[str, int] = {}
@@ -101,7 +113,7 @@ class Leaders:
         """Position of the first leader with a score at the threshold, else -1."""
         if len(self.names) <= self.SMALL:
             for i, leader in enumerate(self.names):
-                if title_score(name, leader, self.use_ratio) >= self.threshold:
+                if self.score(name, leader) >= self.threshold:
                     return i
             return -1
         tokens = set(name.split())

@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import vocab as v
 from ..functions.flags import is_generic_place, is_generic_title
 from ..functions.parse import hour_to_minutes
-from ..functions.similarity import Leaders, follow_leaders
+from ..functions.similarity import Leaders, cached_score, follow_leaders
 from ..functions.text import canonical_title, fold, occurrence_key, strip
-from ..session import settle
+from ..session import python_partitions, settle
 from .survivors import keep_best, master_rank, quality_score, survivor_rank
 
 CHUNK = 4096
@@ -40,9 +40,10 @@ SLICE = 20_000
 def _solve_udf(threshold: float, use_ratio: bool):
     @F.pandas_udf("array<string>")
     def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = cached_score(use_ratio)
         for lists in batches:
             yield pd.Series([
-                follow_leaders(titles, Leaders(threshold, use_ratio)) for titles in lists
+                follow_leaders(titles, Leaders(threshold, use_ratio, score)) for titles in lists
             ])
 
     return solve
@@ -50,7 +51,8 @@ def _solve_udf(threshold: float, use_ratio: bool):
 
 def _solve_blocks(titles: DataFrame, threshold: float, use_ratio: bool) -> DataFrame:
     """(block, title, leader) for blocks that fit in one array."""
-    packed = titles.groupBy("block").agg(
+    spread = titles.repartition(python_partitions(titles.sparkSession), "block")
+    packed = spread.groupBy("block").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]
         ).alias("titles")
@@ -100,6 +102,7 @@ def assign_leaders(
             "leader": [leaders.names[i] if i >= 0 else None for i in hits],
         })
 
+    parts = python_partitions(titles.sparkSession)
     while True:
         solved = settle(_solve_blocks(_first_chunk(todo, "block", chunk), threshold, use_ratio))
         decided.append(solved)
@@ -114,8 +117,9 @@ def assign_leaders(
         order = F.row_number().over(W.partitionBy("block", "slice").orderBy("place"))
         new_leaders = new_leaders.withColumn("place", order)
         compared = settle(
-            rest.select("block", "title", "slice").groupBy("block", "slice")
-            .cogroup(new_leaders.groupBy("block", "slice"))
+            rest.select("block", "title", "slice").repartition(parts, "block", "slice")
+            .groupBy("block", "slice")
+            .cogroup(new_leaders.repartition(parts, "block", "slice").groupBy("block", "slice"))
             .applyInPandas(compare, "block string, title string, leader string")
         )
         decided.append(compared.filter("leader IS NOT NULL"))
@@ -133,9 +137,9 @@ def cluster_titles(
     """Add ``block`` and ``leader`` to every row; rows keep their payload."""
     rows = df.withColumn("block", block).withColumn("title", title)
     titles = rows.withColumn("rank", rank).groupBy("block", "title").agg(F.min("rank").alias("rank"))
-    leaders = assign_leaders(
+    leaders = settle(assign_leaders(
         titles, threshold=threshold, use_ratio=use_ratio, chunk=chunk, slice_size=slice_size
-    )
+    ))
     return rows.join(leaders, ["block", "title"])
 
 
@@ -221,7 +225,8 @@ def hour_subgroups(
     group = _sessions_udf(gap, no_hour)
 
     def solve(df: DataFrame) -> DataFrame:
-        packed = df.groupBy("cluster").agg(
+        spread = df.repartition(python_partitions(df.sparkSession), "cluster")
+        packed = spread.groupBy("cluster").agg(
             F.array_sort(F.collect_list(F.struct("rank", "minute"))).alias("items"),
             F.first("state", ignorenulls=True).alias("state"),
         )
@@ -299,31 +304,32 @@ def merged_sources(clustered: DataFrame, key: str = "cluster") -> DataFrame:
     )
 
 
-def session_survivors(clustered: DataFrame, *, gap: int = v.SESSION_GAP_MINUTES,
-                      chunk: int = CHUNK) -> DataFrame:
+def session_survivors(clustered: DataFrame, *, rows: DataFrame | None = None,
+                      gap: int = v.SESSION_GAP_MINUTES, chunk: int = CHUNK) -> DataFrame:
     """Best row of every session of every cluster, with the cluster's sources.
 
-    Only key, order, minute and score travel through the grouping; the listings
-    themselves are joined back once, by id.
+    Only key, order, minute, place and score travel through the grouping; the
+    listings (``rows``, by default ``clustered``) are joined once, by id.
     """
-    clustered = settle(clustered)
     minute = F.when(is_generic_place(F.col("lugar")), F.lit(v.NO_HOUR)).otherwise(
         hour_to_minutes(F.col("hora"))
     )
-    slim = clustered.select(
-        "cluster", "id", survivor_rank().alias("rank"), quality_score().alias("score"),
-        minute.alias("minute"),
-    )
-    same = settle(same_venue_clusters(clustered))
-    one_place = slim.join(same, "cluster").withColumn("sub", F.lit(0))
-    split = slim.join(same, "cluster", "left_anti")
+    slim = settle(clustered.select(
+        "cluster", "id", "lugar", "organiza", survivor_rank().alias("rank"),
+        quality_score().alias("score"), minute.alias("minute"),
+    ))
+    same = same_venue_clusters(slim).withColumn("one_place", F.lit(True))
+    marked = slim.join(same, "cluster", "left")
+    fixed = marked.filter("one_place").withColumn("sub", F.lit(0))
+    split = marked.filter("one_place IS NULL")
     subs = hour_subgroups(split.select("cluster", "rank", "minute"), gap=gap, chunk=chunk)
-    placed = split.join(subs, ["cluster", "rank"]).unionByName(one_place.select(*split.columns, "sub"))
+    placed = split.join(subs, ["cluster", "rank"]).unionByName(fixed.select(*split.columns, "sub"))
     best = keep_best(
         placed, ["cluster", "sub"], [F.col("score").desc(), F.col("rank").asc()]
     ).select("id", "cluster")
-    kept = clustered.join(best.select("id"), "id")
-    return kept.join(merged_sources(clustered), "cluster", "left")
+    best = best.join(merged_sources(slim), "cluster", "left")
+    payload = clustered.drop("cluster") if rows is None else rows
+    return payload.join(best, "id")
 
 
 # ------------------------------------------------------------ inside the table
@@ -355,7 +361,7 @@ def table_clusters(
 def merge_clusters(clustered: DataFrame) -> DataFrame:
     """One fused row per cluster: master, longest description, first image.
 
-    Returns (id, descripcion, imagen_url, copies).  All three are ordered
+    Returns (cluster, id, descripcion, imagen_url, copies).  All three are ordered
     aggregates, so a hot cluster is combined on the map side.
     """
     size = F.length(F.coalesce("descripcion", F.lit("")))
@@ -370,7 +376,7 @@ def merge_clusters(clustered: DataFrame) -> DataFrame:
     )
     own = F.when(F.col("master.image") != "", F.col("master.image"))
     return merged.select(
-        F.col("master.r.id").alias("id"),
+        "cluster", F.col("master.r.id").alias("id"),
         F.col("longest.text").alias("descripcion"),
         F.coalesce(own, F.col("image.imagen_url"), F.col("master.image")).alias("imagen_url"),
         "copies",
@@ -379,11 +385,11 @@ def merge_clusters(clustered: DataFrame) -> DataFrame:
 
 def clean_table(df: DataFrame, *, threshold: float = v.TABLE_MATCH_SCORE) -> DataFrame:
     """The table without duplicates; masters carry the best text and image of their copies."""
-    clustered = settle(table_clusters(df, threshold=threshold))
+    used = ["id", "nombre", "lugar", "fecha_iso", "hora", "organiza", "descripcion", "imagen_url"]
+    clustered = settle(table_clusters(df.select(*used), threshold=threshold))
     merged = settle(merge_clusters(clustered).filter("copies > 1"))
-    groups = clustered.select("id", "cluster")
-    hit = groups.join(groups.join(merged.select("id"), "id").select("cluster"), "cluster")
-    dropped = hit.join(merged.select("id"), "id", "left_anti").select("id")
+    masters = merged.select("cluster", F.col("id").alias("master"))
+    dropped = clustered.select("cluster", "id").join(masters, "cluster").filter("id <> master").select("id")
     fused = merged.select(
         "id", F.col("descripcion").alias("best_text"), F.col("imagen_url").alias("best_image"),
         F.lit(True).alias("is_master"),

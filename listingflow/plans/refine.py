@@ -17,6 +17,7 @@ from ..operators.lookups import apply_enrichment, apply_labels, classify_keyword
 from ..operators.quality import audit, drop_gate, sanitize, table_gates
 from ..operators.resolve import CHUNK, fuzzy_cluster, session_survivors
 from ..operators.survivors import keep_first
+from ..session import settle
 
 
 def prepare(
@@ -34,8 +35,13 @@ def prepare(
 
 
 def resolve(df: DataFrame, *, drafts: str = "pass", chunk: int = CHUNK) -> DataFrame:
-    """One row per real event session, with the sources it was seen in."""
-    return session_survivors(fuzzy_cluster(keep_first(df), drafts=drafts, chunk=chunk), chunk=chunk)
+    """One row per real event session, with the sources it was seen in.
+
+    The rows are written once; the grouping stages read only the columns they
+    need from there, and the survivors are picked from the same files.
+    """
+    rows = settle(keep_first(df))
+    return session_survivors(fuzzy_cluster(rows, drafts=drafts, chunk=chunk), rows=rows, chunk=chunk)
 
 
 def refine(df: DataFrame, as_of: dt.date, *, drafts: str = "pass", **tables) -> DataFrame:

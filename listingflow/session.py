@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call-site capture: it costs more than planning for wide expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -39,10 +42,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage with a reliable checkpoint.
+    """Compute once, write to the shared checkpoint folder, and go on from the files.
 
-    Used between rounds of iterative operators: the data survives a lost
-    executor and the plan does not grow with the number of rounds.
+    Used between rounds of iterative operators and where one result feeds several
+    plans.  The data survives a lost executor and the plan does not grow; unlike
+    an RDD checkpoint the files keep column pruning and size statistics.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/listingflow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def python_partitions(spark: SparkSession) -> int:
+    """Partitions of a stage whose cost is Python work, not bytes.
+
+    AQE sizes shuffles by bytes and would put a few megabytes of titles into one
+    task; an explicit partition number is left alone by it.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
