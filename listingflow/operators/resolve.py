@@ -111,11 +111,11 @@ def assign_leaders(
         new_leaders = (
             todo.join(solved.filter("title = leader"), ["block", "title"])
             .select("block", "leader", F.col("rank").alias("place"), "slices")
-            .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).cast("long"))
+            .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1)))
             .drop("slices")
         )
         order = F.row_number().over(W.partitionBy("block", "slice").orderBy("place"))
-        new_leaders = new_leaders.withColumn("place", order)
+        new_leaders = settle(new_leaders.withColumn("place", order))
         compared = settle(
             rest.select("block", "title", "slice").repartition(parts, "block", "slice")
             .groupBy("block", "slice")
