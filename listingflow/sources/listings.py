@@ -12,9 +12,21 @@ from ..schema import LISTING_SCHEMA
 KEYWORD_LIMIT = 10_000
 
 
-def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    """Listing table with its fixed schema: no inference, pruning and pushdown by the scan."""
-    return spark.read.schema(LISTING_SCHEMA).parquet(path)
+def read_listings(
+    spark: SparkSession, path: str, first: dt.date | None = None, last: dt.date | None = None
+) -> DataFrame:
+    """Listing table with its fixed schema: no inference, pruning and pushdown by the scan.
+
+    A date range also becomes a range of the ``month`` partition column (see
+    ``sinks.write_table``), so other months are not even listed.
+    """
+    df = spark.read.schema(LISTING_SCHEMA).parquet(path)
+    for bound, keep in ((first, lambda c, x: c >= x), (last, lambda c, x: c <= x)):
+        if bound is not None:
+            df = df.filter(keep(F.col("fecha_iso"), F.lit(bound)))
+            if "month" in df.columns:
+                df = df.filter(keep(F.col("month"), F.lit(bound.strftime("%Y-%m"))))
+    return df.select(*LISTING_SCHEMA.names)
 
 
 def pending(df: DataFrame, kind: str, as_of: dt.date | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from listingflow.functions import flags, parse, text
 
-AS_OF = F.lit
 DAY = dt.date(2026, 3, 1)
 
 
