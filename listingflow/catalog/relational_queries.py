@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..operators import aggregates, lookups, quality, sets, survivors, upsert
 from ..schema import LISTING_SCHEMA, backfill, conform
+from ..session import checkpoint_dir
+from ..streaming.upsert_stream import read_target, upsert_stream
 from . import sqltext as s
 from .registry import on_listing, query
-from .tables import AS_OF, AS_OF_SQL, LISTING_SQL, ORDERS_SQL, listing, orders, table
+from .tables import AS_OF, AS_OF_SQL, LISTING_SQL, ORDERS_SQL, listing, order_stream, orders, table
 
 LIT, TXT = F.lit, F.concat
 
@@ -129,19 +133,6 @@ def _(spark, sf):
     return lookups.apply_page_venue(df, df.select("url_venta", k.alias("ord"), text.alias("venue"))).select("id", "lugar", "latitud")
 
 
-@query("benchmark_mentions", """
-SELECT d.doc_id, min(b.item_id) AS first_item, count(*) AS items FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id""")
-def _(spark, sf):
-    # The pattern list is a bounded parameter (checked), so it becomes part of the expression.
-    rows = table(spark, sf, "benchmark").limit(2001).collect()
-    if len(rows) > 2000:
-        raise ValueError("pattern list is too long for an expression")
-    items = F.array(*[F.struct(LIT(r.item_id).alias("item_id"), LIT(r.text).alias("text")) for r in rows])
-    hits = F.filter(items, lambda b: F.contains("text", b["text"]))
-    found = table(spark, sf, "documents").select("doc_id", hits.alias("hits")).filter(F.size("hits") > 0)
-    return found.select("doc_id", F.array_min(F.transform("hits", lambda h: h["item_id"])).alias("first_item"), F.size("hits").cast("long").alias("items"))
-
-
 on_listing("drop_matched", f"SELECT id FROM listing WHERE NOT {s.garbage_row('nombre', 'lugar')}")(
     lambda df: lookups.drop_matched(df, lookups.garbage(df)).select("id"))
 on_listing("attach_sources", "SELECT id, s AS merged_from_sources FROM listing JOIN (SELECT nombre, string_agg(DISTINCT organiza, ' + ' ORDER BY organiza) AS s FROM listing GROUP BY nombre) USING (nombre)")(
@@ -271,6 +262,19 @@ FROM tgt t FULL JOIN batch b ON t.hash_id = b.hash_id""", _SIDES)(
         "hash_id", "precio_num", "url_venta", "event_group_id", "source_priority", "enriquecido", "estado"))
 on_listing("upsert_counters", "SELECT count(*) FILTER (WHERE t.hash_id IS NULL) AS insertados, count(t.hash_id) AS actualizados FROM batch b LEFT JOIN tgt t USING (hash_id)", _SIDES)(
     lambda df: upsert.upsert_counters(*_upsert_sides(df)))
+
+
+@query("upsert_stream", f"""WITH {LISTING_SQL} SELECT {_INGEST} AS hash_id, count(*) AS copias, arg_max_null(precio_num, id) AS precio_num FROM listing GROUP BY 1""")
+def _(spark, sf):
+    # Orders arrive as a stream of files and are merged into a fresh table.
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = listing(spark, sf, order_stream(spark, sf)).withColumn("last_seen_at", F.timestamp_seconds("id"))
+    upsert_stream(rows, f"{folder}/table", f"{folder}/progress", digits=1).awaitTermination()
+    merged = read_target(spark, f"{folder}/table").select("hash_id", "precio_num")
+    copies = listing(spark, sf).groupBy(upsert.hash_key("ingest").alias("hash_id")).agg(F.count("*").alias("copias"))
+    return merged.join(copies, "hash_id", "full_outer")
+
+
 on_listing("mark_past", f"SELECT id, CASE WHEN fecha_iso < {AS_OF_SQL} THEN 'past' ELSE estado END AS estado FROM listing")(
     lambda df: upsert.mark_past(df, today()).select("id", "estado"))
 on_listing("replace_future", f"SELECT id, fecha_iso FROM listing WHERE fecha_iso < {AS_OF_SQL} OR fecha_iso IS NULL UNION ALL SELECT id, CAST(fecha_iso + 1 AS DATE) FROM listing WHERE fecha_iso >= {AS_OF_SQL}")(

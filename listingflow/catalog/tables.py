@@ -59,12 +59,23 @@ def case(key: Column, mapping: dict) -> Column:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the date moved into the years the extractors accept."""
+    return shifted(table(spark, sf_dir, "orders"))
+
+
+def shifted(df: DataFrame) -> DataFrame:
     day = (F.col("o_orderdate").cast("date") + F.expr("INTERVAL 29 YEARS")).cast("date")
-    return table(spark, sf_dir, "orders").withColumn("day", day)
+    return df.withColumn("day", day)
+
+
+def order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    return shifted(spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir))
 
 
-def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = orders(spark, sf_dir)
+def listing(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """One listing per order; ``source`` may be the stream of orders."""
+    o = orders(spark, sf_dir) if source is None else source
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     p = table(spark, sf_dir, "part")

@@ -16,6 +16,7 @@ from ..functions import vocab as v
 from ..functions.flags import is_garbage_row, is_generic_place
 from ..functions.parse import address_in, page_venue_source
 from ..functions.text import fold, let, strip, strip_ai_tags
+from ..session import settle
 from .survivors import keep_best
 
 
@@ -220,6 +221,9 @@ def related(df: DataFrame, k: int = 4, *, as_of: Column) -> DataFrame:
     heads = heads.groupBy("estilo").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("fecha_iso", "id"))), lambda x: x["id"]).alias("heads")
     )
+    # Written first: the planner then knows its size and broadcasts it only if small,
+    # instead of shuffling all listings by a handful of categories.
+    heads = settle(heads)
     others = F.slice(F.filter("heads", lambda x: x != F.col("id")), 1, k)
     return (
         df.filter(F.col("estilo").isNotNull()).select("id", "estilo").join(heads, "estilo")

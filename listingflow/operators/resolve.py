@@ -64,9 +64,14 @@ def _solve_blocks(titles: DataFrame, threshold: float, use_ratio: bool) -> DataF
 
 
 def _first_chunk(df: DataFrame, key: str, chunk: int) -> DataFrame:
-    """First ``chunk`` rows of each key; Spark limits per group before the shuffle."""
+    """First rows of each key, at most ``chunk``.
+
+    The number stays under the optimiser's threshold for limiting each group
+    below the shuffle; a smaller head only means one more round.
+    """
+    limit = min(chunk, int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")))
     place = F.row_number().over(W.partitionBy(key).orderBy("rank"))
-    return df.withColumn("place", place).filter(F.col("place") <= chunk).drop("place")
+    return df.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
 
 
 def assign_leaders(

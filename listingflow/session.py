@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Group limits below the shuffle also for the chunks of the resolution rounds.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "4096",
     # No call-site capture: it costs more than planning for wide expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
