@@ -227,7 +227,9 @@ def extract_jsonld(pages: DataFrame, as_of: Column, types: Sequence[str] = v.EVE
     """
     typed = F.filter(jsonld_items(F.col("html")), lambda i: _raw_text(i, "$['@type']").isin(*types))
     item = F.col("item")
-    flat = pages.select("page_id", F.get(typed, F.lit(0)).alias("item")).filter(item.isNotNull()).select(
+    # A generator instead of "first and not null": a filter would be pushed below
+    # and parse the scripts a second time.
+    flat = pages.select("page_id", F.explode(F.slice(typed, 1, 1)).alias("item")).select(
         "page_id", _text_at(item, "$.name").alias("name"), _text_at(item, "$.startDate").alias("start"),
         _first_text(item, "offers", ["price", "lowPrice"]).alias("price"),
         strip(_first_text(item, "location", ["name"])).alias("venue"),
@@ -258,9 +260,8 @@ def extract_article_date(pages: DataFrame, as_of: Column) -> DataFrame:
     found = F.flatten(F.transform(jsonld_items(F.col("html")), articles))
     published = F.col("published")
     return (
-        pages.select("page_id", F.get(found, F.lit(0)).alias("item"))
+        pages.select("page_id", F.explode(F.slice(found, 1, 1)).alias("item"))
         .select("page_id", _text_at(F.col("item"), "$.datePublished").alias("published"))
-        .filter(published.isNotNull())
         .select("page_id", "published", extract_date(published, as_of).alias("day"),
                 extract_hour(published).alias("hour"))
     )
