@@ -88,7 +88,7 @@ on_listing("month_grid", "SELECT *, month(fecha_iso) <> 3 AS other_month FROM ce
 on_listing("date_strip", "SELECT fecha_iso, total, shown, dayofweek(fecha_iso) IN (0, 6) AS weekend FROM cells", _cells(AS_OF_SQL, 31, 3, "coalesce(estilo, 'Otros')"))(
     lambda df: sv.date_strip(df, AS_OF))
 on_listing("day", "SELECT id, nombre FROM listing WHERE fecha_iso = DATE '2027-02-01'")(lambda df: sv.day(df, dt.date(2027, 2, 1)).select("id", "nombre"))
-on_listing("detail", "SELECT * FROM listing WHERE id = 4242 OR (id = 424 AND (SELECT count(*) FROM listing WHERE id = 4242) = 0)")(lambda df: sv.detail(df, 4242))
+on_listing("detail", "SELECT * FROM listing WHERE id = 424")(lambda df: sv.detail(df, 424))
 on_listing("map_points", "SELECT id, nombre, estilo, latitud, longitud, fecha_iso FROM listing WHERE latitud IS NOT NULL AND coalesce(estilo, '-') NOT IN ('Cine', 'Humor')")(
     lambda df: sv.map_points(df, ["Cine", "Humor"]))
 on_listing("facets_all", f"SELECT coalesce(lugar, 'Otros') AS nombre, count(*) AS total {FROM} GROUP BY 1")(
