@@ -392,7 +392,9 @@ def clean_table(df: DataFrame, *, threshold: float = v.TABLE_MATCH_SCORE) -> Dat
     """The table without duplicates; masters carry the best text and image of their copies."""
     used = ["id", "nombre", "lugar", "fecha_iso", "hora", "organiza", "descripcion", "imagen_url"]
     clustered = settle(table_clusters(df.select(*used), threshold=threshold))
-    merged = settle(merge_clusters(clustered).filter("copies > 1"))
+    # Only real clusters carry their texts into the merge; this scan reads one column.
+    several = clustered.groupBy("cluster").count().filter("count > 1").select("cluster")
+    merged = settle(merge_clusters(clustered.join(several, "cluster", "left_semi")))
     masters = merged.select("cluster", F.col("id").alias("master"))
     dropped = clustered.select("cluster", "id").join(masters, "cluster").filter("id <> master").select("id")
     fused = merged.select(
