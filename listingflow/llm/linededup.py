@@ -50,7 +50,8 @@ def keep_bitmaps(
     by_document = W.partitionBy("h1", "h2", "salt").orderBy(F.desc_nulls_last("doc_id"), "pos")
     # The first line of a document inside its hash: one per document, repeats do not count.
     opens = (F.row_number().over(by_document) == 1) | ~F.col("doc_id").eqNullSafe(F.lag("doc_id").over(by_document))
-    frequent = (
+    # Written first: the join then has a plain exchange on both sides, which AQE can split where a line is hot.
+    frequent = settle(
         ordered.withColumn("opens", opens).filter("opens")
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
