@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import linededup, packing, simhash, tokens, urlfilter
+from . import classifier, decontaminate, linededup, packing, simhash, tokens, urlfilter
 from .common import read, shared_folder
 from .oracles import OP5_SQL, OP10_SQL
 
@@ -33,12 +33,27 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op6_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = classifier.train(docs, read(spark, sf_dir, "labels"))
+    scored = classifier.score_documents(docs, chain)
+    return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 2048 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_edit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the benchmark items it holds, edits included."""
+    return decontaminate.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix rows of all documents, written, read back and summed up."""

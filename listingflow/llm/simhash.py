@@ -169,8 +169,13 @@ def groups_of(x: np.ndarray, linked: Callable, slack: int | None) -> np.ndarray:
     return root
 
 
-def stars(rows: DataFrame, words: int, linked: Callable, slack: int | None) -> DataFrame:
-    """(u, v) edges that span the groups of each shard; ``rows`` are (shard, fp, n_shingles)."""
+def stars(rows: DataFrame, words: int, linked: Callable, slack: int | None, parts: int = 0) -> DataFrame:
+    """(u, v) edges that span the groups of each shard; ``rows`` are (shard, fp, n_shingles).
+
+    The cost of a shard is its pairs, not its bytes, so the caller says into how many
+    ``parts`` they are dealt (one per core at least).
+    """
+    parts = max(parts, rows.sparkSession.sparkContext.defaultParallelism * 2)
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def solve(fps: list[bytes], sizes: np.ndarray):
@@ -197,7 +202,7 @@ def stars(rows: DataFrame, words: int, linked: Callable, slack: int | None) -> D
         if len(fps) > 1:
             yield to_batch(list(solve(fps, np.asarray(sizes))), schema)
 
-    dealt = rows.select("shard", "fp", "n_shingles").repartition("shard").sortWithinPartitions("shard", "fp")
+    dealt = rows.select("shard", "fp", "n_shingles").repartition(parts, "shard").sortWithinPartitions("shard", "fp")
     return dealt.mapInArrow(run, "u binary, v binary")
 
 
@@ -291,7 +296,8 @@ def hamming_groups(
     x = np.frombuffer(b"".join(bytes(r["fp"]) for r in picked), ">u8").reshape(-1, 1).astype(np.uint64)
     leaf = max(16, int(len(x) * shard_rows / max(n, 1)))
     tree = grow_tree(x, slack, leaf)
-    edges = stars(route(unique, tree, 1, slack), 1, lambda d, a, b: d <= radius, slack)
+    routed = route(unique, tree, 1, slack)
+    edges = stars(routed, 1, lambda d, a, b: d <= radius, slack, parts=4 * n // shard_rows)
     return with_components(rows, unique, edges).select("doc_id", "fp", "component_id")
 
 
@@ -332,4 +338,5 @@ def similar_groups(
         shared = np.cos(np.pi * d / bits) * np.sqrt(a * b)
         return shared >= least * (a + b - shared)
 
-    return with_components(rows, unique, stars(dealt, words, linked, None)).select("doc_id", "fp", "component_id")
+    edges = stars(dealt, words, linked, None, parts=unique.count() * anchors // (4 * block))
+    return with_components(rows, unique, edges).select("doc_id", "fp", "component_id")
