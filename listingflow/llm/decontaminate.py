@@ -2,8 +2,10 @@
 
 An item with an error budget of ``k`` edits is cut into ``k + 1`` pieces; at most ``k`` edits
 leave one piece whole, so a document that holds the item within the budget holds a piece exactly.
-One pass of an Aho-Corasick automaton over a document finds the pieces; each hit names a small
-window, and the bit-parallel distance decides it.
+One pass of an Aho-Corasick automaton over a document finds the pieces, and the bit-parallel
+distance verifies each hit.  Pieces come from halving the item and its budget again and again
+(of ``b`` errors in two halves, one has at most ``(b - 1) / 2``), so a hit is verified from the
+smallest enclosing part up to the whole item, and most chance hits end after a few characters.
 
 The benchmark is the query set.  It goes to the tasks in blocks of ``block_chars`` characters,
 one pass over the documents each, so its size is bounded whatever the benchmark's.
@@ -35,10 +37,35 @@ def normal(text: str | None) -> str:
     return APART.sub(" ", (text or "").lower()).strip()
 
 
-def cut(item: str, budget: int) -> list[tuple[int, str]]:
-    """``budget + 1`` pieces of nearly equal length with their places."""
+def cut(text: str, budget: int) -> list[tuple[int, str]]:
+    """``budget + 1`` slices with their places, of which ``budget`` edits leave one whole."""
     n = budget + 1
-    return [(i * len(item) // n, item[i * len(item) // n : (i + 1) * len(item) // n]) for i in range(n)]
+    return [(i * len(text) // n, text[i * len(text) // n : (i + 1) * len(text) // n]) for i in range(n)]
+
+
+class Part:
+    """A range of an item with its error budget; ``above`` is the part it was halved from.
+
+    ``beside`` are slices of the other half with the item ranges to look for them: where this
+    half is whole and ``above`` is within its budget, one of them is there.
+    """
+
+    def __init__(self, item: str, low: int, high: int, budget: int, above: Part | None = None):
+        self.low, self.high, self.budget, self.above = low, high, budget, above
+        self.text = item[low:high]
+        self.pattern = Pattern(self.text) if budget else None
+        self.halves: list[Part] = []
+        self.beside: list[tuple[str, int, int]] = []
+        if budget:
+            left = (budget - 1) // 2
+            middle = low + (high - low) * (left + 1) // (budget + 1)
+            self.halves = [Part(item, low, middle, left, self), Part(item, middle, high, budget - 1 - left, self)]
+            for one, other in (self.halves, self.halves[::-1]):
+                one.beside = [(t, other.low + at - budget, other.low + at + len(t) + budget) for at, t in cut(other.text, budget)]
+
+    def pieces(self) -> list[Part]:
+        """The ``budget + 1`` parts that must match exactly, one of them at least."""
+        return [p for h in self.halves for p in h.pieces()] if self.halves else [self]
 
 
 class Pattern:
@@ -85,33 +112,41 @@ class Matcher:
         self.items, self.budgets = items, budgets
         self.ahead = [Pattern(t) for t in items]
         self.behind = [Pattern(t[::-1]) for t in items]
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        pieces: dict[str, list[tuple[int, Part]]] = {}
         for number, (item, budget) in enumerate(zip(items, budgets)):
-            for place, piece in cut(item, budget):
-                pieces.setdefault(piece, []).append((number, place + len(piece)))
+            for piece in Part(item, 0, len(item), budget).pieces():
+                pieces.setdefault(piece.text, []).append((number, piece))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in pieces.items():
             self.automaton.add_word(piece, uses)
         self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for last, uses in self.automaton.iter(text):
-            for number, tail in uses:
-                begin = last + 1 - tail - self.budgets[number]
-                end = last + 1 - tail + len(self.items[number]) + self.budgets[number]
-                known = windows.setdefault(number, [])
-                # Hits on almost the same diagonal share a window.
-                if known and begin <= known[-1][1]:
-                    known[-1][0], known[-1][1] = min(begin, known[-1][0]), max(end, known[-1][1])
+            for number, piece in uses:
+                zero = last + 1 - piece.high  # where the item would begin
+                budget = self.budgets[number]
+                begin, end = zero - budget, zero + len(self.items[number]) + budget
+                known = windows.get(number)
+                if known and any(a <= begin and end <= b for a, b in known):
+                    continue
+                if piece.beside and not any(t in text[max(zero + a, 0) : max(zero + b, 0)] for t, a, b in piece.beside):
+                    continue
+                part = piece.above
+                while part is not None:
+                    low = max(zero + part.low - part.budget, 0)
+                    if part.pattern.search(text[low : max(zero + part.high + part.budget, 0)])[0] > part.budget:
+                        break
+                    part = part.above
                 else:
-                    known.append([begin, end])
+                    windows.setdefault(number, []).append((begin, end))
         out = []
         for number in sorted(windows):
             best = None
             for begin, end in windows[number]:
                 begin = max(begin, 0)
-                distance, stop = self.ahead[number].search(text[begin:end])
+                distance, stop = self.ahead[number].search(text[begin : max(end, 0)])
                 if distance <= self.budgets[number] and (best is None or distance < best[0]):
                     best = (distance, begin, begin + stop)
             if best:
