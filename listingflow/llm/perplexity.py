@@ -7,8 +7,9 @@ probabilities by aggregates and joins, and the result is stored as sorted arrays
 hashes with their log values, range-partitioned into files in the shared folder.  Tasks map
 these files into memory, so the model may outgrow a worker.
 
-A document's log perplexity is compared with the bands of its language: the median over all
-documents, and ``reach`` robust standard deviations below and above it.
+A document's log perplexity is compared with the band of its language: the median over all
+documents, less and plus ``down`` and ``up`` robust standard deviations.  The mean over a short
+text scatters more, so its band is wider, by ``sqrt(1 + scatter / characters)``.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ ship(__name__)
 ORDER, BITS, BEGIN = 5, 12, 1
 MULTIPLIER = 0x9E3779B97F4A7C15
 HELD, SHARD_ENTRIES, CHUNK_CHARS = 1 << 21, 1 << 23, 1 << 20
-UP, DOWN, LEAST_WIDTH = 6.0, 6.0, 0.25
+UP, DOWN, LEAST_WIDTH, SCATTER = 6.0, 6.0, 0.25, 400
 MIN_WORDS, WINDOW, MAX_REPEAT = 10, 5, 20
 SYMBOLS = "#*$%&|<>"
 
@@ -130,7 +131,7 @@ def suffix(gram: str, order: int) -> Column:
 def discounts(counts: DataFrame) -> DataFrame:
     """Modified Kneser-Ney discounts d1, d2, d3 per language from the counts of counts."""
     n = {i: F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)}
-    y = "(n1 / (n1 + 2 * n2))"
+    y = "try_divide(n1, n1 + 2 * n2)"
 
     def held(rule: str, most: int) -> Column:
         """Within (0, most); the middle where the counts of counts do not give it."""
@@ -339,17 +340,19 @@ def score_documents(docs: DataFrame, folder: str, shards: list[tuple]) -> DataFr
 
 
 def bands(scored: DataFrame, *, up: float = UP, down: float = DOWN, least_width: float = LEAST_WIDTH) -> DataFrame:
-    """(lang, lower, upper): bounds of the log perplexity, from all documents of the language."""
+    """(lang, middle, lower, upper): bounds of the log perplexity, from all documents of the language."""
     some = scored.filter(F.col("log_perplexity").isNotNull())
     middle = settle(some.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")))
     spread = some.join(middle, "lang").groupBy("lang", "middle").agg(
         F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10_000).alias("mad")
     )
     wide = lambda k: F.greatest(F.lit(least_width), k * 1.4826 * F.col("mad"))
-    return spread.select("lang", (F.col("middle") - wide(down)).alias("lower"), (F.col("middle") + wide(up)).alias("upper"))
+    return spread.select("lang", "middle", (F.col("middle") - wide(down)).alias("lower"), (F.col("middle") + wide(up)).alias("upper"))
 
 
-def judge_documents(docs: DataFrame, *, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, **widths: float) -> DataFrame:
+def judge_documents(
+    docs: DataFrame, *, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, scatter: float = SCATTER, **widths: float,
+) -> DataFrame:
     """Base counts, ``perplexity``, ``base_failed`` and ``kept`` of every row of ``docs`` (doc_id, text, lang).
 
     A text with fewer than ``min_words`` words, or with more than ``max_repeat`` percent of its
@@ -360,10 +363,11 @@ def judge_documents(docs: DataFrame, *, min_words: int = MIN_WORDS, max_repeat:
     counts = settle(count_grams(docs))
     folder = shared_folder(docs.sparkSession, "grams")
     scored = score_documents(docs, folder, write_arrays(kneser_ney(counts), folder))
-    scored = settle(scored.withColumn("log_perplexity", F.when(F.col("n_scored") > 0, -F.col("log_p") / F.col("n_scored"))))
+    scored = settle(scored.withColumn("log_perplexity", F.when(F.col("n_scored") > 0, -F.col("log_p") / F.greatest("n_scored", F.lit(1)))))
     limits = settle(bands(scored, **widths))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    inside = F.coalesce((F.col("log_perplexity") >= F.col("lower")) & (F.col("log_perplexity") <= F.col("upper")), F.lit(False))
+    away = (F.col("log_perplexity") - F.col("middle")) / F.sqrt(1 + scatter / F.greatest("n_scored", F.lit(1)))
+    inside = F.coalesce(away.between(F.col("lower") - F.col("middle"), F.col("upper") - F.col("middle")), F.lit(False))
     return scored.join(limits, "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & inside).alias("kept"), F.exp("log_perplexity").alias("perplexity"), "lang", "lower", "upper",

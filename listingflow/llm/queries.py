@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classifier, decontaminate, linededup, packing, simhash, tokens, urlfilter
+from . import classifier, decontaminate, linededup, packing, perplexity, simhash, tokens, urlfilter
 from .common import read, shared_folder
 from .oracles import OP5_SQL, OP10_SQL
 
@@ -19,6 +19,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    judged = perplexity.judge_documents(read(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"
+    )
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
