@@ -20,6 +20,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import settle
 from .common import by_batch, ship
 
 ship(__name__)
@@ -195,5 +196,6 @@ def find_items(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows with a null doc_id are judged as one."""
-    bad = find_items(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
+    # Written, so that the planner knows the size of this side.
+    bad = settle(find_items(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct())
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")

@@ -41,3 +41,43 @@ SELECT page_id, host, path, rule, coalesce(verdict,
        THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best USING (page_id)
 """
+
+_BITS = " + ".join(f"{16 >> k} * CAST(substr(bits, CAST(5 * i + {k + 1} AS BIGINT), 1) AS INTEGER)" for k in range(5))
+OP1_SQL = f"""
+WITH page AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+    CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits FROM pages
+), grouped AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM page
+)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BITS}, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS digest_ok
+FROM grouped
+"""
+
+
+def _op4_sql() -> str:
+    """Sentences by a join on the sentence table, sequences as aggregated strings."""
+    from .licenses import RULES, SENTENCES
+
+    known = ", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())
+    rules = ", ".join(f"('{n}', {len(ids)}, '{'.*'.join(f'<{i}>' for i in ids)}')" for n, ids in RULES)
+    return f"""
+WITH known(id, s) AS (VALUES {known}), rules(license, n, pattern) AS (VALUES {rules}), ways AS (
+  SELECT doc_id, 1 AS way, text AS t FROM documents
+  UNION ALL
+  SELECT doc_id, 2, regexp_replace(regexp_replace(regexp_replace(text, '\\n\\n+', chr(1), 'g'), '\\n', ' ', 'g'), chr(1), chr(10), 'g') FROM documents
+), cut AS (
+  SELECT doc_id, way, string_split(regexp_replace(lower(t), '([.!?;:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM ways
+), sentence AS (
+  SELECT doc_id, way, unnest(range(len(parts))) AS pos, trim(regexp_replace(unnest(parts), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS s FROM cut
+), ids AS (
+  SELECT doc_id, way, string_agg('<' || id || '>', '' ORDER BY pos) AS ids FROM sentence JOIN known USING (s) GROUP BY ALL
+)
+SELECT doc_id, license, max(n) AS n_sentences FROM ids JOIN rules ON regexp_matches(ids, pattern) GROUP BY ALL
+"""
+
+
+OP4_SQL = _op4_sql()

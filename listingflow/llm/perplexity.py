@@ -153,7 +153,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         )
     out, lower = [], None
     for order in range(1, ORDER + 1):
-        rows = levels[order].join(F.broadcast(discounts(levels[order])), "lang")  # a row per language
+        rows = levels[order].join(discounts(levels[order]), "lang")
         cut = F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END")
         rows = rows.select("lang", "gram", "n", cut.alias("cut"), F.shiftright("gram", BITS).alias("context"))
         contexts = rows.groupBy("lang", "context").agg(

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classifier, decontaminate, linededup, packing, perplexity, simhash, tokens, urlfilter
+from . import classifier, decontaminate, licenses, linededup, packing, perplexity, simhash, tokens, urlfilter, warc
 from .common import read, shared_folder
-from .oracles import OP5_SQL, OP10_SQL
+from .oracles import OP1_SQL, OP4_SQL, OP5_SQL, OP10_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_url_filter": OP5_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL, "op4_licenses": OP4_SQL, "op5_url_filter": OP5_SQL, "op10_line_dedup": OP10_SQL,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -19,6 +21,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back."""
+    folder = shared_folder(spark, "warc")
+    warc.write_warc(read(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok"
+    )
+
+
 @query
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
@@ -35,6 +47,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that documents state."""
+    return licenses.find_licenses(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url."""

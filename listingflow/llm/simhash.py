@@ -340,3 +340,17 @@ def similar_groups(
 
     edges = stars(dealt, words, linked, None, parts=unique.count() * anchors // (4 * block))
     return with_components(rows, unique, edges).select("doc_id", "fp", "component_id")
+
+
+def keep_first_of_groups(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the smallest doc_id of each similar group; the same columns.
+
+    A document is its doc_id: repeated rows stay or go together, and rows with a null doc_id
+    stay unless each of them has a copy with an id.
+    """
+    groups = settle(similar_groups(docs, **options).select("doc_id", "component_id"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = settle(
+        groups.groupBy(F.col("doc_id").alias("gone_id")).agg(F.bool_or(stays).alias("stays")).filter(~F.col("stays")).select("gone_id")
+    )
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
