@@ -254,10 +254,11 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select("u", F.col("v").alias("root"))
         state = tuple(sums)
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Both sides of the joins are written: plain exchanges, which AQE can split at a hot node.
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = settle(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m")))
         rest = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settle(rest.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
 
