@@ -33,6 +33,7 @@ def main() -> None:
     spark = spark_session("bench", **{
         "spark.master": f"local[{cpus}]", "spark.sql.shuffle.partitions": cpus,
         "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false",
+        "listingflow.spread": cpus,  # the inputs are single files of one split
     })
     spark.sparkContext.setLogLevel("ERROR")
     run(QUERIES["facet_counts"](spark, sf_dir))

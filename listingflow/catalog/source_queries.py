@@ -354,7 +354,7 @@ SELECT id, 'BEGIN:VCALENDAR'{_CR}'VERSION:2.0'{_CR}'PRODID:-//listingflow//ES'{_
  CASE WHEN h IS NULL THEN 'DTSTART;VALUE=DATE:' || d ELSE 'DTSTART:' || d || 'T' || lpad(h::VARCHAR, 2, '0') || m || '00' END{_CR}
  CASE WHEN h IS NULL THEN 'DTEND;VALUE=DATE:' || strftime(fecha_iso + 1, '%Y%m%d')
    WHEN h + 2 <= 23 THEN 'DTEND:' || d || 'T' || lpad((h + 2)::VARCHAR, 2, '0') || m || '00' ELSE 'DTEND:' || d || 'T235900' END{_CR}
- 'SUMMARY:' || {_ics('nombre')}{_CR}'LOCATION:' || {_ics('lugar')} || coalesce(chr(13) || chr(10) || 'DESCRIPTION:' || left({_ics('descripcion')}, 500) || CASE WHEN descripcion IS NULL THEN NULL ELSE '' END, '')
+ 'SUMMARY:' || {_ics('nombre')}{_CR}'LOCATION:' || {_ics('lugar')} || coalesce(chr(13) || chr(10) || 'DESCRIPTION:' || {_ics('descripcion')} || CASE WHEN descripcion IS NULL THEN NULL ELSE '' END, '')
  {_CR}'URL:' || url_venta{_CR}'END:VEVENT'{_CR}'END:VCALENDAR' AS ics
 FROM (SELECT *, strftime(fecha_iso, '%Y%m%d') AS d, TRY_CAST(string_split(nullif(hora, ''), ':')[1] AS INT) AS h, string_split(hora, ':')[2] AS m
   FROM listing WHERE fecha_iso IS NOT NULL)""")(

@@ -33,21 +33,15 @@ SOURCES = {
 STYLES = {"1-URGENT": "Música", "2-HIGH": "Teatro", "3-MEDIUM": "Cine", "5-LOW": "Humor"}
 
 
-FEW_SPLITS = 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.
+    """A given table, read as it is.
 
-    The small scale factors are single files with one row group, which is one
-    scan task however many cores there are.  Such an input (known from the plan's
-    size estimate) is dealt out to all cores; a real table has many splits and is
-    read as it is, without that exchange.
+    ``listingflow.spread`` in the session's configuration is for small single-file inputs on
+    one machine: their one split is then dealt out to so many tasks.  Nothing sets it on a cluster.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if (256 << 10) < size < FEW_SPLITS else df
+    spread = spark.conf.get("listingflow.spread", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def case(key: Column, mapping: dict) -> Column:

@@ -84,16 +84,13 @@ def cached_score(use_ratio: bool, size: int = 1 << 17):
 class Leaders:
     """Ordered cluster leaders; ``first`` finds the earliest one similar to a title.
 
-    Few leaders are compared one by one.  Above ``SMALL`` the lengths and the LCS
-    of all leaders are evaluated as numpy vectors, and leaders that share a token
-    are found through a token index.
+    Leaders that share a token are found through a token index and decided by their
+    token-set score; all others by the ratio of the sorted tokens, which is that score
+    where no token is common.  Lengths and LCS are evaluated as numpy vectors.
     """
 
-    SMALL = 24
-
-    def __init__(self, threshold: float, use_ratio: bool, score=None):
+    def __init__(self, threshold: float, use_ratio: bool):
         self.threshold, self.use_ratio = threshold, use_ratio
-        self.score = score or (lambda a, b: title_score(a, b, use_ratio))
         self.names: list[str] = []
         self.by_token: dict[str, list[int]] = {}
         self.letters: dict[str, int] = {}
@@ -111,19 +108,16 @@ class Leaders:
 
     def first(self, name: str) -> int:
         """Position of the first leader with a score at the threshold, else -1."""
-        if len(self.names) <= self.SMALL:
-            for i, leader in enumerate(self.names):
-                if self.score(name, leader) >= self.threshold:
-                    return i
-            return -1
         tokens = set(name.split())
-        best = self._first_sharing(name, tokens)
-        for form, text in zip(self.forms, (" ".join(sorted(tokens)), name)):
-            best = form.first(text, self.threshold, best)
+        best, sharing = self._first_sharing(name, tokens)
+        best = self.forms[0].first(" ".join(sorted(tokens)), self.threshold, best, sharing)
+        if self.use_ratio:
+            best = self.forms[1].first(name, self.threshold, best)
         return best if best < len(self.names) else -1
 
-    def _first_sharing(self, name: str, tokens: set[str]) -> int:
-        """Earliest leader that shares a token and has a token-set score at the threshold."""
+    def _first_sharing(self, name: str, tokens: set[str]) -> tuple[int, list[int]]:
+        """Earliest leader that shares a token and has a token-set score at the threshold;
+        all leaders that share one."""
         shared: dict[int, int] = {}
         for token in tokens:
             for i in self.by_token.get(token, ()):
@@ -133,11 +127,11 @@ class Leaders:
         for i in sorted(shared):
             common, other = shared[i], sizes[i]
             if 200.0 * common >= self.threshold * (common + min(own, other)):
-                return i
+                return i, list(shared)
             if (200.0 * min(own, other) >= self.threshold * (own + other)
                     and token_set_ratio(name, self.names[i]) >= self.threshold):
-                return i
-        return len(self.names)
+                return i, list(shared)
+        return len(self.names), list(shared)
 
 
 class _Forms:
@@ -158,11 +152,13 @@ class _Forms:
         self.sizes.append(len(text))
         self.texts.append(text)
 
-    def first(self, text: str, threshold: float, before: int) -> int:
-        """Earliest row under ``before`` whose ratio reaches the threshold, else ``before``."""
-        sizes = np.asarray(self.sizes[:before])
+    def first(self, text: str, threshold: float, before: int, skip: list[int] = ()) -> int:
+        """Earliest row under ``before``, not in ``skip``, whose ratio reaches the threshold, else ``before``."""
+        sizes = np.asarray(self.sizes[:before], dtype=np.int64)
         shorter, total = np.minimum(sizes, len(text)), sizes + len(text)
-        near = np.flatnonzero((200.0 * shorter >= threshold * total) & (total > 0))
+        fits = (200.0 * shorter >= threshold * total) & (total > 0)
+        fits[[i for i in skip if i < before]] = False
+        near = np.flatnonzero(fits)
         if len(text) > WORD:
             fast, slow = near[:0], near
         else:

@@ -16,7 +16,7 @@ from ..functions import vocab as v
 from ..functions.flags import is_garbage_row, is_generic_place
 from ..functions.parse import address_in, page_venue_source
 from ..functions.text import fold, let, strip, strip_ai_tags
-from ..session import settle
+from ..session import no_match_key, settle
 from .survivors import keep_best
 
 
@@ -58,9 +58,10 @@ def lookup_coords(df: DataFrame, gazetteer: DataFrame | None = None, *, table=v.
     """Fill missing coordinates and say how (``geo_method``; null when they were there)."""
     missing = F.col("latitud").isNull() | F.col("longitud").isNull()
     out = df.withColumn("_dict", F.when(missing, dictionary_coords(F.col("lugar"), table)))
-    # Only rows the dictionary misses carry a join key, so known places stay put.
-    out = out.withColumn("_place", F.when(missing & F.col("_dict").isNull(), fold(F.col("lugar"))))
     if gazetteer is not None:
+        # Only rows the dictionary misses look for a place; the others are dealt to all tasks.
+        wanted = F.when(missing & F.col("_dict").isNull(), fold(F.col("lugar")))
+        out = out.withColumn("_place", F.coalesce(wanted, no_match_key()))
         hits = gazetteer_hits(gazetteer).withColumnRenamed("place_norm", "_place")
         out = out.join(hits, "_place", "left")
     else:

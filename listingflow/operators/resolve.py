@@ -27,9 +27,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import vocab as v
 from ..functions.flags import is_generic_place, is_generic_title
 from ..functions.parse import hour_to_minutes
-from ..functions.similarity import Leaders, cached_score, follow_leaders
+from ..functions.similarity import Leaders, follow_leaders
 from ..functions.text import canonical_title, fold, occurrence_key, strip
-from ..session import python_partitions, settle
+from ..session import no_match_key, python_partitions, settle
 from .survivors import keep_best, master_rank, quality_score, survivor_rank
 
 CHUNK = 4096
@@ -40,11 +40,8 @@ SLICE = 20_000
 def _solve_udf(threshold: float, use_ratio: bool):
     @F.pandas_udf("array<string>")
     def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = cached_score(use_ratio)
         for lists in batches:
-            yield pd.Series([
-                follow_leaders(titles, Leaders(threshold, use_ratio, score)) for titles in lists
-            ])
+            yield pd.Series([follow_leaders(titles, Leaders(threshold, use_ratio)) for titles in lists])
 
     return solve
 
@@ -64,14 +61,9 @@ def _solve_blocks(titles: DataFrame, threshold: float, use_ratio: bool) -> DataF
 
 
 def _first_chunk(df: DataFrame, key: str, chunk: int) -> DataFrame:
-    """First rows of each key, at most ``chunk``.
-
-    The number stays under the optimiser's threshold for limiting each group
-    below the shuffle; a smaller head only means one more round.
-    """
-    limit = min(chunk, int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")))
+    """First rows of each key, at most ``chunk``; limited below the shuffle where the optimiser does so."""
     place = F.row_number().over(W.partitionBy(key).orderBy("rank"))
-    return df.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+    return df.withColumn("place", place).filter(F.col("place") <= chunk).drop("place")
 
 
 def assign_leaders(
@@ -457,8 +449,9 @@ def fingerprint_text(df: DataFrame, *, run: str, text: str, order: Sequence[str]
     place = F.struct(*[F.col(c) for c in order])
     keyed = df.withColumn("mark", mark).withColumn("place", place)
     owners = keyed.filter(F.col("mark").isNotNull()).groupBy(run, "mark").agg(F.min("place").alias("owner"))
+    # Rows without text have no owner; a key of their own keeps them out of one task.
     return (
-        keyed.join(owners, [run, "mark"], "left")
+        keyed.withColumn("mark", F.coalesce("mark", no_match_key())).join(owners, [run, "mark"], "left")
         .withColumn(text, F.when(F.col("place") == F.col("owner"), F.col(text)))
         .drop("mark", "place", "owner")
     )

@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def union_sources(frames: Mapping[str, DataFrame | Callable[[], DataFrame]]) -> tuple[DataFrame, list[str]]:
-    """Bag union of all sources by column name, and the names of those that failed to build."""
+    """Bag union of all sources by column name, and the names of those that failed to build.
+
+    Raises ValueError when none could be built.
+    """
     built, failed = [], []
     for name, frame in frames.items():
         try:
             built.append(frame() if callable(frame) else frame)
         except Exception:  # noqa: BLE001 - a broken source must not stop the others
             failed.append(name)
+    if not built:
+        raise ValueError(f"no source could be built: {failed}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), built), failed
 
 

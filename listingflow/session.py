@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,6 +56,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def no_match_key() -> Column:
+    """A key that matches nothing and differs from row to row: outer-join rows without a key
+    are dealt to all tasks by it, not to the one task of the null key."""
+    return F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
+
+
 def python_partitions(spark: SparkSession) -> int:
     """Partitions of a stage whose cost is Python work, not bytes.
 

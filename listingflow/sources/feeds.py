@@ -60,8 +60,14 @@ def rss_rows(df: DataFrame, site: str, as_of: dt.date, n: int = v.RSS_ITEMS) ->
         F.coalesce(published, F.lit(fallback)).alias("pub_date"))
 
 
-def ics_rows(df: DataFrame, stamp: str, uid_host: str = "listingflow") -> DataFrame:
-    """One calendar document per dated listing; two hours long, or all day without an hour."""
+def ics_rows(df: DataFrame, stamp: str, uid_host: str = "listingflow", description_size: int | None = None) -> DataFrame:
+    """One calendar document per dated listing; two hours long, or all day without an hour.
+
+    ``description_size`` cuts the escaped description; the default writes all of it.
+    """
+    description = ics_escape(F.col("descripcion"))
+    if description_size:
+        description = F.substring(description, 1, description_size)
     timed = F.coalesce(F.col("hora").rlike(r"^\d{1,2}:\d{2}$"), F.lit(False))
     parts = F.split("hora", ":")
     h, m = F.when(timed, parts[0].cast("int")), F.when(timed, parts[1].cast("int"))
@@ -80,7 +86,7 @@ def ics_rows(df: DataFrame, stamp: str, uid_host: str = "listingflow") -> DataFr
         start, end, F.concat(F.lit("SUMMARY:"), ics_escape(F.col("nombre"))),
         F.concat(F.lit("LOCATION:"), ics_escape(F.col("lugar"))),
         F.when(F.col("descripcion") != "", F.concat(
-            F.lit("DESCRIPTION:"), F.substring(ics_escape(F.col("descripcion")), 1, 500))),
+            F.lit("DESCRIPTION:"), description)),
         F.when(F.col("url_venta") != "", F.concat(F.lit("URL:"), F.col("url_venta"))),
         F.lit("END:VEVENT"), F.lit("END:VCALENDAR"),
     ]

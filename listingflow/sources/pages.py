@@ -296,8 +296,11 @@ def extract_paragraphs(pages: DataFrame, containers: Sequence[tuple[str, str]] =
     return body.select("page_id", "url", F.coalesce(*layers, loose).alias("descripcion"))
 
 
-def image_candidates(pages: DataFrame) -> DataFrame:
-    """(page_id, layer, pos, image): og:image, then article images, then wide images."""
+def image_candidates(pages: DataFrame, *, wide_images: int | None = None) -> DataFrame:
+    """(page_id, layer, pos, image): og:image, then article images, then wide images.
+
+    ``wide_images`` looks for wide ones among the first images only; the default takes all.
+    """
     og = pages.select(
         "page_id", F.lit(1).alias("layer"), F.lit(0).alias("pos"),
         blank_to_null(_pick(F.col("html"), r"<meta\b[^>]*property=\"og:image\"[^>]*content=\"([^\"]*)\"")).alias("image"),
@@ -309,7 +312,9 @@ def image_candidates(pages: DataFrame) -> DataFrame:
     low = F.lower(source)
     poster = tag.rlike(r"(?i)class=\"[^\"]*(event|poster|cartel)") & ~F.contains(low, F.lit("logo"))
     width = _pick(tag, r"\swidth=\"(\d+)").try_cast("int")
-    wide = (width > 200) & ~any_contains(low, ["logo", "icon"]) & (F.col("pos") < 15)
+    wide = (width > 200) & ~any_contains(low, ["logo", "icon"])
+    if wide_images is not None:
+        wide = wide & (F.col("pos") < wide_images)
     rest = tags.select(
         "page_id", F.when(poster, 2).when(wide, 3).alias("layer"), "pos", source.alias("image")
     ).filter(F.col("layer").isNotNull())
@@ -330,11 +335,13 @@ def extract_heading(pages: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- fact layers
-def fact_candidates(pages: DataFrame, as_of: Column, *, text_size: int | None = None) -> DataFrame:
+def fact_candidates(
+    pages: DataFrame, as_of: Column, *, text_size: int | None = None, time_tags: int | None = None,
+) -> DataFrame:
     """(page_id, field, layer, ord, value) from JSON-LD, marked elements, ``time`` tags and text.
 
-    One pass over the pages.  ``text_size`` limits the text layer; the default
-    reads the whole visible text.
+    One pass over the pages.  ``text_size`` limits the text layer and ``time_tags`` the
+    number of ``time`` tags; the default reads the whole visible text and all tags.
     """
     html = F.col("html")
 
@@ -343,10 +350,11 @@ def fact_candidates(pages: DataFrame, as_of: Column, *, text_size: int | None =
 
     typed = F.filter(jsonld_items(html), lambda i: _raw_text(i, "$['@type']").isin(*v.EVENT_TYPES))
     text = tag_text(html)
+    times = F.regexp_extract_all(html, F.lit(r"(?is)<time\b[^>]*datetime=\"([^\"]*)\""), 1)
     parts = pages.select(
         "page_id", F.get(typed, F.lit(0)).alias("item"), marked("price|precio|tarifa").alias("price"),
         marked("date|fecha").alias("date"), marked("venue|location|lugar|recinto").alias("venue"),
-        F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<time\b[^>]*datetime=\"([^\"]*)\""), 1), 1, 5).alias("times"),
+        (F.slice(times, 1, time_tags) if time_tags else times).alias("times"),
         (F.substring(text, 1, text_size) if text_size else text).alias("text"),
     )
     item = F.col("item")

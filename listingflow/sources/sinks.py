@@ -38,7 +38,9 @@ def write_split(df: DataFrame, path: str, fmt: str = "parquet", **options) -> No
     """Two outputs, confirmed ones clustered by date: range partitions keep the date
     order across files without a single sorting task."""
     confirmed, drafts = split_export(df)
-    (confirmed.repartitionByRange("Fecha").sortWithinPartitions("Fecha")
+    # The hash splits a day that holds a large share of the rows.
+    spread = F.xxhash64(*[c for c, t in confirmed.dtypes if not t.startswith("map")])
+    (confirmed.repartitionByRange("Fecha", spread).sortWithinPartitions("Fecha")
      .write.mode("overwrite").options(**options).format(fmt).save(f"{path}/confirmed"))
     drafts.write.mode("overwrite").options(**options).format(fmt).save(f"{path}/drafts")
 
@@ -93,9 +95,12 @@ def publish(target: DataFrame, new: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Listing table partitioned by month, sorted by date inside the files."""
+    """Listing table partitioned by month, sorted by date inside the files.
+
+    The id is the last range column, so that a large day and the undated rows are split.
+    """
     month = F.date_format("fecha_iso", "yyyy-MM")
-    (df.withColumn("month", month).repartitionByRange("month", "fecha_iso")
+    (df.withColumn("month", month).repartitionByRange("month", "fecha_iso", "id")
      .sortWithinPartitions("month", "fecha_iso").write.mode("overwrite").partitionBy("month").parquet(path))
 
 

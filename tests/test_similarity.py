@@ -48,12 +48,35 @@ def slow_leaders(titles, threshold, use_ratio):
     return out
 
 
-def test_vector_path_equals_scalar_path(monkeypatch):
+def test_leaders_equal_scalar_pass():
     rng = random.Random(2)
     for trial in range(30):
         titles = list(dict.fromkeys(words(rng, rng.randint(0, 6)) for _ in range(120)))
         for use_ratio, threshold in ((True, 82), (False, 90), (True, 60)):
             want = slow_leaders(titles, threshold, use_ratio)
-            monkeypatch.setattr(sim.Leaders, "SMALL", 0)
             got = sim.follow_leaders(titles, sim.Leaders(threshold, use_ratio))
             assert got == want, (trial, use_ratio, threshold)
+
+
+def test_answer_does_not_depend_on_the_number_of_leaders():
+    rng = random.Random(5)
+    pair = ["abba ab cc b cbaa", "cc aa a ab cbaa"]
+    assert round(sim.title_score(*pair), 2) == 81.25
+    for others in (0, 26, 5000):
+        leaders = sim.Leaders(82, True)
+        for i in range(others):
+            leaders.add(f"unrelated number {i} {'xyz'[i % 3] * (40 + i % 20)}")
+        leaders.add(pair[0])
+        assert leaders.first(pair[1]) == -1
+
+    def scrambled():
+        return " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 6)))
+
+    for use_ratio, threshold in ((True, 82), (False, 70), (True, 70), (False, 90)):
+        for _ in range(6000):
+            a, b = scrambled(), scrambled()
+            if a == b:
+                continue
+            leaders = sim.Leaders(threshold, use_ratio)
+            leaders.add(a)
+            assert (leaders.first(b) == 0) == (sim.title_score(b, a, use_ratio) >= threshold), (a, b)
