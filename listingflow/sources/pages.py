@@ -1,8 +1,10 @@
 """Captured web pages -> cards, sections, facts, paragraphs, images.
 
-Pages are a table (page_id, url, html).  Mark-up is cut with Catalyst regular
-expressions, so extraction is a narrow, code-generated projection next to the
-scan: no page leaves the JVM and nothing shuffles until cards are made unique.
+Pages are a table (page_id, url, html).  Mark-up is put in a regular, numbered form
+once per page (``markup.walked``, in Arrow batches), so that nesting, quotes and the
+order of attributes do not matter, and then cut with Catalyst regular expressions.
+Extraction is a narrow projection next to the scan; nothing shuffles until cards are
+made unique.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from ..functions.parse import (
 )
 from ..functions.text import any_contains, blank_to_null, clean_text, let, name_from_slug, strip
 from ..operators.survivors import first_seen
+from .markup import plain, walked, whole
 
 # Description containers in order of preference, as (tag, attribute part).
 DESCRIPTION_CONTAINERS = [
@@ -106,10 +109,11 @@ def extract_cards(
     """
     rule = CARD_RULES[rule] if isinstance(rule, str) else rule
     site = base if base is not None else F.regexp_extract("url", r"^[a-z]+://[^/?#]+", 0)
-    cards = pages.select(
-        "page_id", site.alias("site"),
-        F.posexplode(F.regexp_extract_all("html", F.lit(DOTALL + rule["card"]), 0)).alias("pos", "card"),
-    )
+    opening, cut, _ = rule["card"].rpartition(">.*?</")
+    pattern = whole(opening) if cut else rule["card"]
+    cards = pages.select("page_id", site.alias("site"), walked(F.col("html")).alias("html")).select(
+        "page_id", "site", F.posexplode(F.regexp_extract_all("html", F.lit(DOTALL + pattern), 0)).alias("pos", "card"),
+    ).withColumn("card", plain(F.col("card")))
     card = F.col("card")
     href = blank_to_null(_pick(card, r"href=\"([^\"]*)\""))
     absolute = F.when(href.rlike("^https?://"), href).when(
@@ -135,11 +139,10 @@ def extract_cards(
 
 def extract_microdata(pages: DataFrame) -> DataFrame:
     """schema.org microdata blocks: title, start, place, background image, tags."""
-    block = r"<article\b[^>]*itemtype=\"[^\"]*Event[^\"]*\"[^>]*>.*?</article>"
-    rows = pages.select(
-        "page_id", "url",
-        F.posexplode(F.regexp_extract_all("html", F.lit(DOTALL + block), 0)).alias("pos", "block"),
-    )
+    block = whole(r"<article\b[^>]*itemtype=\"[^\"]*Event[^\"]*\"[^>]*")
+    rows = pages.select("page_id", "url", walked(F.col("html")).alias("html")).select(
+        "page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(DOTALL + block), 0)).alias("pos", "block"),
+    ).withColumn("block", plain(F.col("block")))
     b = F.col("block")
     tags = F.regexp_extract_all(b, F.lit(DOTALL + r"<span\b[^>]*badge[^>]*>(.*?)</span>"), 1)
     image = blank_to_null(_pick(b, r"url\(['\"]?([^'\")]+)['\"]?\)"))
@@ -156,7 +159,7 @@ def extract_microdata(pages: DataFrame) -> DataFrame:
 def segment_sections(pages: DataFrame, as_of: Column, heading: str = "h3") -> DataFrame:
     """One row per heading section; marked list items give place, date, hour and price."""
     part = rf"<{heading}\b[^>]*>"
-    split = pages.select(
+    split = pages.select("page_id", "url", plain(walked(F.col("html"))).alias("html")).select(
         "page_id", "url", F.posexplode(F.split("html", DOTALL + part)).alias("pos", "part")
     ).filter(F.col("pos") > 0)
     body = F.col("part")
@@ -282,17 +285,17 @@ def _paragraphs(html: Column, min_size: int) -> Column:
 def extract_paragraphs(pages: DataFrame, containers: Sequence[tuple[str, str]] = DESCRIPTION_CONTAINERS,
                        min_text: int = 30) -> DataFrame:
     """Description of each page: first container with enough text, else loose paragraphs."""
-    html = F.regexp_replace("html", r"(?is)<(script|style|nav|footer)\b.*?</(script|style|nav|footer)>", " ")
-    body = pages.select("page_id", "url", html.alias("body"))
+    html = F.regexp_replace("html", DOTALL + whole(r"<(?:script|style|nav|footer)\b[^>]*"), " ")
+    body = pages.select("page_id", "url", walked(F.col("html")).alias("html")).select("page_id", "url", html.alias("body"))
 
     def usable(found: Column) -> Column:
         return F.when((F.length(found) > min_text) & ~is_boilerplate(found), found)
 
     layers = [
-        let(_paragraphs(_pick(F.col("body"), rf"<{tag}\b[^>]*{mark}[^>]*>(.*?)</(?:{tag})>"), 5), usable)
+        let(_paragraphs(plain(_pick(F.col("body"), whole(rf"<{tag}\b[^>]*{mark}[^>]*"), 2)), 5), usable)
         for tag, mark in containers
     ]
-    loose = F.nullif(_paragraphs(F.col("body"), 20), F.lit(""))
+    loose = F.nullif(_paragraphs(plain(F.col("body")), 20), F.lit(""))
     return body.select("page_id", "url", F.coalesce(*layers, loose).alias("descripcion"))
 
 
@@ -301,6 +304,7 @@ def image_candidates(pages: DataFrame, *, wide_images: int | None = None) -> Dat
 
     ``wide_images`` looks for wide ones among the first images only; the default takes all.
     """
+    pages = pages.select("page_id", plain(walked(F.col("html"))).alias("html"))
     og = pages.select(
         "page_id", F.lit(1).alias("layer"), F.lit(0).alias("pos"),
         blank_to_null(_pick(F.col("html"), r"<meta\b[^>]*property=\"og:image\"[^>]*content=\"([^\"]*)\"")).alias("image"),
