@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 def on_listing(name: str, sql: str | None = None, ctes: str = ""):
     """Register ``fn(listing_df)``; the SQL may use the ``listing`` view."""
-    full = None if sql is None else f"WITH {LISTING_SQL}{', ' + ctes if ctes else ''} {sql}"
+    full = None if sql is None else f"WITH RECURSIVE {LISTING_SQL}{', ' + ctes if ctes else ''} {sql}"
 
     def add(fn: Callable[[DataFrame], DataFrame]):
         query(name, full)(lambda spark, sf_dir: fn(listing(spark, sf_dir)))

@@ -1,8 +1,8 @@
 """Entity resolution queries.
 
-Greedy clustering has no SQL form; those queries are checked against brute force
-in the tests.  Exact-key groups, fingerprints and the parts of the survivor rule
-that SQL can say are checked here.
+The SQL scores pairs with the bit-parallel longest common subsequence on 128-bit numbers and
+runs the greedy leader pass as a recursive query, one title of every block a step.  Sessions
+and the table clean-up are checked against brute force in the tests.
 """
 
 from __future__ import annotations
@@ -20,21 +20,81 @@ from .relational_queries import SANITIZED
 from .tables import AS_OF, LISTING_SQL, listing, table
 
 
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts of under 120 letters."""
+    full = f"((1::HUGEINT << length({a})::INT) - 1)"
+    hits = f"""list_transform(string_split({b}, ''), lambda ch: list_sum(list_transform(range(length({a})),
+      lambda i: CASE WHEN substr({a}, i + 1, 1) = ch THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT)"""
+    last = f"list_reduce(list_concat([{full}], {hits}), lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full})"
+    bits = f"list_sum(list_transform(range(length({a})), lambda i: (({last} >> i::INT) & 1)::INT))"
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - {bits} END)"
+
+
+def _scores(pairs: str, use_ratio: bool = True) -> str:
+    """Common tables that end in ``scored``: the rows of ``pairs`` (with texts a and b) and their score."""
+    words = lambda x: f"list_sort(list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> '')))"
+    score = "greatest(score, 200.0::DOUBLE * full_lcs / nullif(length(a) + length(b), 0))" if use_ratio else "score"
+    return f"""tok AS (SELECT *, {words('a')} AS wa, {words('b')} AS wb FROM {pairs}),
+sets AS (SELECT *, list_filter(wa, lambda w: list_contains(wb, w)) AS both_words FROM tok),
+rests AS (SELECT *, array_to_string(list_filter(wa, lambda w: NOT list_contains(wb, w)), ' ') AS ra,
+  array_to_string(list_filter(wb, lambda w: NOT list_contains(wa, w)), ' ') AS rb,
+  length(array_to_string(both_words, ' ')) AS sh, CASE WHEN len(both_words) > 0 THEN length(array_to_string(both_words, ' ')) + 1 ELSE 0 END AS ld FROM sets),
+counted AS (SELECT *, {_lcs('ra', 'rb')} AS rest_lcs, {_lcs('a', 'b') if use_ratio else '0'} AS full_lcs FROM rests),
+based AS (SELECT *, CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0::DOUBLE WHEN len(both_words) > 0 AND (ra = '' OR rb = '') THEN 100.0::DOUBLE
+  ELSE greatest(200.0::DOUBLE * (ld + rest_lcs) / (2 * ld + length(ra) + length(rb)),
+    CASE WHEN len(both_words) > 0 THEN 200.0::DOUBLE * sh / (sh + ld + least(length(ra), length(rb))) ELSE 0 END) END AS score FROM counted),
+scored AS (SELECT * REPLACE (CASE WHEN score < 100 THEN {score} ELSE score END AS score) FROM based)"""
+
+
+def _leaders(
+    rows: str, where: str, block: str = "CAST(fecha_iso AS VARCHAR)", title: str = s.canonical_title("nombre"),
+    order: str = s.SURVIVOR_ORDER, least: int = 82, use_ratio: bool = True,
+) -> str:
+    """Common tables that end in ``led`` (block, title, leader): the greedy pass over the titles of each block."""
+    return f"""keyed AS (SELECT {block} AS block, {title} AS title,
+  row_number() OVER (ORDER BY {order}) AS place FROM {rows} WHERE {where}),
+firsts AS (SELECT block, title, min(place) AS place FROM keyed GROUP BY ALL),
+ranked AS (SELECT block, title, row_number() OVER (PARTITION BY block ORDER BY place) AS k FROM firsts),
+duo AS (SELECT x.block, x.k AS i, y.k AS j, y.title AS a, x.title AS b FROM ranked x JOIN ranked y ON x.block = y.block AND x.k < y.k),
+{_scores('duo', use_ratio)},
+near AS (SELECT block, j, list(i ORDER BY i) AS earlier FROM scored WHERE score >= {least} GROUP BY ALL),
+steps AS (SELECT ranked.block, k, coalesce(earlier, []) AS earlier FROM ranked LEFT JOIN near ON ranked.block = near.block AND k = j),
+walk AS (SELECT block, 1::BIGINT AS k, [1::BIGINT] AS heads, 1::BIGINT AS head FROM steps WHERE k = 1
+  UNION ALL
+  SELECT w.block, t.k, CASE WHEN len(hit) = 0 THEN list_append(heads, t.k) ELSE heads END, CASE WHEN len(hit) = 0 THEN t.k ELSE hit[1] END
+  FROM walk w JOIN steps t ON w.block = t.block AND t.k = w.k + 1, LATERAL (SELECT list_filter(t.earlier, lambda e: list_contains(w.heads, e)) AS hit)),
+led AS (SELECT x.block, x.title, h.title AS leader FROM walk JOIN ranked x USING (block, k) JOIN ranked h ON h.block = walk.block AND h.k = walk.head)"""
+
+
+_BLOCK = f"concat_ws(chr(1), coalesce(CAST(fecha_iso AS VARCHAR), '-'), coalesce(hora, ''), {s.fold('lugar')})"
+_TABLE_CLUSTERS = _leaders("listing", f"NOT {s.generic_title('nombre')}", _BLOCK, "lower(nombre)", "id", 90, False) + f""", clustered AS (
+  SELECT listing.*, led.block || chr(1) || leader AS cluster FROM listing JOIN led ON led.block = {_BLOCK} AND led.title = lower(nombre)
+  WHERE NOT {s.generic_title('nombre')})"""
+_CLEAN = f""", placed AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {s.MASTER_ORDER}) AS r FROM clustered),
+fused AS (SELECT cluster, first(length(descripcion) ORDER BY coalesce(length(descripcion), 0) DESC, r) AS size,
+  coalesce(first(imagen_url ORDER BY r) FILTER (coalesce(imagen_url, '') <> ''), first(imagen_url ORDER BY r)) AS imagen_url FROM placed GROUP BY cluster)"""
+
+
 def _ready(df):
     """Rows as they enter the resolution: sanitised and free of same-source copies."""
     return survivors.keep_first(quality.sanitize(df, F.lit(AS_OF)))
 
 
-on_listing("title_similarity")(lambda df: df.select("id", title_similarity(
-    canonical_title(F.col("nombre")), canonical_title(name_from_slug(F.regexp_replace("url_venta", r"/\d+(\?.*)?$", "")))).alias("score")))
-on_listing("similar_pairs")(lambda df: resolve.similar_pairs(
+on_listing("title_similarity", "SELECT id, score FROM scored", f"""pair AS (SELECT id, {s.canonical_title('nombre')} AS a,
+  {s.canonical_title('p_name')} AS b FROM listing JOIN orders ON o_orderkey = id JOIN part ON p_partkey = o_custkey), {_scores('pair')}""")(
+    lambda df: df.select("id", title_similarity(
+        canonical_title(F.col("nombre")), canonical_title(name_from_slug(F.regexp_replace("url_venta", r"/\d+(\?.*)?$", "")))).alias("score")))
+on_listing("similar_pairs", "SELECT block, title, leader FROM led WHERE title <> leader", _leaders("listing", "fecha_iso IS NOT NULL"))(lambda df: resolve.similar_pairs(
     df.filter("fecha_iso IS NOT NULL"), block=F.col("fecha_iso").cast("string"),
     title=canonical_title(F.col("nombre")), rank=survivors.survivor_rank()))
-on_listing("fuzzy_cluster")(lambda df: resolve.fuzzy_cluster(_ready(df)).select("id", "fecha_iso", "cluster"))
+on_listing("fuzzy_cluster", f"""SELECT id, fecha_iso, CASE WHEN fecha_iso IS NULL THEN 'draft|' || id ELSE block || '|' || leader END AS cluster
+FROM one LEFT JOIN led ON block = CAST(fecha_iso AS VARCHAR) AND title = {s.canonical_title('nombre')}""",
+    f"{SANITIZED}, one AS ({s.first_row('san', 'organiza, url_venta, fecha_iso, coalesce(hora, {0})'.format(chr(39) * 2), s.SURVIVOR_ORDER)}), " + _leaders("one", "fecha_iso IS NOT NULL"))(lambda df: resolve.fuzzy_cluster(_ready(df)).select("id", "fecha_iso", "cluster"))
 on_listing("hour_subgroups")(lambda df: _subgroups(resolve.fuzzy_cluster(_ready(df))))
 on_listing("session_survivors")(lambda df: refine.resolve(quality.sanitize(df, F.lit(AS_OF))).select("id", "cluster", "merged_from_sources"))
-on_listing("table_clusters")(lambda df: resolve.table_clusters(df).select("id", "cluster"))
-on_listing("clean_table")(lambda df: resolve.clean_table(df).select("id", "nombre", F.length("descripcion").alias("size"), "imagen_url"))
+on_listing("table_clusters", "SELECT id, cluster FROM clustered", _TABLE_CLUSTERS)(lambda df: resolve.table_clusters(df).select("id", "cluster"))
+on_listing("clean_table", f"""SELECT placed.id, nombre, fused.size, fused.imagen_url FROM placed JOIN fused USING (cluster) WHERE r = 1
+UNION ALL SELECT id, nombre, length(descripcion), imagen_url FROM listing WHERE {s.generic_title('nombre')}""", _TABLE_CLUSTERS + _CLEAN)(lambda df: resolve.clean_table(df).select("id", "nombre", F.length("descripcion").alias("size"), "imagen_url"))
 on_listing("refine")(lambda df: refine.refine(df, AS_OF).select(
     "id", "nombre", "lugar", "fecha_iso", "hora", "precio_num", "estilo", "organiza", "latitud", "longitud", "merged_from_sources"))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..operators.facts import layered_facts
+from ..schema import conform
+from ..session import checkpoint_dir
 from ..sources import feeds, listings, pages, payloads, sinks
 from . import sqltext as s
 from .registry import on_listing, query
@@ -22,6 +27,26 @@ def _places():
     return F.array(*[LIT(x) for x in PLACES])
 
 
+def _folder(df, name):
+    return f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+def _export_and_back(df):
+    """Both outputs written, the confirmed one read under its own headers again."""
+    folder = _folder(df, "export")
+    sinks.write_split(_refined(df), folder)
+    back = listings.read_export(df.sparkSession, f"{folder}/confirmed")
+    return back.select(*[F.col(c).cast("string") for c in v.EXPORT_COLUMNS])
+
+
+def _table_and_back(df):
+    """The whole table written by month, a range of dates read from it."""
+    folder = _folder(df, "table")
+    sinks.write_table(conform(df), folder)
+    back = listings.read_listings(df.sparkSession, folder, dt.date(2026, 11, 1), dt.date(2027, 3, 15))
+    return back.select("id", "nombre", "fecha_iso", "hora", "precio_num", "enriquecido")
+
+
 # ------------------------------------------------------------ payloads
 @query("flatten_sessions", f"""
 WITH sess AS (SELECT l_orderkey, l_linenumber || '-' || l_partkey AS sid,
@@ -285,6 +310,10 @@ def _refined(df):
 
 on_listing("export_confirmed", "SELECT " + ", ".join(f'{a} AS "{b}"' for a, b in v.EXPORT_COLUMNS.items()) + " FROM export WHERE fecha_iso IS NOT NULL", _EXPORT)(
     lambda df: sinks.split_export(_refined(df))[0])
+on_listing("read_export", "SELECT " + ", ".join(f"CAST({a} AS VARCHAR) AS {a}" for a in v.EXPORT_COLUMNS) + " FROM export WHERE fecha_iso IS NOT NULL", _EXPORT)(
+    lambda df: _export_and_back(df))
+on_listing("read_listings", """SELECT id, nombre, fecha_iso, hora, precio_num, enriquecido FROM listing
+WHERE fecha_iso BETWEEN DATE '2026-11-01' AND DATE '2027-03-15'""")(lambda df: _table_and_back(df))
 on_listing("export_drafts", "SELECT " + ", ".join(f'{a} AS "{b}"' for a, b in v.EXPORT_COLUMNS.items()) + " FROM export WHERE fecha_iso IS NULL", _EXPORT)(
     lambda df: sinks.split_export(_refined(df))[1])
 on_listing("json_records", r"""
