@@ -61,10 +61,10 @@ def shifted(df: DataFrame) -> DataFrame:
     return df.withColumn("day", day)
 
 
-def order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    return shifted(spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir))
+def order_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as a stream of the files that come into ``folder``."""
+    schema = spark.read.parquet(folder).schema
+    return shifted(spark.readStream.schema(schema).parquet(folder))
 
 
 def listing(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
