@@ -347,14 +347,15 @@ def fact_candidates(
     One pass over the pages.  ``text_size`` limits the text layer and ``time_tags`` the
     number of ``time`` tags; the default reads the whole visible text and all tags.
     """
-    html = F.col("html")
+    html, regular = F.col("html"), F.col("regular")
+    pages = pages.withColumn("regular", plain(walked(html)))
 
     def marked(names: str) -> Column:
-        return tag_text(_pick(html, rf"class=\"[^\"]*(?:{names})[^\"]*\"[^>]*>(.*?)</"))
+        return tag_text(_pick(regular, rf"class=\"[^\"]*(?:{names})[^\"]*\"[^>]*>(.*?)</"))
 
     typed = F.filter(jsonld_items(html), lambda i: _raw_text(i, "$['@type']").isin(*v.EVENT_TYPES))
     text = tag_text(html)
-    times = F.regexp_extract_all(html, F.lit(r"(?is)<time\b[^>]*datetime=\"([^\"]*)\""), 1)
+    times = F.regexp_extract_all(regular, F.lit(r"(?is)<time\b[^>]*datetime=\"([^\"]*)\""), 1)
     parts = pages.select(
         "page_id", F.get(typed, F.lit(0)).alias("item"), marked("price|precio|tarifa").alias("price"),
         marked("date|fecha").alias("date"), marked("venue|location|lugar|recinto").alias("venue"),

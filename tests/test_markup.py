@@ -1,6 +1,7 @@
 """Page extraction on nested, single-quoted and reordered mark-up; values written by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from listingflow.sources import pages
 from listingflow.sources.markup import regular
@@ -62,3 +63,9 @@ def test_images_and_microdata(spark):
     block = "<article itemtype='https://schema.org/Event'><article>inner</article><meta content='2027-05-01' itemprop='startDate'><h5>Night</h5></article>"
     got = pages.extract_microdata(table(spark, block)).collect()
     assert [(r.title, r.start) for r in got] == [("Night", "2027-05-01")]
+
+
+def test_facts_of_single_quoted_marks(spark):
+    page = "<span class='price'>12 €</span><time datetime='2027-05-01T20:30:00'>x</time>"
+    facts = {(r.field, r.layer): r.value for r in pages.fact_candidates(table(spark, page), F.lit("2027-01-01").cast("date")).collect()}
+    assert facts["precio_num", 2] == "12.0" and facts["fecha_iso", 3] == "2027-05-01" and facts["hora", 3] == "20:30"
