@@ -367,9 +367,26 @@ on_listing("total_regressions", """SELECT c.n - p.n AS diff_total, c.h - p.h AS
 
 on_listing("audit", f"SELECT id, coalesce(venue, lugar) AS lugar, CASE WHEN precio_num > 300 THEN NULL ELSE precio_num END AS precio_num FROM found WHERE NOT {s.garbage_row('nombre', 'lugar')}", _PATTERNS + ", " + _DETECTED)(
     lambda df: quality.audit(df).select("id", "lugar", "precio_num"))
-SANITIZED = f"""san1 AS (SELECT * REPLACE (CASE WHEN NOT {s.junk_title('nombre')} THEN fecha_iso END AS fecha_iso, {s.strip_place_suffix('nombre')} AS nombre,
-  {s.canonical_venue('lugar')} AS lugar, CASE WHEN precio_num > 300 THEN NULL ELSE precio_num END AS precio_num) FROM listing WHERE NOT {s.social('nombre', 'url_venta')}),
+def sanitized(rows: str) -> str:
+    """Common tables that end in ``san``; ``san1`` is the stage at which titles are gated."""
+    return f"""san1 AS (SELECT * REPLACE (CASE WHEN NOT {s.junk_title('nombre')} THEN fecha_iso END AS fecha_iso, {s.strip_place_suffix('nombre')} AS nombre,
+  {s.canonical_venue('lugar')} AS lugar, CASE WHEN precio_num > 300 THEN NULL ELSE precio_num END AS precio_num) FROM {rows} WHERE NOT {s.social('nombre', 'url_venta')}),
 san2 AS (SELECT * REPLACE (CASE WHEN NOT {s.generic_title('nombre')} THEN fecha_iso END AS fecha_iso) FROM san1),
 san AS (SELECT * FROM san2 WHERE fecha_iso IS NULL OR fecha_iso >= {AS_OF_SQL})"""
+
+
+SANITIZED = sanitized("listing")
+# The stages before: audited, classified and located rows.
+PREPARED = f"""{_PATTERNS}, {_DETECTED}, {_COORDS},
+audited AS (SELECT * EXCLUDE (venue) REPLACE (coalesce(venue, lugar) AS lugar, CASE WHEN venue IS NULL THEN latitud END AS latitud,
+  CASE WHEN venue IS NULL THEN longitud END AS longitud, CASE WHEN precio_num > 300 THEN NULL ELSE precio_num END AS precio_num)
+  FROM found WHERE NOT {s.garbage_row('nombre', 'lugar')}),
+classified AS (SELECT * EXCLUDE (b, t, d) REPLACE (CASE WHEN b.score > 0 THEN b.name ELSE estilo END AS estilo)
+  FROM (SELECT *, {_BEST} AS b FROM (SELECT *, nombre AS t, descripcion AS d FROM audited))),
+spots AS (SELECT p, arg_min(lat, (CASE WHEN key = p THEN 0 ELSE 1000 END) + ord) AS lat, arg_min(lon, (CASE WHEN key = p THEN 0 ELSE 1000 END) + ord) AS lon
+  FROM (SELECT DISTINCT {s.fold('lugar')} AS p FROM classified) JOIN coords ON contains(p, key) OR contains(key, p) WHERE p <> '' GROUP BY p),
+located AS (SELECT c.* REPLACE (CASE WHEN latitud IS NULL OR longitud IS NULL THEN coalesce(lat, 28.1235::DOUBLE) ELSE latitud END AS latitud,
+  CASE WHEN latitud IS NULL OR longitud IS NULL THEN coalesce(lon, (-15.4363)::DOUBLE) ELSE longitud END AS longitud)
+  FROM classified c LEFT JOIN spots ON p = {s.fold('lugar')})"""
 on_listing("sanitize", "SELECT id, nombre, lugar, fecha_iso, precio_num FROM san", SANITIZED)(
     lambda df: quality.sanitize(df, today()).select("id", "nombre", "lugar", "fecha_iso", "precio_num"))

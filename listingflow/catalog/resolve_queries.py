@@ -1,8 +1,8 @@
 """Entity resolution queries.
 
 The SQL scores pairs with the bit-parallel longest common subsequence on 128-bit numbers and
-runs the greedy leader pass as a recursive query, one title of every block a step.  Sessions
-and the table clean-up are checked against brute force in the tests.
+runs the greedy leader pass as a recursive query, one title of every block a step; sessions are
+a second one, one row of every cluster a step.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..operators.lookups import attach_sources
 from ..plans import refine
 from . import sqltext as s
 from .registry import on_listing, query
-from .relational_queries import SANITIZED
+from .relational_queries import PREPARED, SANITIZED, sanitized
 from .tables import AS_OF, LISTING_SQL, listing, table
 
 
@@ -75,6 +75,41 @@ fused AS (SELECT cluster, first(length(descripcion) ORDER BY coalesce(length(des
   coalesce(first(imagen_url ORDER BY r) FILTER (coalesce(imagen_url, '') <> ''), first(imagen_url ORDER BY r)) AS imagen_url FROM placed GROUP BY cluster)"""
 
 
+def _clusters(sanitized_rows: str) -> str:
+    """Common tables that end in ``clustered``: rows without same-source copies and their cluster."""
+    keys = "organiza, url_venta, fecha_iso, coalesce(hora, '')"
+    return f"""{sanitized_rows}, one AS ({s.first_row('san', keys, s.SURVIVOR_ORDER)}),
+{_leaders('one', 'fecha_iso IS NOT NULL')},
+clustered AS (SELECT one.*, CASE WHEN fecha_iso IS NULL THEN 'draft|' || id ELSE block || '|' || leader END AS cluster
+  FROM one LEFT JOIN led ON block = CAST(fecha_iso AS VARCHAR) AND title = {s.canonical_title('nombre')})"""
+
+
+def _sessions(rows: str) -> str:
+    """Common tables that end in ``sub_of`` (cluster, id, sub): hour groups of ``rows`` of ``clustered``."""
+    minute = "coalesce(TRY_CAST(string_split(hora, ':')[1] AS INT) * 60 + TRY_CAST(string_split(hora, ':')[2] AS INT), -999)"
+    near = "t.m = -999 OR list_contains(g, -999) OR len(list_filter(g, lambda x: abs(x - t.m) < 120)) > 0"
+    return f"""timed AS (SELECT cluster, id, CASE WHEN {s.generic_place('lugar')} THEN -999 ELSE {minute} END AS m,
+  row_number() OVER (PARTITION BY cluster ORDER BY {s.SURVIVOR_ORDER}) AS k FROM {rows}),
+heard AS (SELECT cluster, id, k, [[m]] AS groups, 1::BIGINT AS hit FROM timed WHERE k = 1
+  UNION ALL
+  SELECT t.cluster, t.id, t.k, CASE WHEN f.at = 0 THEN list_append(h.groups, [t.m])
+    ELSE list_transform(h.groups, lambda g, i: CASE WHEN i = f.at THEN list_append(g, t.m) ELSE g END) END,
+    CASE WHEN f.at = 0 THEN len(h.groups) + 1 ELSE f.at END
+  FROM heard h JOIN timed t ON t.cluster = h.cluster AND t.k = h.k + 1,
+    LATERAL (SELECT coalesce(list_position(list_transform(h.groups, lambda g: {near}), true), 0)::BIGINT AS at) f),
+sub_of AS (SELECT cluster, id, (hit - 1)::INT AS sub FROM heard)"""
+
+
+_VENUE = "lower(trim(coalesce(lugar, '')))"
+_KEPT = f"""same AS (SELECT cluster FROM clustered WHERE {_VENUE} <> '' AND NOT {s.generic_place(_VENUE)} GROUP BY cluster
+  HAVING count(*) >= 2 AND count(DISTINCT {_VENUE}) = 1),
+apart AS (SELECT * FROM clustered WHERE cluster NOT IN (SELECT cluster FROM same)),
+{_sessions('apart')},
+placed AS (SELECT c.*, coalesce(sub, 0) AS sub FROM clustered c LEFT JOIN sub_of USING (cluster, id)),
+sources AS (SELECT cluster, string_agg(DISTINCT organiza, ' + ' ORDER BY organiza) AS merged_from_sources FROM clustered GROUP BY cluster),
+kept AS (SELECT placed.*, merged_from_sources FROM ({s.first_row('placed', 'cluster, sub', f"{s.quality_score()} DESC, {s.SURVIVOR_ORDER}")}) placed JOIN sources USING (cluster))"""
+
+
 def _ready(df):
     """Rows as they enter the resolution: sanitised and free of same-source copies."""
     return survivors.keep_first(quality.sanitize(df, F.lit(AS_OF)))
@@ -87,21 +122,21 @@ on_listing("title_similarity", "SELECT id, score FROM scored", f"""pair AS (SELE
 on_listing("similar_pairs", "SELECT block, title, leader FROM led WHERE title <> leader", _leaders("listing", "fecha_iso IS NOT NULL"))(lambda df: resolve.similar_pairs(
     df.filter("fecha_iso IS NOT NULL"), block=F.col("fecha_iso").cast("string"),
     title=canonical_title(F.col("nombre")), rank=survivors.survivor_rank()))
-on_listing("fuzzy_cluster", f"""SELECT id, fecha_iso, CASE WHEN fecha_iso IS NULL THEN 'draft|' || id ELSE block || '|' || leader END AS cluster
-FROM one LEFT JOIN led ON block = CAST(fecha_iso AS VARCHAR) AND title = {s.canonical_title('nombre')}""",
-    f"{SANITIZED}, one AS ({s.first_row('san', 'organiza, url_venta, fecha_iso, coalesce(hora, {0})'.format(chr(39) * 2), s.SURVIVOR_ORDER)}), " + _leaders("one", "fecha_iso IS NOT NULL"))(lambda df: resolve.fuzzy_cluster(_ready(df)).select("id", "fecha_iso", "cluster"))
-on_listing("hour_subgroups")(lambda df: _subgroups(resolve.fuzzy_cluster(_ready(df))))
-on_listing("session_survivors")(lambda df: refine.resolve(quality.sanitize(df, F.lit(AS_OF))).select("id", "cluster", "merged_from_sources"))
+on_listing("fuzzy_cluster", "SELECT id, fecha_iso, cluster FROM clustered", _clusters(SANITIZED))(
+    lambda df: resolve.fuzzy_cluster(_ready(df)).select("id", "fecha_iso", "cluster"))
+on_listing("hour_subgroups", "SELECT cluster, id, sub FROM sub_of", f"{_clusters(SANITIZED)}, {_sessions('clustered')}")(
+    lambda df: _subgroups(resolve.fuzzy_cluster(_ready(df))))
+on_listing("session_survivors", "SELECT id, cluster, merged_from_sources FROM kept", f"{_clusters(SANITIZED)}, {_KEPT}")(lambda df: refine.resolve(quality.sanitize(df, F.lit(AS_OF))).select("id", "cluster", "merged_from_sources"))
 on_listing("table_clusters", "SELECT id, cluster FROM clustered", _TABLE_CLUSTERS)(lambda df: resolve.table_clusters(df).select("id", "cluster"))
 on_listing("clean_table", f"""SELECT placed.id, nombre, fused.size, fused.imagen_url FROM placed JOIN fused USING (cluster) WHERE r = 1
 UNION ALL SELECT id, nombre, length(descripcion), imagen_url FROM listing WHERE {s.generic_title('nombre')}""", _TABLE_CLUSTERS + _CLEAN)(lambda df: resolve.clean_table(df).select("id", "nombre", F.length("descripcion").alias("size"), "imagen_url"))
-on_listing("refine")(lambda df: refine.refine(df, AS_OF).select(
+on_listing("refine", """SELECT id, nombre, lugar, fecha_iso, hora, precio_num, estilo, organiza, latitud, longitud, merged_from_sources
+FROM kept""", f"{PREPARED}, {_clusters(sanitized('located'))}, {_KEPT}")(lambda df: refine.refine(df, AS_OF).select(
     "id", "nombre", "lugar", "fecha_iso", "hora", "precio_num", "estilo", "organiza", "latitud", "longitud", "merged_from_sources"))
 
 
 def _subgroups(clustered):
-    from ..functions.parse import hour_to_minutes
-    rows = clustered.select("cluster", F.struct("id").alias("rank"), hour_to_minutes(F.col("hora")).alias("minute"))
+    rows = clustered.select("cluster", survivors.survivor_rank().alias("rank"), resolve.session_minute().alias("minute"))
     return resolve.hour_subgroups(rows).select("cluster", F.col("rank.id").alias("id"), "sub")
 
 

@@ -301,6 +301,11 @@ def merged_sources(clustered: DataFrame, key: str = "cluster") -> DataFrame:
     )
 
 
+def session_minute() -> Column:
+    """Minute that tells sessions apart; a generic place counts as a row without hour."""
+    return F.when(is_generic_place(F.col("lugar")), F.lit(v.NO_HOUR)).otherwise(hour_to_minutes(F.col("hora")))
+
+
 def session_survivors(clustered: DataFrame, *, rows: DataFrame | None = None,
                       gap: int = v.SESSION_GAP_MINUTES, chunk: int = CHUNK) -> DataFrame:
     """Best row of every session of every cluster, with the cluster's sources.
@@ -308,12 +313,9 @@ def session_survivors(clustered: DataFrame, *, rows: DataFrame | None = None,
     Only key, order, minute, place and score travel through the grouping; the
     listings (``rows``, by default ``clustered``) are joined once, by id.
     """
-    minute = F.when(is_generic_place(F.col("lugar")), F.lit(v.NO_HOUR)).otherwise(
-        hour_to_minutes(F.col("hora"))
-    )
     slim = settle(clustered.select(
         "cluster", "id", "lugar", "organiza", survivor_rank().alias("rank"),
-        quality_score().alias("score"), minute.alias("minute"),
+        quality_score().alias("score"), session_minute().alias("minute"),
     ))
     same = same_venue_clusters(slim).withColumn("one_place", F.lit(True))
     marked = slim.join(same, "cluster", "left")
