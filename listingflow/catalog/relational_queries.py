@@ -99,6 +99,28 @@ def _(spark, sf):
     return lookups.classify_keywords(docs).select("doc_id", "estilo")
 
 
+_KEYWORDS = """kw AS (SELECT CAST(substr(p_brand, 7) AS INT) AS ord, p_brand AS category, p_name AS keyword FROM part)"""
+
+
+@query("classify_by_table", f"""WITH {LISTING_SQL}, {_KEYWORDS},
+uses AS (SELECT keyword, category, any_value(ord) AS ord, count(*) AS n FROM kw GROUP BY keyword, category),
+words AS (SELECT DISTINCT keyword FROM uses),
+hits AS (SELECT id, keyword, CASE WHEN contains(lower(nombre), keyword) THEN 3 ELSE 1 END AS w FROM listing JOIN words
+  ON contains(lower(nombre || ' ' || coalesce(descripcion, '')), keyword)),
+points AS (SELECT id, category, any_value(ord) AS ord, sum(w * n) AS score FROM hits JOIN uses USING (keyword) GROUP BY id, category),
+best AS (SELECT id, category FROM points QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) = 1)
+SELECT id, coalesce(category, estilo) AS estilo FROM listing LEFT JOIN best USING (id)""")
+def _(spark, sf):
+    words = table(spark, sf, "part").select(
+        F.substring("p_brand", 7, 9).cast("int").alias("ord"), F.col("p_brand").alias("category"), F.col("p_name").alias("keyword"))
+    return lookups.classify_by_table(listing(spark, sf), words).select("id", "estilo")
+
+
+on_listing("classify_counters", f"""SELECT count(*) AS procesados, count(*) FILTER (WHERE b.score > 0 AND b.name IS DISTINCT FROM estilo) AS reclasificados FROM (
+SELECT estilo, {_BEST} AS b FROM (SELECT estilo, nombre AS t, descripcion AS d FROM listing))""")(
+    lambda df: aggregates.classify_counters(df, lookups.classify_keywords(df)))
+
+
 @query("apply_labels", f"""WITH {LISTING_SQL}, lab AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'Desconocida' WHEN quality = 1 THEN 'Teatro' ELSE 'Otros' END AS categoria FROM labels)
 SELECT listing.id, CASE WHEN categoria IN ({', '.join(s.q(c) for c in v.CATEGORIES)}) AND categoria <> 'Otros' THEN categoria ELSE estilo END AS estilo
 FROM listing LEFT JOIN lab ON lab.id = listing.id""")
@@ -221,10 +243,16 @@ def _no_data():
     raise OSError("source is down")
 
 
-on_listing("union_sources", "SELECT organiza, count(*) AS total FROM (SELECT * FROM listing WHERE organiza = 'CICCA' UNION ALL SELECT * FROM listing WHERE organiza <> 'CICCA') GROUP BY organiza")(
-    lambda df: aggregates.source_counts(sets.union_sources({
+on_listing("union_sources", "SELECT organiza, count(*) AS total, 'broken' AS failed FROM (SELECT * FROM listing WHERE organiza = 'CICCA' UNION ALL SELECT * FROM listing WHERE organiza <> 'CICCA') GROUP BY organiza")(
+    lambda df: _united(*sets.union_sources({
         "a": df.filter("organiza = 'CICCA'"), "b": lambda: df.filter("organiza <> 'CICCA'").drop("estilo"),
-        "broken": _no_data})[0]))
+        "broken": _no_data})))
+
+
+def _united(rows, failed):
+    return aggregates.source_counts(rows).withColumn("failed", LIT(" + ".join(failed)))
+
+
 on_listing("fallback_source", "SELECT id FROM listing WHERE organiza = 'CICCA'")(
     lambda df: sets.fallback_source(df.filter("organiza = 'nadie'").select("id"), df.filter("organiza = 'CICCA'").select("id")))
 on_listing("fallback_unused", "SELECT id FROM listing WHERE organiza = 'Tickety'")(
@@ -239,10 +267,12 @@ on_listing("hash_key", f"""SELECT id, {_INGEST} AS ingest,
   sha256(organiza || '|' || url_venta || '|' || coalesce(CAST(fecha_iso AS VARCHAR), 'None') || '|' || coalesce(hora, 'None')) AS publish FROM listing""")(
     lambda df: df.select("id", upsert.hash_key("ingest").alias("ingest"), upsert.hash_key("publish").alias("publish")))
 
+_TAKEN = ["nombre", "fecha_raw", "fecha_iso", "estilo", "imagen_url", "descripcion", "latitud", "longitud", "hora", "lugar", "url_venta"]
 _SIDES = f"""keyed AS (SELECT *, {_INGEST} AS hash_id FROM listing),
 tgt AS (SELECT DISTINCT ON (hash_id) *, 10 AS source_priority, 'g' || id AS event_group_id FROM keyed WHERE fecha_iso < DATE '2029-01-01' ORDER BY hash_id, id),
 src AS (SELECT *, precio_num + 1 AS new_price, CASE WHEN id % 2 = 0 THEN 'n' || id ELSE '' END AS gid FROM keyed WHERE fecha_iso >= DATE '2026-01-01'),
-batch AS (SELECT hash_id, arg_max_null(new_price, id) AS price, arg_max(gid, id) FILTER (WHERE gid <> '') AS gid, min(organiza) AS organiza, arg_max_null(url_venta, id) AS url FROM src GROUP BY hash_id)"""
+batch AS (SELECT hash_id, arg_max_null(new_price, id) AS price, arg_max(gid, id) FILTER (WHERE gid <> '') AS gid, arg_min(organiza, id) AS organiza,
+  {', '.join(f'arg_max_null({c}, id) AS {c}' for c in _TAKEN)} FROM src GROUP BY hash_id)"""
 
 
 def _upsert_sides(df):
@@ -254,12 +284,13 @@ def _upsert_sides(df):
     return target, batch
 
 
-on_listing("upsert", """SELECT coalesce(t.hash_id, b.hash_id) AS hash_id, CASE WHEN b.hash_id IS NOT NULL THEN price ELSE precio_num END AS precio_num,
-  CASE WHEN b.hash_id IS NOT NULL THEN url ELSE url_venta END AS url_venta, coalesce(b.gid, t.event_group_id) AS event_group_id,
+on_listing("upsert", f"""SELECT coalesce(t.hash_id, b.hash_id) AS hash_id, CASE WHEN b.hash_id IS NOT NULL THEN price ELSE precio_num END AS precio_num,
+  {', '.join(f"CASE WHEN b.hash_id IS NOT NULL THEN b.{c} ELSE t.{c} END AS {c}" for c in _TAKEN)}, CASE WHEN t.hash_id IS NOT NULL THEN t.organiza ELSE b.organiza END AS organiza,
+  coalesce(b.gid, t.event_group_id) AS event_group_id,
   CASE WHEN t.hash_id IS NOT NULL THEN 10 ELSE 50 END AS source_priority, b.hash_id IS NULL AS enriquecido, coalesce(t.estado, 'upcoming') AS estado
 FROM tgt t FULL JOIN batch b ON t.hash_id = b.hash_id""", _SIDES)(
     lambda df: upsert.upsert(*_upsert_sides(df), now=LIT("2027-01-01").cast("timestamp"), order="id").select(
-        "hash_id", "precio_num", "url_venta", "event_group_id", "source_priority", "enriquecido", "estado"))
+        "hash_id", "precio_num", *_TAKEN, "organiza", "event_group_id", "source_priority", "enriquecido", "estado"))
 on_listing("upsert_counters", "SELECT count(*) FILTER (WHERE t.hash_id IS NULL) AS insertados, count(t.hash_id) AS actualizados FROM batch b LEFT JOIN tgt t USING (hash_id)", _SIDES)(
     lambda df: upsert.upsert_counters(*_upsert_sides(df)))
 
@@ -300,16 +331,21 @@ def _(spark, sf):
 
 
 # ------------------------------------------------------------ quality
-_GATE_SQL = f"""m AS (SELECT 100.0::DOUBLE * count(*) FILTER (WHERE fecha_iso IS NOT NULL AND {s.blank_hour('hora')}) / count(fecha_iso) AS blank_hour,
+def gate_values(rows: str) -> str:
+    """Common table ``m``: the gate values of ``rows``."""
+    return f"""m AS (SELECT 100.0::DOUBLE * count(*) FILTER (WHERE fecha_iso IS NOT NULL AND {s.blank_hour('hora')}) / count(fecha_iso) AS blank_hour,
   100.0::DOUBLE * count(*) FILTER (WHERE {s.generic_title('nombre')}) / count(*) AS generic_titles,
   100.0::DOUBLE * count(*) FILTER (WHERE fecha_iso IS NULL) / count(*) AS no_date,
   100.0::DOUBLE * count(*) FILTER (WHERE {s.generic_place('lugar')}) / count(*) AS generic_places,
-  (SELECT max(n)::DOUBLE FROM (SELECT count(*) AS n FROM listing GROUP BY nombre)) AS repeated_title FROM listing)"""
-on_listing("table_gates", """SELECT 'blank_hour' AS gate, blank_hour AS value, 25.0::DOUBLE AS threshold, CASE WHEN blank_hour > 25 THEN 'alert' ELSE 'ok' END AS level FROM m
+  (SELECT max(n)::DOUBLE FROM (SELECT count(*) AS n FROM {rows} GROUP BY nombre HAVING nombre IS NOT NULL)) AS repeated_title FROM {rows})"""
+
+
+GATE_ROWS = """SELECT 'blank_hour' AS gate, blank_hour AS value, 25.0::DOUBLE AS threshold, CASE WHEN blank_hour > 25 THEN 'alert' ELSE 'ok' END AS level FROM m
 UNION ALL SELECT 'generic_titles', generic_titles, 5.0, CASE WHEN generic_titles > 5 THEN 'abort' ELSE 'ok' END FROM m
 UNION ALL SELECT 'no_date', no_date, 40.0, CASE WHEN no_date > 40 THEN 'error' ELSE 'ok' END FROM m
 UNION ALL SELECT 'generic_places', generic_places, 60.0, CASE WHEN generic_places > 60 THEN 'alert' ELSE 'ok' END FROM m
-UNION ALL SELECT 'repeated_title', repeated_title, 5.0, CASE WHEN repeated_title > 15 THEN 'error' WHEN repeated_title > 5 THEN 'alert' ELSE 'ok' END FROM m""", _GATE_SQL)(quality.table_gates)
+UNION ALL SELECT 'repeated_title', repeated_title, 5.0, CASE WHEN repeated_title > 15 THEN 'error' WHEN repeated_title > 5 THEN 'alert' ELSE 'ok' END FROM m"""
+on_listing("table_gates", GATE_ROWS, gate_values("listing"))(quality.table_gates)
 on_listing("drop_gate", f"""SELECT 'drop_ratio' AS gate, v AS value, 60.0::DOUBLE AS threshold, CASE WHEN v >= 60 THEN 'alert' ELSE 'ok' END AS level FROM (
 SELECT 100.0::DOUBLE * (count(*) - count(*) FILTER (WHERE fecha_iso >= {AS_OF_SQL})) / count(*) AS v FROM listing)""")(
     lambda df: quality.drop_gate(df, df.filter(F.col("fecha_iso") >= today())))
@@ -390,3 +426,13 @@ located AS (SELECT c.* REPLACE (CASE WHEN latitud IS NULL OR longitud IS NULL TH
   FROM classified c LEFT JOIN spots ON p = {s.fold('lugar')})"""
 on_listing("sanitize", "SELECT id, nombre, lugar, fecha_iso, precio_num FROM san", SANITIZED)(
     lambda df: quality.sanitize(df, today()).select("id", "nombre", "lugar", "fecha_iso", "precio_num"))
+
+
+on_listing("staged_gates", f"""SELECT 'blank_hour' AS gate, 100.0::DOUBLE * count(*) FILTER (WHERE {s.blank_hour('hora')}) / count(*) AS value, 25.0::DOUBLE AS threshold,
+  CASE WHEN 100.0::DOUBLE * count(*) FILTER (WHERE {s.blank_hour('hora')}) / count(*) > 25 THEN 'alert' ELSE 'ok' END AS level FROM san1 WHERE fecha_iso IS NOT NULL
+UNION ALL SELECT 'generic_titles', 100.0::DOUBLE * count(*) FILTER (WHERE {s.generic_title('nombre')}) / count(*), 5.0::DOUBLE,
+  CASE WHEN 100.0::DOUBLE * count(*) FILTER (WHERE {s.generic_title('nombre')}) / count(*) > 5 THEN 'abort' ELSE 'ok' END FROM san1""", SANITIZED)(quality.staged_gates)
+on_listing("audit_counters", f"""SELECT count(*) AS total, count(*) FILTER (WHERE bad) AS basura_eliminada,
+  count(*) FILTER (WHERE NOT bad AND venue IS NOT NULL AND venue IS DISTINCT FROM lugar) AS lugares_corregidos, 0::BIGINT AS deep_scrape_hits,
+  count(*) FILTER (WHERE NOT bad AND precio_num > 300) AS precios_corregidos
+FROM (SELECT *, {s.garbage_row('nombre', 'lugar')} AS bad FROM found)""", _PATTERNS + ", " + _DETECTED)(quality.audit_counters)

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.similarity import title_similarity
 from ..functions.text import canonical_title, name_from_slug
 from ..operators import quality, resolve, survivors
+from ..operators.aggregates import clean_counters
 from ..operators.lookups import attach_sources
 from ..plans import refine
+from ..session import settle
 from . import sqltext as s
 from .registry import on_listing, query
-from .relational_queries import PREPARED, SANITIZED, sanitized
+from .relational_queries import GATE_ROWS, PREPARED, SANITIZED, gate_values, sanitized
 from .tables import AS_OF, LISTING_SQL, listing, table
 
 
@@ -130,11 +132,20 @@ on_listing("session_survivors", "SELECT id, cluster, merged_from_sources FROM ke
 on_listing("table_clusters", "SELECT id, cluster FROM clustered", _TABLE_CLUSTERS)(lambda df: resolve.table_clusters(df).select("id", "cluster"))
 on_listing("clean_table", f"""SELECT placed.id, nombre, fused.size, fused.imagen_url FROM placed JOIN fused USING (cluster) WHERE r = 1
 UNION ALL SELECT id, nombre, length(descripcion), imagen_url FROM listing WHERE {s.generic_title('nombre')}""", _TABLE_CLUSTERS + _CLEAN)(lambda df: resolve.clean_table(df).select("id", "nombre", F.length("descripcion").alias("size"), "imagen_url"))
+on_listing("clean_counters", """SELECT (SELECT count(*) FROM (SELECT cluster FROM placed GROUP BY cluster HAVING count(*) > 1)) AS grupos_con_copias,
+  (SELECT count(*) - count(DISTINCT cluster) FROM placed) AS duplicados_eliminados,
+  count(*) FILTER (WHERE size IS DISTINCT FROM length(descripcion) OR fused.imagen_url IS DISTINCT FROM placed.imagen_url) AS maestros_enriquecidos
+FROM placed JOIN fused USING (cluster) WHERE r = 1""", _TABLE_CLUSTERS + _CLEAN)(lambda df: _cleaned(resolve.table_clusters(df)))
 on_listing("refine", """SELECT id, nombre, lugar, fecha_iso, hora, precio_num, estilo, organiza, latitud, longitud, merged_from_sources
 FROM kept""", f"{PREPARED}, {_clusters(sanitized('located'))}, {_KEPT}")(lambda df: refine.refine(df, AS_OF).select(
     "id", "nombre", "lugar", "fecha_iso", "hora", "precio_num", "estilo", "organiza", "latitud", "longitud", "merged_from_sources"))
 
 
+def _cleaned(clustered):
+    clustered = settle(clustered.select("cluster", "id", "nombre", "lugar", "fecha_iso", "hora", "organiza", "descripcion", "imagen_url"))
+    return clean_counters(clustered, resolve.merge_clusters(clustered))
+
+
 def _subgroups(clustered):
     rows = clustered.select("cluster", survivors.survivor_rank().alias("rank"), resolve.session_minute().alias("minute"))
     return resolve.hour_subgroups(rows).select("cluster", F.col("rank.id").alias("id"), "sub")
@@ -151,8 +162,10 @@ on_listing("occurrence_groups", f"""SELECT id, sha256({s.occurrence_key('nombre'
 on_listing("group_ids", f"""SELECT id, 'group_' || dense_rank() OVER (ORDER BY first_id) AS event_group_id FROM (
 SELECT id, min(id) OVER (PARTITION BY {s.occurrence_key('nombre', 'fecha_iso', 'lugar')}) AS first_id FROM listing)""")(
     lambda df: resolve.occurrence_groups(df, numbered=True).select("id", "event_group_id"))
-on_listing("survivors", s.first_row("listing", "fecha_iso, nombre", f"{s.quality_score()} DESC, {s.SURVIVOR_ORDER}", "id"))(
-    lambda df: attach_sources(survivors.best_of_group(_titled(df), "cluster"), resolve.merged_sources(_titled(df))).select("id"))
+on_listing("survivors", "SELECT id, merged_from_sources FROM best JOIN told ON best.fecha_iso IS NOT DISTINCT FROM told.fecha_iso AND best.nombre = told.nombre", f"""best AS (
+  {s.first_row("listing", "fecha_iso, nombre", f"{s.quality_score()} DESC, {s.SURVIVOR_ORDER}")}),
+told AS (SELECT fecha_iso, nombre, string_agg(DISTINCT organiza, ' + ' ORDER BY organiza) AS merged_from_sources FROM listing GROUP BY ALL)""")(
+    lambda df: attach_sources(survivors.best_of_group(_titled(df), "cluster"), resolve.merged_sources(_titled(df))).select("id", "merged_from_sources"))
 
 
 def _titled(df):
@@ -167,13 +180,13 @@ def _(spark, sf):
     return docs.select("doc_id", F.length("text").cast("long").alias("size"))
 
 
-@query("gate_report", f"""WITH {LISTING_SQL}, {SANITIZED}
-SELECT 'drop_ratio' AS gate, 100.0::DOUBLE * ((SELECT count(*) FROM listing) - (SELECT count(*) FROM san)) / (SELECT count(*) FROM listing) AS value
-UNION ALL SELECT 'no_date', 100.0::DOUBLE * count(*) FILTER (WHERE fecha_iso IS NULL) / count(*) FROM san""")
+@query("gate_report", f"""WITH {LISTING_SQL}, {SANITIZED}, {gate_values('san')},
+d AS (SELECT 100.0::DOUBLE * ((SELECT count(*) FROM listing) - (SELECT count(*) FROM san)) / (SELECT count(*) FROM listing) AS v)
+{GATE_ROWS}
+UNION ALL SELECT 'drop_ratio', v, 60.0, CASE WHEN v >= 60 THEN 'alert' ELSE 'ok' END FROM d""")
 def _(spark, sf):
     df = listing(spark, sf)
-    gates = refine.gate_report(df, quality.sanitize(df, F.lit(AS_OF)))
-    return gates.filter(F.col("gate").isin("drop_ratio", "no_date")).select("gate", "value")
+    return refine.gate_report(df, quality.sanitize(df, F.lit(AS_OF)))
 
 
 @query("dedupe_payload", "SELECT DISTINCT ON (event_type, user_id) event_id, event_type, user_id FROM events ORDER BY event_type, user_id, ts, event_id")

@@ -85,6 +85,11 @@ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY fecha_iso ORDER BY coalesce
 on_listing("week", "SELECT * FROM cells", _cells("DATE '2027-01-04'", 7, 4, "nombre"))(lambda df: sv.week(df, AS_OF, 1))
 on_listing("month_grid", "SELECT *, month(fecha_iso) <> 3 AS other_month FROM cells", _cells("DATE '2027-03-01'", 35, 2, "nombre", "month(fecha_iso) = 3"))(
     lambda df: sv.month_grid(df, 2027, 3))
+on_listing("month_dots", "SELECT cells.*, month(cells.fecha_iso) <> 3 AS other_month, d.shown AS dots FROM cells JOIN dots d USING (fecha_iso)",
+    _cells("DATE '2027-03-01'", 35, 2, "nombre", "month(fecha_iso) = 3") + ", "
+    + _cells("DATE '2027-03-01'", 35, 3, "coalesce(estilo, 'Otros')", "month(fecha_iso) = 3").replace("cells AS", "dots AS", 1))(
+    lambda df: sv.month_grid(df, 2027, 3, dots=3))
+on_listing("first_of_days", "SELECT * FROM cells", _cells(AS_OF_SQL, 120, 5, "nombre"))(lambda df: sv.first_of_days(df, AS_OF, 120, 5))
 on_listing("date_strip", "SELECT fecha_iso, total, shown, dayofweek(fecha_iso) IN (0, 6) AS weekend FROM cells", _cells(AS_OF_SQL, 31, 3, "coalesce(estilo, 'Otros')"))(
     lambda df: sv.date_strip(df, AS_OF))
 on_listing("day", "SELECT id, nombre FROM listing WHERE fecha_iso = DATE '2027-02-01'")(lambda df: sv.day(df, dt.date(2027, 2, 1)).select("id", "nombre"))

@@ -1,7 +1,7 @@
 """Text clean-up as Catalyst expressions.
 
-Every function takes and returns a :class:`Column`; nothing here leaves the JVM,
-so the expressions stay inside whole-stage code generation and next to the scan.
+Every function takes and returns a :class:`Column`; but for :func:`strip_marks_all` nothing here
+leaves the JVM, so the expressions stay inside whole-stage code generation and next to the scan.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Callable, Sequence
 from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import vocab as v
@@ -86,9 +87,25 @@ def clean_text(c: Column) -> Column:
     return F.replace(one_line, F.lit("\u200b"), F.lit(""))
 
 
-def fold(c: Column) -> Column:
-    """Lower case, trimmed, without diacritics; punctuation is kept."""
-    return strip_marks(strip(F.lower(F.coalesce(c, F.lit("")))))
+def strip_marks_all(c: Column) -> Column:
+    """Remove diacritics and compatibility forms of every script, by full decomposition in Arrow batches."""
+    @F.pandas_udf("string")
+    def decompose(texts: pd.Series) -> pd.Series:
+        import unicodedata as u
+
+        return texts.map(lambda x: x if x is None or x.isascii() else "".join(
+            ch for ch in u.normalize("NFKD", x) if not u.combining(ch)))
+
+    return decompose(c)
+
+
+def fold(c: Column, every_script: bool = False) -> Column:
+    """Lower case, trimmed, without diacritics; punctuation is kept.
+
+    Latin letters fold in the JVM; ``every_script`` decomposes all others too (й, ά, ﬁ).
+    """
+    low = strip(F.lower(F.coalesce(c, F.lit(""))))
+    return strip_marks_all(low) if every_script else strip_marks(low)
 
 
 def ascii_only(c: Column) -> Column:

@@ -394,8 +394,8 @@ SPANISH_STOP_WORDS = [
     "muy", "sin", "sobre", "también", "me", "hasta", "hay", "donde", "quien",
 ]
 
-# Starter keyword table (category, keywords).  It is a parameter: load the full
-# vocabulary of a deployment with ``sources.listings.read_keywords``.
+# Starter keyword table (category, keywords).  It is a parameter: the full vocabulary
+# of a deployment is a table, see ``sources.listings.read_keywords`` and ``lookups.classify_by_table``.
 STARTER_KEYWORDS = [
     ("Música", ["concierto", "concert", "festival", "música", "rock", "jazz", "orquesta"]),
     ("Teatro", ["teatro", "obra", "escena", "monólogo", "compañía", "zarzuela"]),

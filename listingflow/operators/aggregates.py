@@ -82,6 +82,28 @@ def geo_counters(located: DataFrame) -> DataFrame:
     )
 
 
+def clean_counters(clustered: DataFrame, merged: DataFrame) -> DataFrame:
+    """Clean-up of a table: clusters with copies, rows dropped, masters whose text or image a copy filled.
+
+    ``clustered`` are the rows with their ``cluster``, ``merged`` the fused rows by master ``id``.
+    """
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).agg(
+        F.count_if(F.col("n") > 1).alias("grupos_con_copias"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicados_eliminados"))
+    new = merged.select("id", F.col("descripcion").alias("text"), F.col("imagen_url").alias("image"))
+    changed = ~F.col("text").eqNullSafe(F.col("descripcion")) | ~F.col("image").eqNullSafe(F.col("imagen_url"))
+    filled = clustered.join(new, "id").agg(F.count_if(changed).alias("maestros_enriquecidos"))
+    return sizes.join(filled, F.lit(True))
+
+
+def classify_counters(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Listings classified, and those whose category changed."""
+    both = before.select("id", F.col("estilo").alias("_old")).join(after.select("id", "estilo"), "id")
+    return both.agg(
+        F.count("*").alias("procesados"),
+        F.count_if(~F.col("estilo").eqNullSafe(F.col("_old"))).alias("reclasificados"))
+
+
 def events_per_day(df: DataFrame) -> DataFrame:
     return (
         df.filter(F.col("fecha_iso").isNotNull()).groupBy("fecha_iso")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vocab as v
@@ -19,6 +20,7 @@ from ..functions.text import fold, let, strip, strip_ai_tags
 from ..session import no_match_key, settle
 from .survivors import keep_best
 
+KEYWORD_BLOCK = 16_000_000
 
 def _entries(rows: Sequence[Sequence], names: Sequence[str]) -> Column:
     return F.array(*[
@@ -168,6 +170,68 @@ def classify_keywords(df: DataFrame, keywords=v.STARTER_KEYWORDS) -> DataFrame:
     return df.withColumn("estilo", F.coalesce(found, F.col("estilo")))
 
 
+def classify_by_table(df: DataFrame, keywords: DataFrame, *, block_chars: int = KEYWORD_BLOCK) -> DataFrame:
+    """:func:`classify_keywords` with a keyword table (ord, category, keyword) of any size.
+
+    The table is a query set held against all rows: it goes to the tasks in blocks of about
+    ``block_chars`` characters, each an automaton that reads every text once, and the points
+    per category are carried from block to block.  One block needs neither a join nor a
+    shuffle nor a written copy.  ``ord`` orders the categories (the smallest of a category
+    counts); null and empty keywords match nothing; repeated keywords count each.
+    """
+    spark = df.sparkSession
+    words = keywords.filter("keyword <> ''").select("ord", "category", "keyword")
+    firsts = words.groupBy("category").agg(F.min("ord").alias("first"))
+    # The name of a category begins with its place in the order, so that ties can be told from the name alone.
+    name = F.concat(F.lpad(F.col("first").cast("string"), 10, "0"), "category")
+    words = settle(words.join(firsts, "category").select("keyword", name.alias("name")))
+    blocks = int((words.agg(F.sum(F.length("keyword"))).first()[0] or 0) // block_chars) + 1
+    title = F.lower(F.coalesce("nombre", F.lit("")))
+    text = F.lower(F.concat_ws(" ", "nombre", "descripcion"))
+    points, out = F.lit(None).cast("map<string,int>"), df
+    for block in range(blocks):
+        mine = words if blocks == 1 else words.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast([tuple(r) for r in mine.select("keyword", "name").collect()])
+        out = out.withColumn("_points", _keyword_points(shared)(title, text, points))
+        points = F.col("_points")
+        if block < blocks - 1:
+            out = settle(out)  # a worker holds one automaton at a time
+    best = F.array_max(F.transform(F.map_entries(points), lambda e: F.struct(
+        e["value"].alias("score"), (-F.substring(e["key"], 1, 10).cast("long")).alias("ord"), F.substr(e["key"], F.lit(11)).alias("name"))))
+    return out.withColumn("estilo", F.coalesce(best["name"], F.col("estilo"))).select(*df.columns)
+
+
+def _keyword_points(shared):
+    """Points per category name of the keywords in ``shared``, added to the points so far."""
+    held: list = []
+
+    @F.pandas_udf("map<string,int>")
+    def add(titles: pd.Series, texts: pd.Series, so_far: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        if not held:
+            uses: dict = {}
+            for keyword, name in shared.value:
+                uses.setdefault(keyword, []).append(name)
+            automaton = ahocorasick.Automaton()
+            for keyword, names in uses.items():
+                automaton.add_word(keyword, (keyword, names))
+            automaton.make_automaton()
+            held.append(automaton if uses else None)
+        automaton, out = held[0], []
+        for title, text, start in zip(titles, texts, so_far):
+            points = dict(start) if start is not None else {}
+            if automaton is not None:
+                found = {keyword: names for _, (keyword, names) in automaton.iter(text)}
+                for keyword, names in found.items():
+                    for name in names:
+                        points[name] = points.get(name, 0) + (3 if keyword in title else 1)
+            out.append(points)
+        return pd.Series(out)
+
+    return add
+
+
 def apply_labels(df: DataFrame, labels: DataFrame, valid: Sequence[str] = v.CATEGORIES) -> DataFrame:
     """External categories (id, categoria): unknown ones count as the default,
     and only others overwrite."""

@@ -204,21 +204,45 @@ def audit(df: DataFrame, page_venues: DataFrame | None = None) -> DataFrame:
     return apply_page_venue(kept, page_venues) if page_venues is not None else kept
 
 
-def sanitize(df: DataFrame, as_of: Column) -> DataFrame:
-    """Rows fit to publish: social links out, junk and generic titles demoted to
-    drafts, titles and places canonical, prices capped, the past cut off.
-
-    A single narrow projection between two filters; nothing shuffles.
-    """
+def canonical_rows(df: DataFrame) -> DataFrame:
+    """Social links out, junk titles without a date, titles and places canonical, prices capped."""
     kept = df.filter(~is_social(F.col("nombre"), F.col("url_venta")))
-    kept = kept.withColumns({
+    return kept.withColumns({
         "fecha_iso": F.when(~is_junk_title(F.col("nombre")), F.col("fecha_iso")),
         "nombre": strip_place_suffix(F.col("nombre")),
         "lugar": canonical_venue(F.col("lugar")),
         "precio_num": price_cap(F.col("precio_num")),
     })
-    kept = kept.withColumn(
+
+
+def staged_gates(df: DataFrame) -> DataFrame:
+    """Blank hours and generic titles as they stand between the price cap and the date cut."""
+    rows = canonical_rows(df).select("nombre", "lugar", "fecha_iso", "hora")
+    return table_gates(rows).filter(F.col("gate").isin("blank_hour", "generic_titles"))
+
+
+def sanitize(df: DataFrame, as_of: Column) -> DataFrame:
+    """Rows fit to publish: :func:`canonical_rows`, generic titles demoted to drafts, the past cut off.
+
+    A single narrow projection between two filters; nothing shuffles.
+    """
+    kept = canonical_rows(df).withColumn(
         "fecha_iso", F.when(~is_generic_title(F.col("nombre")), F.col("fecha_iso"))
     )
     return kept.filter(future_or_draft(F.col("fecha_iso"), as_of))
 
+
+def audit_counters(df: DataFrame, page_venues: DataFrame | None = None) -> DataFrame:
+    """What :func:`audit` does to a table: rows, garbage, prices voided, places found, of these on the listing's own page."""
+    garbage = is_garbage_row(F.col("nombre"), F.col("lugar"))
+    kept = df.filter(~garbage).withColumn("_before", F.col("lugar"))
+    found = detect_venue(kept).withColumn("_detected", F.col("lugar"))
+    if page_venues is not None:
+        found = apply_page_venue(found, page_venues)
+    left = df.agg(F.count("*").alias("total"), F.count_if(garbage).alias("basura_eliminada"))
+    done = found.agg(
+        F.count_if(~F.col("lugar").eqNullSafe(F.col("_before"))).alias("lugares_corregidos"),
+        F.count_if(~F.col("lugar").eqNullSafe(F.col("_detected"))).alias("deep_scrape_hits"),
+        F.count_if(F.col("precio_num").isNotNull() & price_cap(F.col("precio_num")).isNull()).alias("precios_corregidos"),
+    )
+    return left.join(done, F.lit(True))

@@ -102,9 +102,9 @@ def search_index(df: DataFrame, *, key: str, fields: dict[str, str],
     )
 
 
-def search(index: DataFrame, query: str, *, key: str) -> DataFrame:
+def search(index: DataFrame, query: str, *, key: str, stop_words=v.SPANISH_STOP_WORDS) -> DataFrame:
     """Rows that hold every word of the query, with the sum of their weights as rank."""
-    words = sorted({w for w in query.lower().split() if w not in v.SPANISH_STOP_WORDS})
+    words = sorted({w for w in query.lower().split() if w not in stop_words})
     hits = index.filter(F.col("token").isin(*words)).groupBy(key).agg(
         F.sum("weight").alias("rank"), F.count("*").alias("found"))
     return hits.filter(F.col("found") == len(words)).select(key, "rank")
@@ -231,14 +231,20 @@ def week(df: DataFrame, as_of: dt.date, offset: int = 0, n: int = 4) -> DataFram
     return _day_cells(df, monday, 7, n, F.coalesce("nombre", F.lit("")))
 
 
-def month_grid(df: DataFrame, year: int, month: int, n: int = 2) -> DataFrame:
-    """Full Monday-based weeks around a month; cells of other months stay empty."""
+def month_grid(df: DataFrame, year: int, month: int, n: int = 2, dots: int = 0) -> DataFrame:
+    """Full Monday-based weeks around a month; cells of other months stay empty.
+
+    With ``dots``, also the categories of the first ``dots`` listings of each day.
+    """
     first = dt.date(year, month, 1)
     last = first.replace(day=calendar.monthrange(year, month)[1])
     start = first - dt.timedelta(days=first.weekday())
     end = last + dt.timedelta(days=6 - last.weekday())
     inside = df.filter(F.col("fecha_iso").between(F.lit(first), F.lit(last)))
     cells = _day_cells(inside, start, (end - start).days + 1, n, F.coalesce("nombre", F.lit("")))
+    if dots:
+        marks = _day_cells(inside, start, (end - start).days + 1, dots, F.coalesce("estilo", F.lit(v.DEFAULT_CATEGORY)))
+        cells = cells.join(marks.select("fecha_iso", F.col("shown").alias("dots")), "fecha_iso")
     return cells.withColumn("other_month", F.month("fecha_iso") != month)
 
 
@@ -248,6 +254,11 @@ def date_strip(df: DataFrame, as_of: dt.date, days: int = 31, n: int = 3) -> Dat
     return cells.withColumn("weekend", F.dayofweek("fecha_iso").isin(1, 7)).drop("rest")
 
 
+def first_of_days(df: DataFrame, first: dt.date, days: int, n: int = 3) -> DataFrame:
+    """Every day of a span with its total, its first ``n`` titles and the number of the others."""
+    return _day_cells(df, first, days, n, F.coalesce("nombre", F.lit("")))
+
+
 def day(df: DataFrame, iso: dt.date) -> DataFrame:
     return df.filter(F.col("fecha_iso") == F.lit(iso))
 

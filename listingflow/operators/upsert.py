@@ -63,8 +63,8 @@ def fold_batch(batch: DataFrame, order: str) -> DataFrame:
 def upsert(target: DataFrame, batch: DataFrame, *, now: Column, order: str) -> DataFrame:
     """Target with the batch merged by ``hash_id``.
 
-    One full outer join on the key; with both sides bucketed by it there is no
-    shuffle of the target.
+    One full outer join on the key, which shuffles the target rows it is given: callers pass
+    only the key buckets the batch touches (see ``streaming.upsert_stream``).
     """
     new = fold_batch(batch, order).withColumn("_new", F.lit(True))
     old = target.withColumn("_old", F.lit(True))

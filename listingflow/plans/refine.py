@@ -13,8 +13,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vocab as v
-from ..operators.lookups import apply_enrichment, apply_labels, classify_keywords, lookup_coords
-from ..operators.quality import audit, drop_gate, sanitize, table_gates
+from ..operators.lookups import apply_enrichment, apply_labels, classify_by_table, classify_keywords, lookup_coords
+from ..operators.quality import audit, drop_gate, sanitize, staged_gates, table_gates
 from ..operators.resolve import CHUNK, fuzzy_cluster, session_survivors
 from ..operators.survivors import keep_first
 from ..session import settle
@@ -25,8 +25,9 @@ def prepare(
     enrichment: DataFrame | None = None, page_venues: DataFrame | None = None,
     keywords=v.STARTER_KEYWORDS,
 ) -> DataFrame:
-    """Audited, classified, enriched and located rows."""
-    out = classify_keywords(audit(df, page_venues), keywords)
+    """Audited, classified, enriched and located rows; ``keywords`` is a short list or a table."""
+    classify = classify_by_table if isinstance(keywords, DataFrame) else classify_keywords
+    out = classify(audit(df, page_venues), keywords)
     if labels is not None:
         out = apply_labels(out, labels)
     if enrichment is not None:
@@ -44,9 +45,16 @@ def resolve(df: DataFrame, *, drafts: str = "pass", chunk: int = CHUNK) -> DataF
     return session_survivors(fuzzy_cluster(rows, drafts=drafts, chunk=chunk), rows=rows, chunk=chunk)
 
 
-def refine(df: DataFrame, as_of: dt.date, *, drafts: str = "pass", **tables) -> DataFrame:
-    """All stages; ``tables`` are the optional inputs of :func:`prepare`."""
-    return resolve(sanitize(prepare(df, **tables), F.lit(as_of)), drafts=drafts)
+def refine(df: DataFrame, as_of: dt.date, *, drafts: str = "pass", gates: bool = True, **tables) -> DataFrame:
+    """All stages; ``tables`` are the optional inputs of :func:`prepare`.
+
+    With ``gates`` the share of generic titles is measured before they are demoted and the
+    past is cut, and the run stops where it is too high.
+    """
+    ready = prepare(df, **tables)
+    if gates:
+        require_gates(staged_gates(ready))
+    return resolve(sanitize(ready, F.lit(as_of)), drafts=drafts)
 
 
 def gate_report(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import vocab as v
 from ..schema import LISTING_SCHEMA
 
-KEYWORD_LIMIT = 10_000
-
 
 def read_listings(
     spark: SparkSession, path: str, first: dt.date | None = None, last: dt.date | None = None
@@ -49,13 +47,7 @@ def read_export(spark: SparkSession, path: str, fmt: str = "parquet", **options)
     return df.withColumnsRenamed({shown: name for name, shown in v.EXPORT_COLUMNS.items()})
 
 
-def read_keywords(spark: SparkSession, path: str, fmt: str = "csv", **options) -> list[tuple[str, list[str]]]:
-    """Keyword table (ord, category, keyword) as a literal list, at most ``KEYWORD_LIMIT`` rows."""
+def read_keywords(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
+    """Keyword table (ord, category, keyword) for ``lookups.classify_by_table``."""
     table = spark.read.options(header=True, **options).format(fmt).load(path)
-    rows = table.select(F.col("ord").cast("int"), "category", "keyword").limit(KEYWORD_LIMIT + 1).collect()
-    if len(rows) > KEYWORD_LIMIT:
-        raise ValueError(f"keyword table has more than {KEYWORD_LIMIT} rows")
-    out: dict[str, list[str]] = {}
-    for row in sorted(rows):
-        out.setdefault(row["category"], []).append(row["keyword"])
-    return list(out.items())
+    return table.select(F.col("ord").cast("int").alias("ord"), "category", "keyword")

@@ -44,7 +44,8 @@ def upsert_batch(
     merged = upsert(target, rows, now=F.current_timestamp() if now is None else F.lit(now), order=order)
     # The result is fixed before its own inputs are replaced.
     merged = settle(merged.withColumn("bucket", F.substring("hash_id", 1, digits)))
-    (merged.repartition("bucket").write.mode("overwrite")
+    # Rebalanced by bucket: a bucket beyond the advisory partition size is split into several files.
+    (merged.hint("rebalance", "bucket").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 

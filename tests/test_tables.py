@@ -5,8 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from listingflow.operators import quality, serving, sets, upsert
-from listingflow.plans.refine import require_gates
+from listingflow.functions.text import fold
+from listingflow.operators import lookups, quality, serving, sets, upsert
+from listingflow.plans.refine import refine, require_gates
 from listingflow.schema import LISTING_SCHEMA, conform
 from listingflow.sources import listings, pages, sinks
 from listingflow.streaming.upsert_stream import read_target, upsert_batch, upsert_stream
@@ -89,7 +90,34 @@ def test_table_write_read_and_metrics(spark, tmp_path):
 def test_keyword_table_is_a_parameter(spark, tmp_path):
     path = str(tmp_path / "kw")
     spark.createDataFrame([(2, "B", "jazz"), (1, "A", "rock"), (3, "B", "swing")], "ord int, category string, keyword string").write.option("header", True).csv(path)
-    assert listings.read_keywords(spark, path) == [("A", ["rock"]), ("B", ["jazz", "swing"])]
+    words = listings.read_keywords(spark, path)
+    text = "Velada de rock, luego jazz"
+    df = spark.createDataFrame(
+        [(1, text, "swing"), (2, "Noche", "swing y rock"), (3, None, "rock"), (4, "Noche", None), (5, None, None), (6, "ROCK y jazz", ""), (7, "jazz", text * 9000)],
+        "id int, nombre string, descripcion string").withColumn("estilo", F.lit("Otros"))
+    # 1: B has 3 + 1 points, A 3; 2 and 6: equal points, A comes first.
+    expected = {1: "B", 2: "A", 3: "A", 4: "Otros", 5: "Otros", 6: "A", 7: "B"}
+    for size in (1000, 8, 1):  # one block, some, and more blocks than keywords
+        out = lookups.classify_by_table(df, words, block_chars=size)
+        assert out.columns == df.columns and {r.id: r.estilo for r in out.collect()} == expected
+    listed = lookups.classify_keywords(df, [("A", ["rock"]), ("B", ["jazz", "swing"])])
+    assert {r.id: r.estilo for r in listed.collect()} == expected
+    assert lookups.classify_by_table(df, words.limit(0)).filter("estilo <> 'Otros'").isEmpty()
+
+
+def test_refine_stops_on_generic_titles(spark):
+    bad = conform(spark.createDataFrame([(i, "Entradas", dt.date(2027, 5, i + 1)) for i in range(9)], "id long, nombre string, fecha_iso date"))
+    with pytest.raises(RuntimeError, match="generic_titles"):
+        refine(bad, dt.date(2027, 1, 1))
+    staged = {r.gate: r.level for r in quality.staged_gates(bad).collect()}
+    assert staged == {"blank_hour": "alert", "generic_titles": "abort"}
+    assert refine(bad, dt.date(2027, 1, 1), gates=False).filter("fecha_iso IS NOT NULL").isEmpty()
+
+
+def test_folding_of_every_script(spark):
+    df = spark.createDataFrame([("Й",), ("ά",), ("ﬁn",), ("Ñandú",), (None,)], "x string")
+    both = [tuple(r) for r in df.select(fold(F.col("x"), every_script=True), fold(F.col("x"))).collect()]
+    assert [a for a, _ in both] == ["и", "α", "fin", "nandu", ""] and both[3][1] == "nandu"
 
 
 def test_gates_stop_a_run(spark):
