@@ -1,8 +1,10 @@
 """Deterministic, sharded WARC files: range-sorted records, regenerated headers and digests.
 
 Payload digests and the first page of each group of equal payloads come from slim columns.
-These decisions travel beside the pages through one range exchange, so the payload moves once
-and a page meets its decision as the row before it.  Each task writes gzip-member records to
+These decisions travel beside the pages through one exchange by ranges, so the payload moves
+once and a page meets its decision as the row before it.  The ranges come from a sample that
+hashes of the rows pick, so shards, names and bytes depend on the pages alone, not on how they
+are stored or on a run's random numbers.  Each task writes one shard's gzip-member records to
 files under temporary names and starts a new file when the compressed size reaches
 ``file_bytes``.  The manifest holds the files of successful attempts only; a second job renames
 them, which may be repeated, and what lost attempts left goes with the temporary folder.
@@ -16,9 +18,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import settle
 from .common import by_batch, ship, store, to_batch
@@ -26,6 +29,8 @@ from .common import by_batch, ship, store, to_batch
 ship(__name__)
 
 FILE_BYTES, LEVEL, DATE, MIN_BYTES = 256 << 20, 6, "1970-01-01T00:00:00Z", 0
+#: Payload bytes of a shard; beyond ``MAX_SHARDS`` of them shards grow.  ``SAMPLE`` rows a shard place the bounds.
+SHARD_BYTES, MAX_SHARDS, SAMPLE = 32 << 20, 20_000, 20
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs
 RECORD_DDL = (
@@ -79,30 +84,68 @@ def page_record(page_id, url, payload: bytes, refers_to, ordinal: int, date: str
     ], block, level)
 
 
-def first_pages(pages: DataFrame, min_bytes: int) -> DataFrame:
+def digests(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, size) of every page."""
+    payload = F.coalesce("html", F.lit(""))
+    return pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
+
+
+def first_pages(slim: DataFrame, min_bytes: int) -> DataFrame:
     """(page_id, digest, refers_to) of the pages whose payload an earlier page has."""
-    slim = settle(
-        pages.filter(F.col("page_id").isNotNull())
-        .select("page_id", F.coalesce("html", F.lit("")).alias("payload"))
-        .filter(F.octet_length("payload") >= min_bytes)
-        .select("page_id", F.unhex(F.sha1("payload")).alias("digest"))
-    )
+    slim = slim.filter(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes)).select("page_id", "digest")
     shared = settle(
         slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     )
     return slim.join(shared, "digest").filter("page_id <> refers_to").distinct()
 
 
+def range_key() -> Column:
+    """A text that sorts as (page_id, digest) does, null ids first."""
+    place = F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("1"), place), F.lit("0")), F.hex("digest"))
+
+
+def shard_bounds(slim: DataFrame, shard_bytes: int) -> list[str]:
+    """First keys of all shards but the first, about ``shard_bytes`` of payload apart.
+
+    About ``SAMPLE`` keys a shard are picked by their hash and collected, at most
+    ``SAMPLE * MAX_SHARDS`` or so; equal keys are summed before.
+    """
+    size, n = slim.agg(F.sum("size"), F.count(F.lit(1))).first()
+    shards = min(-(-(size or 0) // shard_bytes), MAX_SHARDS)
+    if shards < 2:
+        return []
+    stride = max(n // (shards * SAMPLE), 1)
+    some = slim.filter(F.pmod(F.xxhash64("page_id", "digest"), F.lit(stride)) == 0)
+    rows = sorted(map(tuple, some.groupBy(range_key().alias("key")).agg(F.sum("size")).collect()))
+    heavy = np.cumsum([0.0] + [w for _, w in rows])
+    shard = (heavy[:-1] * shards / max(heavy[-1], 1)).astype(np.int64)
+    return [rows[i][0] for i in range(1, len(rows)) if shard[i] != shard[i - 1]]
+
+
+def shard_number(bounds: list[str]) -> Column:
+    """The shard of a row of (page_id, digest)."""
+    if not bounds:
+        return F.lit(0)
+
+    @F.pandas_udf("int")
+    def find(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(bounds, "S57"), keys.to_numpy().astype("S57"), "right").astype(np.int32))
+
+    return find(range_key())
+
+
 def write_warc(
     pages: DataFrame, folder: str, *, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES, date: str = DATE,
-    prefix: str = "pages", level: int = LEVEL,
+    prefix: str = "pages", level: int = LEVEL, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Write (page_id, url, html) as WARC files in ``folder``; returns the manifest as a table.
 
     A null html is an empty payload, a null url has no target header.  Of equal payloads of at
     least ``min_bytes`` bytes the one with the smallest page_id is the response, the others
     revisit it; of repeated rows the first is the response.  Pages with a null page_id sort
-    first and are responses.  Other columns are ignored; an empty table writes no file.
+    first and are responses.  Other columns are ignored; an empty table writes no file.  The
+    same pages give the same files, however they are stored.
     """
     schema = pages.sparkSession.createDataFrame([], "page_id long, url string, html string").schema
     pages = pages.select(*(F.col(f.name).cast(f.dataType) for f in schema))
@@ -110,14 +153,15 @@ def write_warc(
         "page_id", F.unhex(F.sha1(F.coalesce("html", F.lit("")))).alias("digest"), F.lit(1).alias("kind"),
         F.lit(None).cast("long").alias("refers_to"), "url", "html",
     )
-    told = first_pages(pages, min_bytes).select(
+    slim = settle(digests(pages))
+    bounds = shard_bounds(slim, shard_bytes)
+    told = first_pages(slim, min_bytes).select(
         "page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html")
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store(folder)
         fs.create_dir(f"{root}/_temporary", recursive=True)
-        part = TaskContext.get().partitionId()
         out, state = None, {}
 
         def close():
@@ -130,8 +174,8 @@ def write_warc(
             nonlocal out, state
             seq, key, refers, ordinal = 0, None, None, 0
             for batch in batches:
-                for page_id, digest, kind, target, url, html in zip(*(batch.column(i) for i in range(6))):
-                    page_id, digest = page_id.as_py(), digest.as_py()
+                for page_id, digest, kind, target, url, html, shard in zip(*(batch.column(i) for i in range(7))):
+                    page_id, digest, part = page_id.as_py(), digest.as_py(), shard.as_py()
                     if (page_id, digest) != key:
                         key, refers, ordinal = (page_id, digest), None, 0
                     if not kind.as_py():
@@ -165,7 +209,8 @@ def write_warc(
 
         yield from by_batch(files(), FILE)
 
-    ordered = rows.unionByName(told).repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
+    both = rows.unionByName(told).withColumn("shard", shard_number(bounds))
+    ordered = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("page_id", "digest", "kind", "url")
     written = settle(ordered.mapInArrow(write, FILE_DDL))
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

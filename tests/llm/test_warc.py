@@ -61,6 +61,24 @@ def test_files_roll_are_repeatable_and_gzip(spark):
     assert order == [f"X-Page-Id: {i}".encode() for i in range(300)]
 
 
+def test_shards_depend_on_the_pages_alone(spark):
+    # A page of which a third of all rows are copies, null ids, negative ids and equal payloads.
+    rows = [(i - 50, f"u{i}", hashlib.sha256(str(i % 70).encode()).hexdigest() * (1 + i % 9), 0) for i in range(200)]
+    rows += [(7, "hot", "<p>hot</p>" * 9, 0)] * 150 + [(None, "none", f"n{i}" * 40, 0) for i in range(60)]
+    made = []
+    for parts, key in ((1, "url"), (5, "url"), (7, "html")):
+        folder = shared_folder(spark, "warc-test")
+        manifest = warc.write_warc(pages_of(spark, rows).repartition(parts, key), folder, shard_bytes=9_000).collect()
+        assert len({r["part"] for r in manifest}) > 4 and sum(r["records"] for r in manifest) == len(rows)
+        made.append(files(folder))
+        got = warc.read_warc(spark, folder).collect()
+        assert len(got) == len(rows) and all(r["digest_ok"] for r in got)
+        assert sum(r["record_type"] == "response" and r["page_id"] == 7 for r in got) == 2  # its own page and the hot one
+    assert made[0] == made[1] == made[2]
+    ids = [line[11:] for n in sorted(made[0]) for line in gzip.decompress(made[0][n]).split(b"\r\n") if line.startswith(b"X-Page-Id")]
+    assert [int(x) for x in ids] == sorted(r[0] for r in rows if r[0] is not None)
+
+
 def test_small_payloads_and_empty_table(spark):
     folder = shared_folder(spark, "warc-test")
     warc.write_warc(pages_of(spark, ROWS), folder, min_bytes=5)
