@@ -109,7 +109,7 @@ def shard_bounds(slim: DataFrame, shard_bytes: int) -> list[str]:
     """First keys of all shards but the first, about ``shard_bytes`` of payload apart.
 
     About ``SAMPLE`` keys a shard are picked by their hash and collected, at most
-    ``SAMPLE * MAX_SHARDS`` or so; equal keys are summed before.
+    ``SAMPLE * MAX_SHARDS`` or so; the payload between them is summed over all rows.
     """
     size, n = slim.agg(F.sum("size"), F.count(F.lit(1))).first()
     shards = min(-(-(size or 0) // shard_bytes), MAX_SHARDS)
@@ -117,10 +117,12 @@ def shard_bounds(slim: DataFrame, shard_bytes: int) -> list[str]:
         return []
     stride = max(n // (shards * SAMPLE), 1)
     some = slim.filter(F.pmod(F.xxhash64("page_id", "digest"), F.lit(stride)) == 0)
-    rows = sorted(map(tuple, some.groupBy(range_key().alias("key")).agg(F.sum("size")).collect()))
-    heavy = np.cumsum([0.0] + [w for _, w in rows])
-    shard = (heavy[:-1] * shards / max(heavy[-1], 1)).astype(np.int64)
-    return [rows[i][0] for i in range(1, len(rows)) if shard[i] != shard[i - 1]]
+    keys = sorted(r["key"] for r in some.select(range_key().alias("key")).distinct().collect())
+    between = np.zeros(len(keys) + 1)
+    for place, held in slim.groupBy(shard_number(keys).alias("place")).agg(F.sum("size")).collect():
+        between[place] = held
+    shard = (np.cumsum(between) - between / 2) * shards // max(between.sum(), 1)
+    return [key for key, last, now in zip(keys, shard, shard[1:]) if now != last]
 
 
 def shard_number(bounds: list[str]) -> Column:
