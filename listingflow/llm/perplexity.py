@@ -205,7 +205,7 @@ def write_arrays(model: DataFrame, folder: str) -> list[tuple]:
                     first = int(key[0]) if first is None else first
                     n += len(key)
                     k.write(key.astype("<i8").tobytes())
-                    v.write(batch.column(1).to_numpy().astype("<f4").tobytes())
+                    v.write(batch.column(1).to_numpy().astype("<f8").tobytes())
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([n]), pa.array([name])], ["first", "n", "name"])
 
@@ -225,9 +225,9 @@ class HashArrays:
         for _, n, name in shards:
             if fs.type_name == "local":
                 keys = np.memmap(f"{root}/{name}.keys", "<i8", "r")
-                values = np.memmap(f"{root}/{name}.values", "<f4", "r")
+                values = np.memmap(f"{root}/{name}.values", "<f8", "r")
             else:
-                keys, values = (np.frombuffer(fs.open_input_stream(f"{root}/{name}.{k}").read(), d) for k, d in (("keys", "<i8"), ("values", "<f4")))
+                keys, values = (np.frombuffer(fs.open_input_stream(f"{root}/{name}.{k}").read(), d) for k, d in (("keys", "<i8"), ("values", "<f8")))
             low, high = int(keys[0]), int(keys[-1])
             shift = max((high - low).bit_length() - int(n).bit_length(), 0)
             # Where each slot of equal leading bits begins: hashes spread evenly, so a slot has a key or two.
@@ -238,7 +238,7 @@ class HashArrays:
             self.parts.append((keys, values, low, high, shift, slots))
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), np.nan, np.float32)
+        out = np.full(len(keys), np.nan)
         if len(self.parts) == 1:
             self._from(self.parts[0], keys, np.arange(len(keys)), out)
         elif self.parts:
@@ -291,6 +291,89 @@ def log_probabilities(model: HashArrays, lang: str, grams: np.ndarray) -> np.nda
     return out
 
 
+# ------------------------------------------------------------------ without a document's own counts
+def count_model(counts: DataFrame) -> DataFrame:
+    """(lang, kind, gram, value): what the probabilities are computed from, so that a document's own part can be taken out.
+
+    Kinds: order (count of a gram), 8 + order (total of a context), 16 + order (its sum of
+    discounts), 24 + order (the discounts d1, d2, d3), 32 (number of characters seen).  ``copied_texts`` adds
+    33 (rows of a text).
+    """
+    rows = counts
+    out = []
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:
+            rows = settle(rows.groupBy("lang", suffix("gram", order).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        cuts = settle(discounts(rows))
+        cut = F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END")
+        contexts = settle(
+            rows.join(F.broadcast(cuts), "lang").groupBy("lang", F.shiftright("gram", BITS).alias("gram"))
+            .agg(F.sum("n").alias("total"), F.sum(cut).alias("cuts"), F.count(F.lit(1)).alias("types"))
+        )
+        parts = [(order, rows, "gram", "n"), (8 + order, contexts, "gram", "total"), (16 + order, contexts, "gram", "cuts")]
+        parts += [(24 + order, cuts, F.lit(i), f"d{i}") for i in (1, 2, 3)]
+        if order == 1:
+            parts.append((32, contexts, "gram", "types"))
+        for kind, table, gram, value in parts:
+            gram = F.col(gram) if isinstance(gram, str) else gram
+            out.append(table.select("lang", F.lit(kind).alias("kind"), gram.cast("long").alias("gram"), F.col(value).cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def copied_texts(docs: DataFrame) -> DataFrame:
+    """(lang, kind 33, hash of the text, number of rows) of the texts that several rows have."""
+    hashes = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.lit(33).alias("kind"), F.xxhash64("text").alias("gram"))
+    return hashes.groupBy("lang", "kind", "gram").agg(F.count(F.lit(1)).cast("double").alias("value")).filter("value > 1")
+
+
+def copies_of(model: HashArrays, lang: str, texts: list[str]) -> np.ndarray:
+    keys = np.array([xxhash.xxh64_intdigest(t.encode(), seed=42) for t in texts], np.uint64).view(np.int64)
+    return np.fmax(model.get(hashed(lang, 33, keys)), 1)
+
+
+def held_out_sums(model: HashArrays, lang: str, grams: np.ndarray, number: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Summed log probability of each text under the counts of all *other* documents.
+
+    A text's own 5-grams and those of its exact copies are taken off.  Grams that no other text
+    has are gone, and with each of them one continuation of its suffix, down to single characters.
+    ``copies`` says how often each text was counted, zero for a new one.  Discounts stay those of
+    the language.
+    """
+    def known(kind: int, keys: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(model.get(hashed(lang, kind, keys)))
+
+    def pairs(text: np.ndarray, value: np.ndarray):
+        """Distinct values, and of the distinct (text, value) pairs: text, place of the value, place of each row's pair."""
+        some, code = np.unique(value, return_inverse=True)
+        both, at = np.unique(text * max(len(some), 1) + code, return_inverse=True)
+        return some, both // max(len(some), 1), both % max(len(some), 1), at
+
+    some, text, code, at = pairs(number, grams)
+    times, owner = np.bincount(at, minlength=len(text)), text
+    minus, texts = times * copies[text], len(copies)
+    levels, up = [], None
+    for order in range(ORDER, 0, -1):
+        n, cut = known(order, some)[code], np.append(0, known(24 + order, np.arange(1, 4)))
+        left = np.maximum(n - minus, 0)
+        top = left - cut[np.minimum(left, 3).astype(int)]
+        less = n - cut[np.minimum(n, 3).astype(int)] - top
+        contexts, _, place, at = pairs(text, some[code] >> BITS)
+        total = (known(8 + order, contexts)[place] - np.bincount(at, n - left, len(place)))[at]
+        cuts = (known(16 + order, contexts)[place] - np.bincount(at, n - left - less, len(place)))[at]
+        levels.append((up, top, total, cuts))
+        gone = (n > 0) & (left == 0)
+        if order > 1:
+            some, text, code, up = pairs(text, some[code] & ((1 << BITS * (order - 1)) - 1))
+            minus = np.bincount(up, gone, len(text))
+    types = known(32, np.zeros(1, np.int64))[0]
+    # A language without any model has 4096 equally likely characters.
+    p = 1 / (types - np.bincount(text, gone, texts) + 1 if types else np.full(texts, 4096.0))[text]
+    for place, (_, top, total, cuts) in zip([None, *(x[0] for x in levels[:0:-1])], levels[::-1]):
+        low = p if place is None else p[place]
+        p = np.where(total > 0.5, (top + np.maximum(cuts, 0) * low) / np.maximum(total, 1), low)
+    return np.bincount(owner, np.log(p) * times, texts)
+
+
 # ------------------------------------------------------------------ rules
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
     """Words that lie in a window of ``window`` words found twice or more."""
@@ -330,7 +413,7 @@ def score_documents(docs: DataFrame, folder: str, shards: list[tuple]) -> DataFr
             ids = batch.column("doc_id").to_pylist()
             for lang, numbers, texts in by_language(batch):
                 grams, number = grams_of(texts)
-                log_p = np.bincount(number, log_probabilities(model, lang, grams), minlength=len(texts))
+                log_p = held_out_sums(model, lang, grams, number, copies_of(model, lang, texts))
                 rows = [(ids[i], lang, *base_rules(t), len(t), float(p)) for i, t, p in zip(numbers, texts, log_p)]
                 yield to_batch(rows, schema)
 
@@ -362,7 +445,7 @@ def judge_documents(
     """
     counts = settle(count_grams(docs))
     folder = shared_folder(docs.sparkSession, "grams")
-    scored = score_documents(docs, folder, write_arrays(kneser_ney(counts), folder))
+    scored = score_documents(docs, folder, write_arrays(count_model(counts).unionByName(copied_texts(docs)), folder))
     scored = settle(scored.withColumn("log_perplexity", F.when(F.col("n_scored") > 0, -F.col("log_p") / F.greatest("n_scored", F.lit(1)))))
     limits = settle(bands(scored, **widths))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
