@@ -7,9 +7,10 @@ probabilities by aggregates and joins, and the result is stored as sorted arrays
 hashes with their log values, range-partitioned into files in the shared folder.  Tasks map
 these files into memory, so the model may outgrow a worker.
 
-A document's log perplexity is compared with the band of its language: the median over all
-documents, less and plus ``down`` and ``up`` robust standard deviations.  The mean over a short
-text scatters more, so its band is wider, by ``sqrt(1 + scatter / characters)``.
+A document is scored by the counts of all other documents, so that what only it holds is as
+unlikely as it is elsewhere.  Its log perplexity is compared with the band of its language and
+length class: the median, less and plus ``down`` and ``up`` robust standard deviations as measured
+among the documents of that class.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ ship(__name__)
 ORDER, BITS, BEGIN = 5, 12, 1
 MULTIPLIER = 0x9E3779B97F4A7C15
 HELD, SHARD_ENTRIES, CHUNK_CHARS = 1 << 21, 1 << 23, 1 << 20
-UP, DOWN, LEAST_WIDTH, SCATTER = 6.0, 6.0, 0.25, 400
+UP, DOWN, LEAST_DOCS, WHOLE = 3.5, 3.5, 30, -1
 MIN_WORDS, WINDOW, MAX_REPEAT = 10, 5, 20
 SYMBOLS = "#*$%&|<>"
 
@@ -422,19 +423,35 @@ def score_documents(docs: DataFrame, folder: str, shards: list[tuple]) -> DataFr
     )
 
 
-def bands(scored: DataFrame, *, up: float = UP, down: float = DOWN, least_width: float = LEAST_WIDTH) -> DataFrame:
-    """(lang, middle, lower, upper): bounds of the log perplexity, from all documents of the language."""
-    some = scored.filter(F.col("log_perplexity").isNotNull())
-    middle = settle(some.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")))
-    spread = some.join(middle, "lang").groupBy("lang", "middle").agg(
-        F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10_000).alias("mad")
+def bands(scored: DataFrame, *, up: float = UP, down: float = DOWN, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, size_class, middle, below, above): bounds of ``(log_perplexity - middle) * sqrt(n_scored)``.
+
+    ``size_class`` is the power of two of the text's length.  A class with ``least_docs`` or more
+    documents that the base rules leave has its own median and spread, another one those of its
+    language; a language with fewer documents has no bounds.
+    """
+    some = scored.filter(F.col("log_perplexity").isNotNull() & ~F.col("base_failed"))
+    grouping = lambda rows: rows.groupBy("lang", "size_class")
+    each = settle(some.select("lang", F.explode(F.array("size_class", F.lit(WHOLE))).alias("size_class"), "log_perplexity", "n_scored"))
+    middle = settle(grouping(each).agg(F.count(F.lit(1)).alias("docs"), F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle")))
+    away = F.abs(F.col("log_perplexity") - F.col("middle")) * F.sqrt("n_scored")
+    spread = grouping(each.join(F.broadcast(middle), ["lang", "size_class"])).agg(
+        F.first("docs").alias("docs"), F.first("middle").alias("middle"), (1.4826 * F.percentile_approx(away, 0.5, 10_000)).alias("spread")
+    )
+    spread = settle(spread)
+    whole = spread.filter((F.col("size_class") == WHOLE) & (F.col("docs") >= least_docs)).select(
+        "lang", F.col("middle").alias("middle_of_all"), F.col("spread").alias("spread_of_all")
+    )
+    own = F.col("docs") >= least_docs
+    fitted = spread.join(whole, "lang", "left").select(
+        "lang", "size_class", F.when(own, F.col("middle")).otherwise(F.col("middle_of_all")).alias("middle"),
+        F.when(own, F.col("spread")).otherwise(F.col("spread_of_all")).alias("spread"),
     )
-    wide = lambda k: F.greatest(F.lit(least_width), k * 1.4826 * F.col("mad"))
-    return spread.select("lang", "middle", (F.col("middle") - wide(down)).alias("lower"), (F.col("middle") + wide(up)).alias("upper"))
+    return fitted.select("lang", "size_class", "middle", (-down * F.col("spread")).alias("below"), (up * F.col("spread")).alias("above"))
 
 
 def judge_documents(
-    docs: DataFrame, *, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, scatter: float = SCATTER, **widths: float,
+    docs: DataFrame, *, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, **widths: float,
 ) -> DataFrame:
     """Base counts, ``perplexity``, ``base_failed`` and ``kept`` of every row of ``docs`` (doc_id, text, lang).
 
@@ -445,13 +462,18 @@ def judge_documents(
     """
     counts = settle(count_grams(docs))
     folder = shared_folder(docs.sparkSession, "grams")
-    scored = score_documents(docs, folder, write_arrays(count_model(counts).unionByName(copied_texts(docs)), folder))
-    scored = settle(scored.withColumn("log_perplexity", F.when(F.col("n_scored") > 0, -F.col("log_p") / F.greatest("n_scored", F.lit(1)))))
-    limits = settle(bands(scored, **widths))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    away = (F.col("log_perplexity") - F.col("middle")) / F.sqrt(1 + scatter / F.greatest("n_scored", F.lit(1)))
-    inside = F.coalesce(away.between(F.col("lower") - F.col("middle"), F.col("upper") - F.col("middle")), F.lit(False))
-    return scored.join(limits, "lang", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & inside).alias("kept"), F.exp("log_perplexity").alias("perplexity"), "lang", "lower", "upper",
+    scored = score_documents(docs, folder, write_arrays(count_model(counts).unionByName(copied_texts(docs)), folder)).withColumns({
+        "log_perplexity": F.when(F.col("n_scored") > 0, -F.col("log_p") / F.greatest("n_scored", F.lit(1))),
+        "size_class": F.floor(F.log2(F.greatest("n_scored", F.lit(1)))).cast("int"), "base_failed": failed,
+    })
+    scored = settle(scored)
+    limits = F.broadcast(settle(bands(scored, **widths)))
+    root = F.sqrt(F.greatest("n_scored", F.lit(1)))
+    # A language without bounds is judged by the base rules alone.
+    inside = F.coalesce(((F.col("log_perplexity") - F.col("middle")) * root).between(F.col("below"), F.col("above")), F.lit(True))
+    return scored.join(limits, ["lang", "size_class"], "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & inside).alias("kept"), F.exp("log_perplexity").alias("perplexity"), "lang",
+        (F.col("middle") + F.col("below") / root).alias("lower"), (F.col("middle") + F.col("above") / root).alias("upper"),
     )
