@@ -81,3 +81,70 @@ SELECT doc_id, license, max(n) AS n_sentences FROM ids JOIN rules ON regexp_matc
 
 
 OP4_SQL = _op4_sql()
+
+# CRC-32 bit by bit: a byte is mixed in and eight shifts follow; list_reduce goes over the bytes and the shifts (-1).
+_BYTES = (
+    "list_transform(range(length(x)), lambda i: CASE WHEN unicode(substr(x, i + 1, 1)) < 128 THEN [unicode(substr(x, i + 1, 1))] "
+    "ELSE [192 | (unicode(substr(x, i + 1, 1)) >> 6), 128 | (unicode(substr(x, i + 1, 1)) & 63)] END)"
+)
+OP11_SQL = f"""
+WITH run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || translate(r, {AZ}) AS x, translate(r, {AZ}) AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents) WHERE length(r) >= 7
+), step AS (
+  SELECT run, list_transform(flatten(list_transform(flatten({_BYTES}), lambda b: [b, -1, -1, -1, -1, -1, -1, -1])), lambda b: CAST(b AS BIGINT)) AS steps FROM run
+), hashed AS (
+  SELECT run, xor(4294967295, list_reduce(steps, lambda c, b:
+    xor(xor(c, CASE WHEN b < 0 THEN 0 ELSE b END) >> 1, (xor(c, CASE WHEN b < 0 THEN 0 ELSE b END) & 1) * 3988292384), CAST(4294967295 AS BIGINT))) AS h
+  FROM step
+), word AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), cut AS (
+  SELECT word, n, length(word) AS size, i, substr(word, 1, i) || '_' || substr(word, i + 2) AS holed, substr(word, 1, i) || substr(word, i + 2) AS less
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM word)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.holed = b.holed AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM cut a JOIN word b ON a.less = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM cut a JOIN word b ON a.less = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS most FROM near GROUP BY word
+), form AS (
+  SELECT word.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN most END AS form_n,
+    CASE WHEN most >= 10 * n THEN (SELECT min(other) FROM near WHERE near.word = word.word AND other_n = most) END AS form
+  FROM word LEFT JOIN best USING (word)
+), way AS (
+  WITH RECURSIVE go(word, at, form) AS (
+    SELECT word, word, form FROM form
+    UNION ALL
+    SELECT go.word, form.word, form.form FROM go JOIN form ON go.form = form.word
+  ) SELECT word, at AS root FROM go WHERE form IS NULL
+)
+SELECT form.word, form.form, root, n, n_near, form_n FROM form JOIN way USING (word)
+"""
+
+OP13_SQL = """
+WITH item AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), score AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS s
+  FROM item a JOIN item b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM score WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5
+), negative AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, s AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id) AS place
+  FROM positive JOIN score USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE place <= 3
+"""

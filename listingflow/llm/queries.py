@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classifier, decontaminate, licenses, linededup, packing, perplexity, simhash, tokens, urlfilter, warc
+from . import (
+    classifier, decontaminate, interpolation, licenses, linededup, negatives, packing, perplexity, simhash, spelling, tokens,
+    urlfilter, warc,
+)
 from .common import read, shared_folder
-from .oracles import OP1_SQL, OP4_SQL, OP5_SQL, OP10_SQL
+from .oracles import OP1_SQL, OP4_SQL, OP5_SQL, OP10_SQL, OP11_SQL, OP13_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL, "op4_licenses": OP4_SQL, "op5_url_filter": OP5_SQL, "op10_line_dedup": OP10_SQL,
+    "op11_spelling": OP11_SQL, "op13_hard_negatives": OP13_SQL,
 }
 
 
@@ -102,3 +106,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("line_dropped", F.lit(0).cast("long")).alias("n_dropped"),
         F.sha2(linededup.kept_text(F.col("text"), F.col("line_keep")), 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words and forms."""
+    found = spelling.group_variants(read(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return interpolation.score_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every fiftieth vector; every seventh has a label not its own."""
+    label, vec_id = F.col("label"), F.col("vec_id")
+    return negatives.mine_negatives(
+        read(spark, sf_dir, "embeddings"), anchor=vec_id % 50 == 0,
+        relabel=F.when(vec_id % 7 == 0, F.pmod(label + 1, F.lit(10))).otherwise(label),
+    )
