@@ -276,9 +276,8 @@ def blank(order: int) -> np.ndarray:
 
 def learn(rows: DataFrame, order: int, docs: int, tokens: int, types: int) -> np.ndarray:
     """Weights by expectation-maximisation over all deleted documents; each round is a pass of partial sums."""
-    schema = pa.schema([("got", pa.list_(pa.float64())), ("able", pa.list_(pa.float64())), ("log_p", pa.float64()), ("n", pa.int64())])
+    schema = pa.schema([("place", pa.int32()), ("got", pa.float64()), ("able", pa.float64()), ("log_p", pa.float64()), ("n", pa.int64())])
     weights, before = blank(order), None
-    places = order * CLASSES
     for _ in range(ROUNDS):
         def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             got, able, log_p, n = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0
@@ -288,15 +287,21 @@ def learn(rows: DataFrame, order: int, docs: int, tokens: int, types: int) -> np
                     if len(sizes):
                         g, a, lp = expect(weights, counts, sizes, docs, tokens, types)
                         got, able, log_p, n = got + g, able + a, log_p + lp, n + counts.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([got.ravel().tolist()]), pa.array([able.ravel().tolist()]), pa.array([log_p]), pa.array([n])], schema=schema)
-
-        parts = rows.select("deleted_sizes", "deleted_counts").mapInArrow(run, "got array<double>, able array<double>, log_p double, n long")
-        sums = [F.array(*(F.sum(F.col(c)[i]) for i in range(places))).alias(c) for c in ("got", "able")]
-        total = parts.agg(*sums, F.sum("log_p").alias("log_p"), F.sum("n").alias("n")).first()
-        if not total["n"]:
+            used = np.flatnonzero(able)
+            once = [log_p, *[0.0] * len(used)], [n, *[0] * len(used)]
+            columns = [np.append(-1, used), np.append(0.0, got.ravel()[used]), np.append(0.0, able.ravel()[used]), *once]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        parts = rows.select("deleted_sizes", "deleted_counts").mapInArrow(run, "place int, got double, able double, log_p double, n long")
+        # At most one row for each weight comes back; the sums of all tokens stand at place -1.
+        sums = {r["place"]: r for r in parts.groupBy("place").agg(*(F.sum(c).alias(c) for c in ("got", "able", "log_p", "n"))).collect()}
+        total = sums.pop(-1, None)
+        if total is None or not total["n"]:
             return weights
-        got, able = np.array(total["got"]).reshape(order, CLASSES), np.array(total["able"]).reshape(order, CLASSES)
+        got, able = np.zeros(weights.size), np.zeros(weights.size)
+        for place, r in sums.items():
+            got[place], able[place] = r["got"], r["able"]
+        got, able = got.reshape(weights.shape), able.reshape(weights.shape)
         weights = (got + 0.5) / (able + 1)  # half a success and half a failure more, so that none is 0 or 1
         for b in range(2, CLASSES):  # a bucket the deleted part doesn't have is like the one below
             weights[:, b] = np.where(able[:, b] > 0, weights[:, b], weights[:, b - 1])

@@ -117,11 +117,11 @@ WITH run AS (
     CASE WHEN most >= 10 * n THEN (SELECT min(other) FROM near WHERE near.word = word.word AND other_n = most) END AS form
   FROM word LEFT JOIN best USING (word)
 ), way AS (
-  WITH RECURSIVE go(word, at, form) AS (
+  WITH RECURSIVE go(word, place, form) AS (
     SELECT word, word, form FROM form
     UNION ALL
     SELECT go.word, form.word, form.form FROM go JOIN form ON go.form = form.word
-  ) SELECT word, at AS root FROM go WHERE form IS NULL
+  ) SELECT word, place AS root FROM go WHERE form IS NULL
 )
 SELECT form.word, form.form, root, n, n_near, form_n FROM form JOIN way USING (word)
 """

@@ -79,7 +79,7 @@ def near_pairs(words: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     rows = settle(keyed(cells(words, 0).unionByName(cells(words, 1))))
     found = []
     while True:
-        long, short = F.count_if("extra = 0"), F.count_if("extra = 1")
+        long, short = F.count_if(F.col("extra") == 0), F.count_if(F.col("extra") == 1)
         # Pairs of one length and pairs of two, of those that a group can still be split for.
         sizes = rows.groupBy("key").agg(long.alias("long"), short.alias("short"), F.max(F.col("b") - F.col("a")).alias("width"))
         hot = settle(sizes.filter((F.col("long") * (F.col("long") / 2 + F.col("short")) > limit) & (F.col("width") > 1)).select("key"))
