@@ -33,7 +33,7 @@ from .common import ship
 
 ship(__name__)
 
-ORDER, CHUNK_BYTES, BUCKET_ENTRIES, BYTES_A_WORD = 3, 8 << 20, 1 << 21, 6
+ORDER, CHUNK_BYTES, BUCKET_ENTRIES, BYTES_A_WORD = 2, 8 << 20, 1 << 21, 6
 HELD, MAIN, DELETED = 0, 1, 2
 MODULUS, HELD_OUT, DELETED_PART = 7, 2, 3
 ROUNDS, GAIN, CLASSES = 25, 1e-5, 65
@@ -221,7 +221,7 @@ def count_all(docs: DataFrame, order: int) -> DataFrame:
     n_chunks, n_bytes = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     bits = max(0, math.ceil(math.log2(max(1, n_bytes / BYTES_A_WORD / BUCKET_ENTRIES))))
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    asked = ask(chunks.repartition(max(cores, n_chunks), "chunk"), order, bits)
+    asked = ask(chunks, order, bits)
     answers = asked.repartition(max(cores, order << bits), "bucket").groupBy("bucket").applyInArrow(answer, ANSWER)
     both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return settle(both.applyInArrow(counted(order, bits), COUNTED))
