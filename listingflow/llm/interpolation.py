@@ -33,7 +33,7 @@ from .common import ship
 
 ship(__name__)
 
-ORDER, CHUNK_BYTES, BUCKET_ENTRIES, BYTES_A_WORD = 2, 8 << 20, 1 << 21, 6
+ORDER, CHUNK_BYTES, BUCKET_ENTRIES, BYTES_A_WORD = 2, 12 << 20, 1 << 21, 6
 HELD, MAIN, DELETED = 0, 1, 2
 MODULUS, HELD_OUT, DELETED_PART = 7, 2, 3
 ROUNDS, GAIN, CLASSES = 25, 1e-5, 65
@@ -64,6 +64,12 @@ def unsqueeze_sorted(raw: bytes) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ chunks of documents
+def squeeze_texts(texts: list[bytes]) -> bytes:
+    """Copies in one chunk lie far apart, so they are looked for in all of it."""
+    asked = zstandard.ZstdCompressionParameters.from_level(6, enable_ldm=True, window_log=24)
+    return zstandard.ZstdCompressor(compression_params=asked).compress(b"".join(texts))
+
+
 def part_of(doc_id: int | None) -> int:
     """Held out, deleted from the counts while the weights are learned, or the rest; by the hash of the id."""
     rest = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % MODULUS
@@ -79,7 +85,7 @@ def pack(docs: DataFrame) -> DataFrame:
         task, number, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush():
-            row = ((task << 32) + number, ids, squeeze(np.array([len(t) for t in texts])), zstandard.compress(b"".join(texts), 3), size)
+            row = ((task << 32) + number, ids, squeeze(np.array([len(t) for t in texts])), squeeze_texts(texts), size)
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
