@@ -170,7 +170,8 @@ ANSWER = "chunk long, bucket long, counts binary, main binary, types long, main_
 
 
 def answer(asked: pa.Table) -> pa.Table:
-    """Summed counts of one bucket, for each chunk in the order of its keys; the numbers of distinct n-grams go to one chunk."""
+    """Summed counts of one bucket, for each chunk in the order of its keys, and those without the deleted part
+    for its deleted keys; the numbers of distinct n-grams go to one chunk."""
     columns = [asked.column(c).to_pylist() for c in ("chunk", "keys", "main", "deleted")]
     keys = [unsqueeze_sorted(x) for x in columns[1]]
     some, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -180,7 +181,8 @@ def answer(asked: pa.Table) -> pa.Table:
     bucket, rows = asked.column("bucket")[0].as_py(), []
     for i, (chunk, x, y) in enumerate(zip(columns[0], [0, *ends], ends)):
         types = (int((both > 0).sum()), int((main > 0).sum())) if i == 0 else (0, 0)
-        rows.append((chunk, bucket, squeeze(both[at[x:y]]), squeeze(main[at[x:y]]), *types))
+        own = at[x:y]
+        rows.append((chunk, bucket, squeeze(both[own]), squeeze(main[own[unsqueeze(columns[3][i]) > 0]]), *types))
     names = [c.split()[0] for c in ANSWER.split(", ")]
     return pa.table({n: pa.array(c, pa.binary() if n in ("counts", "main") else pa.int64()) for n, c in zip(names, zip(*rows))})
 
@@ -205,7 +207,10 @@ def counted(order: int, bits: int):
                 mine = [r for r in rows if r["bucket"] >> bits == n]
                 at = np.unique(gram, return_inverse=True)[1]
                 every.append(np.concatenate([unsqueeze(r["counts"]) for r in mine])[at])
-                main.append(np.concatenate([unsqueeze(r["main"]) for r in mine])[at][part == DELETED])
+                some, where = np.unique(at[part == DELETED], return_inverse=True)
+                found = np.concatenate([unsqueeze(r["main"]) for r in mine])
+                assert len(found) == len(some), "a chunk and the answer to it differ"
+                main.append(found[where])
             first = [r for r in rows if r["bucket"] >> bits == 0]
             out.append((
                 chunk["chunk"], chunk["ids"], squeeze(sizes), squeeze(np.concatenate(every)),
