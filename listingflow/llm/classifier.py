@@ -11,6 +11,7 @@ plain numpy on the driver; scoring is a map over all rows, without a shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from .common import ship, to_batch
 ship(__name__)
 
 MAX_DOCS, MAX_LINES, STEPS, RATE, RIDGE, THRESHOLD = 4000, 512, 300, 0.1, 1e-3, 0.7
+CHARS = 4_000_000  # scored at a time
 
 (SPACE, LOWER, UPPER, DIGIT, SYMBOL, BANG, PIPE, STOP, OTHER) = range(9)
 KINDS = 9
@@ -190,6 +192,19 @@ def fit(features: np.ndarray, first: np.ndarray, label: np.ndarray, *, steps: in
     return chain
 
 
+def portions(texts: list[str], rows: int = 512, chars: int = CHARS) -> Iterator[list[str]]:
+    """Runs of texts, bounded in rows and characters; a longer text is a run of its own."""
+    held, size = [], 0
+    for text in texts:
+        if held and (len(held) == rows or size + len(text) > chars):
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
@@ -197,13 +212,16 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Chain | None:
     """The field fitted to at most ``max_docs`` labelled documents that are not held out.
 
-    The sample is the labelled ids with the smallest hashes; a training document counts with
-    its first ``max_lines`` lines.  Null labels and ids are left out, conflicting labels of one
-    id count as the lower one.  Without any labelled document there is no model.
+    The sample is the labelled ids of ``docs`` with the smallest hashes; of a training document
+    with more than ``max_lines`` lines a run of so many counts, which begins at a line picked by
+    the id's hash.  Null labels and ids are left out, labels without a document do not count,
+    conflicting labels of one id count as the lower one.  Without any labelled document there
+    is no model.
     """
     wanted = (
         labels.select("doc_id", "quality").dropna().filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     )
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("lines", pa.int32()), ("features", pa.binary())])
@@ -213,7 +231,9 @@ def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_l
         for batch in batches:
             rows = []
             for doc_id, text, quality in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                f, _, _ = maker.of(["\n".join((text or "").split("\n", max_lines)[:max_lines])])
+                own = (text or "").split("\n")
+                begin = zlib.crc32(str(doc_id).encode()) % (max(len(own) - max_lines, 0) + 1)
+                f, _, _ = maker.of(["\n".join(own[begin : begin + max_lines])])
                 rows.append((doc_id, int(quality > 0), len(f), f.astype("<f4").tobytes()))
             yield to_batch(rows, schema)
 
@@ -246,8 +266,7 @@ def score_documents(docs: DataFrame, chain: Chain | None, *, threshold: float =
         maker = LineFeatures()
         for texts in batches:
             parts = []
-            for at in range(0, len(texts), 512):
-                some = [t or "" for t in texts.iloc[at : at + 512]]
+            for some in portions([t or "" for t in texts]):
                 f, first, size = maker.of(some)
                 p, _, _ = chain.marginals(chain.potentials(f), first)
                 weight = size + 1.0

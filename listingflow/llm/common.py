@@ -30,6 +30,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with all columns but the used ones under names that no operator uses; ``toDF`` gives them back."""
+    return docs.toDF(*(c if c in used else f"own {i} {c}" for i, c in enumerate(docs.columns)))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the session's shared checkpoint folder."""
     folder = checkpoint_dir(spark).rstrip("/")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, cached_property, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,7 +25,7 @@ from .common import by_batch, ship
 
 ship(__name__)
 
-ERROR_RATE, BLOCK_CHARS = 0.1, 16_000_000
+ERROR_RATE, BLOCK_CHARS = 0.1, 1_000_000
 APART = re.compile(r"[\W_]+")
 HITS = pa.schema([
     ("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()),
@@ -54,7 +54,6 @@ class Part:
     def __init__(self, item: str, low: int, high: int, budget: int, above: Part | None = None):
         self.low, self.high, self.budget, self.above = low, high, budget, above
         self.text = item[low:high]
-        self.pattern = Pattern(self.text) if budget else None
         self.halves: list[Part] = []
         self.beside: list[tuple[str, int, int]] = []
         if budget:
@@ -64,6 +63,11 @@ class Part:
             for one, other in (self.halves, self.halves[::-1]):
                 one.beside = [(t, other.low + at - budget, other.low + at + len(t) + budget) for at, t in cut(other.text, budget)]
 
+    @cached_property
+    def pattern(self) -> Pattern:
+        """Made at the first hit: most parts of a benchmark never have one."""
+        return Pattern(self.text)
+
     def pieces(self) -> list[Part]:
         """The ``budget + 1`` parts that must match exactly, one of them at least."""
         return [p for h in self.halves for p in h.pieces()] if self.halves else [self]
@@ -111,8 +115,8 @@ class Matcher:
         import ahocorasick
 
         self.items, self.budgets = items, budgets
-        self.ahead = [Pattern(t) for t in items]
-        self.behind = [Pattern(t[::-1]) for t in items]
+        self.ahead = cache(lambda number: Pattern(items[number]))
+        self.behind = cache(lambda number: Pattern(items[number][::-1]))
         pieces: dict[str, list[tuple[int, Part]]] = {}
         for number, (item, budget) in enumerate(zip(items, budgets)):
             for piece in Part(item, 0, len(item), budget).pieces():
@@ -147,12 +151,12 @@ class Matcher:
             best = None
             for begin, end in windows[number]:
                 begin = max(begin, 0)
-                distance, stop = self.ahead[number].search(text[begin : max(end, 0)])
+                distance, stop = self.ahead(number).search(text[begin : max(end, 0)])
                 if distance <= self.budgets[number] and (best is None or distance < best[0]):
                     best = (distance, begin, begin + stop)
             if best:
                 distance, low, stop = best
-                _, back = self.behind[number].search(text[low:stop][::-1], anchored=True)
+                _, back = self.behind(number).search(text[low:stop][::-1], anchored=True)
                 out.append((number, distance, stop - back, stop))
         return out
 
@@ -198,4 +202,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """``docs`` without the documents that hold a benchmark item; rows with a null doc_id are judged as one."""
     # Written, so that the planner knows the size of this side.
     bad = settle(find_items(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

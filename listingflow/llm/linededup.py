@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import settle
-from .common import SPACE
+from .common import SPACE, aside
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_CHARS, MIN_DOCS, SALTS = 40, 5, 64
+MIN_CHARS, MIN_DOCS, SALTS, SALT_LINES = 40, 5, 64, 2_000_000
 
 
 def split_lines(text: Column) -> Column:
@@ -28,7 +28,7 @@ def line_key(line: Column) -> Column:
 
 
 def keep_bitmaps(
-    docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, salts: int = SALTS,
+    docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, salts: int | None = None,
 ) -> DataFrame:
     """(doc_id, text_hash, n_dropped, keep): one row for each document that loses lines.
 
@@ -36,7 +36,8 @@ def keep_bitmaps(
     lines only in the largest doc_id.  ``keep`` maps a word number (position div 64) to 64 keep
     bits; a word that is not there keeps all its lines.  Rows with one doc_id count as one
     document and are told apart by the hash of their text; null doc_ids are one document, the
-    smallest.  Other columns are ignored; an empty table gives an empty result.
+    smallest.  Other columns are ignored; an empty table gives an empty result.  ``salts`` is how
+    many parts a line may be dealt to; by default it grows with the number of lines.
     """
     lines = docs.select(
         F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line")
@@ -45,6 +46,8 @@ def keep_bitmaps(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"),
         "doc_id", "text_hash", "pos",
     ))
+    if salts is None:
+        salts = max(SALTS, lines.count() // SALT_LINES)
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     ordered = salted.select("h1", "h2", "salt", "doc_id", "pos").repartitionByRange("h1", "h2", "salt")
     by_document = W.partitionBy("h1", "h2", "salt").orderBy(F.desc_nulls_last("doc_id"), "pos")
@@ -78,12 +81,15 @@ def kept_text(text: Column, keep: Column) -> Column:
 
 
 def with_bitmaps(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``line_keep`` and ``n_dropped``; repeated rows stay repeated."""
+    """``docs`` with ``line_keep`` and ``line_dropped``; repeated rows stay repeated.
+
+    Columns of these names must not be there; ``drop_repeated_lines`` takes any.
+    """
     maps = keep_bitmaps(docs, **options).select(
         F.col("doc_id").alias("map_doc"), F.col("text_hash").alias("map_text"), F.col("n_dropped").alias("line_dropped"),
         F.col("keep").alias("line_keep"),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("map_doc")) & (F.xxhash64("text") == F.col("map_text"))
+    same = docs["doc_id"].eqNullSafe(maps["map_doc"]) & (F.xxhash64(docs["text"]) == maps["map_text"])
     return docs.join(maps, same, "left").drop("map_doc", "map_text")
 
 
@@ -93,8 +99,9 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     A document that loses no line keeps its text as it is, null included.
     """
     text = F.when(F.col("line_keep").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("line_keep")))
-    out = with_bitmaps(docs.select("*"), **options).withColumn("text", text)
+    mine = aside(docs, "doc_id", "text", "n_chars")
+    out = with_bitmaps(mine, **options).withColumn("text", text)
     if "n_chars" in docs.columns:
         n = F.when(F.col("line_keep").isNull(), F.col("n_chars")).otherwise(F.length("text"))
         out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*mine.columns).toDF(*docs.columns)

@@ -9,10 +9,8 @@ near the boundary goes to both sides, and no pair is lost.  Inside a shard the s
 on down to small leaves, which are compared as numpy blocks.  A shard gives a spanning star for
 each group it finds, never pairs, and the stars are joined by large-star / small-star rounds.
 
-Wide radii leave nothing to prune in a space where unrelated texts are half the bits apart.
-``similar_groups`` therefore deals rows out by min-wise anchors first (texts with a Jaccard
-similarity of 0.8 share none of 8 anchors with probability 0.2 ** 8) and compares inside those
-shards, with wider fingerprints.  Shards over ``block`` rows are split into pairs of slices.
+Wide radii leave nothing to prune in a space where unrelated texts are half the bits apart; see
+``nearcopies`` for these.
 """
 
 from __future__ import annotations
@@ -29,7 +27,7 @@ from .common import ship, to_batch
 
 ship(__name__)
 
-SEED, SAMPLE, SHARD_ROWS, LEAF, BLOCK, ANCHORS = 42, 8192, 20_000, 128, 20_000, 8
+SEED, SAMPLE, SHARD_ROWS, LEAF = 42, 8192, 20_000, 128
 FLUSH = 1 << 20
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)  # constants of the splitmix64 generator
 
@@ -300,58 +298,3 @@ def hamming_groups(
     routed = route(unique, tree, 1, slack)
     edges = stars(routed, 1, lambda d, a, b: d <= radius, slack, parts=4 * n // shard_rows)
     return with_components(rows, unique, edges).select("doc_id", "fp", "component_id")
-
-
-def similar_groups(
-    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, tolerance: float = 0.03,
-    words: int = 8, anchors: int = ANCHORS, block: int = BLOCK,
-) -> DataFrame:
-    """(doc_id, fp, component_id): groups of texts with a Jaccard similarity of shingle sets of
-    ``similarity`` or more, as the fingerprint distance and the set sizes tell it.
-
-    The angle between fingerprints gives the cosine, and with the sizes the Jaccard similarity;
-    with 512 bits its standard error is about 0.035 at 0.8.  Pairs count from ``similarity``
-    less ``tolerance`` on.  Blank texts are copies of each other.
-    """
-    bits = 64 * words
-    rows = settle(fingerprints(docs, shingle=shingle, words=words, distinct=True, anchors=anchors))
-    unique = settle(distinct_fingerprints(
-        rows, F.first("n_shingles").alias("n_shingles"), F.first("anchors").alias("anchors")
-    ))
-    keyed = unique.select("fp", "n_shingles", F.posexplode("anchors").alias("way", "anchor"))
-    hot = settle(keyed.groupBy("way", "anchor").count().filter(F.col("count") > block))
-    if hot.isEmpty():
-        dealt = keyed.withColumn("shard", F.xxhash64("way", "anchor"))
-    else:
-        # A hot anchor: slices of at most about a block, and one shard for each pair of slices.
-        slices = hot.select("way", "anchor", F.ceil(F.col("count") * 2 / block).cast("int").alias("n"))
-        own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, own).alias("a"), F.greatest(k, own).alias("b")))
-        none = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
-        dealt = (
-            keyed.join(slices, ["way", "anchor"], "left")
-            .withColumn("pair", F.explode(F.when(F.col("n").isNull(), none).otherwise(pairs)))
-            .withColumn("shard", F.xxhash64("way", "anchor", "pair"))
-        )
-    least = similarity - tolerance
-
-    def linked(d, a, b):
-        shared = np.cos(np.pi * d / bits) * np.sqrt(a * b)
-        return shared >= least * (a + b - shared)
-
-    edges = stars(dealt, words, linked, None, parts=unique.count() * anchors // (4 * block))
-    return with_components(rows, unique, edges).select("doc_id", "fp", "component_id")
-
-
-def keep_first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the smallest doc_id of each similar group; the same columns.
-
-    A document is its doc_id: repeated rows stay or go together, and rows with a null doc_id
-    stay unless each of them has a copy with an id.
-    """
-    groups = settle(similar_groups(docs, **options).select("doc_id", "component_id"))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = settle(
-        groups.groupBy(F.col("doc_id").alias("gone_id")).agg(F.bool_or(stays).alias("stays")).filter(~F.col("stays")).select("gone_id")
-    )
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")

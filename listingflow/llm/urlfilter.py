@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship
+from .common import aside, ship
 
 ship(__name__)
 
@@ -108,7 +108,7 @@ def judge_urls(
     The longest fitting host rule decides; without one, a block glob over the canonical URL
     (host, path and query, no scheme and no fragment) blocks, all else is allowed.  Null urls
     and urls without ``://`` have an empty host and path and are judged as the empty text.
-    A map over rows: no shuffle, and memory bounded by ``block_rows`` URLs.
+    An empty table stays empty; a very long url is judged whole.  A map over rows: no shuffle, and memory bounded by ``block_rows`` URLs.
     """
     ranked = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     globs = [g for host, path, _ in ranked for g in (f"{host}{path}**", f"*.{host}{path}**")] + list(block_globs)
@@ -132,6 +132,9 @@ def judge_urls(
                     verdict.append(verdicts[f] if ok else BLOCK if bad else ALLOW)
             yield pd.DataFrame({"rule": rule, "verdict": verdict})
 
-    out = df.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    replaced = ("host", "path", "rule", "verdict")
+    mine = aside(df, url, *replaced)
+    out = mine.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     judged = out.withColumn("url_judged", decide(F.concat("host", "path", query_of(F.col(url)))))
-    return judged.withColumn("rule", F.col("url_judged.rule")).withColumn("verdict", F.col("url_judged.verdict")).drop("url_judged")
+    judged = judged.withColumn("rule", F.col("url_judged.rule")).withColumn("verdict", F.col("url_judged.verdict")).drop("url_judged")
+    return judged.toDF(*df.columns, *(c for c in judged.columns if c not in mine.columns))

@@ -6,8 +6,9 @@ import re
 import pytest
 
 import corpus_pipeline
-from listingflow.llm import decontaminate, linededup, simhash, urlfilter
+from listingflow.llm import decontaminate, linededup, urlfilter
 from listingflow.llm.queries import ORACLES, QUERIES
+from tests.llm.test_nearcopies import brute as near_groups
 from tests.oracle import DATA, compare, connect
 
 SF = f"{DATA}/sf0.001"
@@ -91,12 +92,7 @@ def test_pipeline_stages(spark):
                 kept = [x for x in t.split("\n") if bad.get(re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r")), d) == d]
                 assert after[d] == "\n".join(kept)
         elif name == "near dedup":
-            sets = {d: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for d, t in before.items()}
-            for d, s in sets.items():
-                near = [e for e, o in sets.items() if e < d and len(s & o) >= 0.9 * max(1, len(s | o))]
-                assert (d not in after) or not near
-            for d in set(before) - set(after):
-                assert any(len(sets[d] & o) >= 0.6 * len(sets[d] | o) for e, o in sets.items() if e != d)
+            assert set(after) == {d for d, first in near_groups(list(before.items())) if d == first}
         else:
             passages = [decontaminate.normal(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             for d, t in before.items():

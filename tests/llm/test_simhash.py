@@ -94,34 +94,3 @@ def test_odd_inputs(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.hamming_groups(docs).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (None, 6), (7, 7)}
     assert simhash.hamming_groups(docs.filter("false")).collect() == []
-
-
-def test_similar_groups_follow_jaccard(spark):
-    rng = random.Random(8)
-    words = [f"w{i}" for i in range(5000)]
-    docs, n = [], 0
-    for _ in range(30):
-        text = [rng.choice(words) for _ in range(400)]
-        near = list(text)
-        for at in (50, 200, 350):
-            near[at] = "changed"
-        far = text[:200] + [rng.choice(words) for _ in range(200)]
-        for t in (text, near, far):
-            docs.append((n, " ".join(t)))
-            n += 1
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    for block in (20_000, 40):
-        groups = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame, block=block).collect()}
-        assert groups == {d: d if d % 3 == 2 else d - d % 3 for d, _ in docs}
-
-
-def test_hot_anchor_is_split(spark):
-    rng = random.Random(9)
-    text = [f"w{rng.randrange(9999)}" for _ in range(300)]
-    docs = []
-    for n in range(200):
-        mine = list(text)
-        mine[rng.randrange(300)] = f"x{n}"
-        docs.append((n, " ".join(mine)))
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {r["component_id"] for r in simhash.similar_groups(frame, block=30).collect()} == {0}
