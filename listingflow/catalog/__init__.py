@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["text_queries", "parse_queries", "source_queries", "relational_queries", "resolve_queries", "serving_queries"]
+MODULES = ["text_queries", "parse_queries", "source_queries", "page_queries", "relational_queries", "resolve_queries", "serving_queries", "search_queries"]
 
 
 def load() -> None:

@@ -191,9 +191,13 @@ def _paragraphs(x: str, size: int) -> str:
     return f"array_to_string(list_filter({texts}, lambda t: length(t) > {size} AND NOT {_boiler('t')}), chr(10))"
 
 
-_ARMS = [
-    rf"""nullif(regexp_extract(body, '(?is)<{t}\b[^>]*{m}[^>]*>(.*?)</(?:{t})>', 1), '')""" for t, m in pages.DESCRIPTION_CONTAINERS
+# The containers as (tag, attribute part), in order of preference.
+_CONTAINERS = [
+    ("div", 'itemprop="description"'), ("div", 'class="description"'), ("[a-z]+", "event-description"), ("[a-z]+", "entry-content"),
+    ("article", ""), ("[a-z]+", "detail-text"), ("[a-z]+", "info-event"), ("[a-z]+", "content-detail"),
+    ("[a-z]+", "field-body"), ("[a-z]+", 'class="texto"'), ("[a-z]+", 'class="cuerpo"'),
 ]
+_ARMS = [rf"""nullif(regexp_extract(body, '(?is)<{t}\b[^>]*{m}[^>]*>(.*?)</(?:{t})>', 1), '')""" for t, m in _CONTAINERS]
 _FOUND = ", ".join(f"{_paragraphs(f'coalesce({a}, {chr(39)}{chr(39)})', 5)} AS f{i}" for i, a in enumerate(_ARMS))
 _PICK = " ".join(f"WHEN length(f{i}) > 30 AND NOT {_boiler(f'f{i}')} THEN f{i}" for i in range(len(_ARMS)))
 

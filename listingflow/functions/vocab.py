@@ -392,6 +392,12 @@ SPANISH_STOP_WORDS = [
     "un", "para", "con", "no", "una", "su", "al", "lo", "como", "más", "pero",
     "sus", "le", "ya", "o", "este", "sí", "porque", "esta", "entre", "cuando",
     "muy", "sin", "sobre", "también", "me", "hasta", "hay", "donde", "quien",
+    "desde", "todo", "nos", "durante", "todos", "uno", "les", "ni", "contra", "otros", "ese", "eso", "ante",
+    "ellos", "e", "esto", "mí", "antes", "algunos", "qué", "unos", "yo", "otro", "otras", "otra", "él", "tanto",
+    "esa", "estos", "mucho", "quienes", "nada", "muchos", "cual", "poco", "ella", "estar", "estas", "algunas",
+    "algo", "nosotros", "mi", "mis", "tú", "te", "ti", "tu", "tus", "ellas", "nosotras", "vosotros", "vosotras",
+    "os", "mío", "mía", "míos", "mías", "tuyo", "tuya", "tuyos", "tuyas", "suyo", "suya", "suyos", "suyas",
+    "nuestro", "nuestra", "nuestros", "nuestras", "vuestro", "vuestra", "vuestros", "vuestras", "esos", "esas",
 ]
 
 # Starter keyword table (category, keywords).  It is a parameter: the full vocabulary

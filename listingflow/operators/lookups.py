@@ -51,7 +51,7 @@ def gazetteer_hits(gazetteer: DataFrame, bbox=v.BBOX) -> DataFrame:
         & (F.col("lon") > bbox["lon"][0]) & (F.col("lon") < bbox["lon"][1])
     )
     return gazetteer.filter(inside).groupBy("place_norm").agg(
-        F.min_by(F.struct("lat", "lon"), F.col("query_ord")).alias("gaz")
+        F.min_by(F.struct("lat", "lon"), F.struct("query_ord", "lat", "lon")).alias("gaz")
     )
 
 
@@ -130,7 +130,7 @@ def apply_page_venue(df: DataFrame, venues: DataFrame) -> DataFrame:
     usable = venues.withColumn("venue", strip(F.col("venue"))).filter(
         (F.length("venue") > 2) & ~is_generic_place(F.col("venue"))
     )
-    best = usable.groupBy("url_venta").agg(F.min_by("venue", "ord").alias("_venue"))
+    best = usable.groupBy("url_venta").agg(F.min_by("venue", F.struct("ord", "venue")).alias("_venue"))
     wanted = is_generic_place(F.col("lugar")) & page_venue_source(F.col("url_venta")).isNotNull()
     joined = df.join(best, "url_venta", "left").withColumn("_venue", F.when(wanted, F.col("_venue")))
     return _set_place(joined, F.col("_venue")).select(*df.columns)
@@ -234,23 +234,32 @@ def _keyword_points(shared):
 
 def apply_labels(df: DataFrame, labels: DataFrame, valid: Sequence[str] = v.CATEGORIES) -> DataFrame:
     """External categories (id, categoria): unknown ones count as the default,
-    and only others overwrite."""
-    known = F.when(
-        F.col("categoria").isin(*valid) & (F.col("categoria") != v.DEFAULT_CATEGORY), F.col("categoria")
-    )
-    joined = df.join(labels.select("id", "categoria"), "id", "left")
-    return joined.withColumn("estilo", F.coalesce(known, F.col("estilo"))).select(*df.columns)
+    and only others overwrite.
+
+    Of several labels of one id the last one counts, by ``order`` where the labels have that
+    column, else (and among equals) by the place of the category in ``valid``, the first one.
+    """
+    known = F.col("categoria").isin(*valid) & (F.col("categoria") != v.DEFAULT_CATEGORY)
+    later = [F.col("order")] if "order" in labels.columns else []
+    rank = F.struct(*later, (-F.array_position(F.array(*[F.lit(c) for c in valid]), F.col("categoria"))).alias("place"))
+    best = labels.filter(known).groupBy("id").agg(F.max_by("categoria", rank).alias("_label"))
+    joined = df.join(best, "id", "left")
+    return joined.withColumn("estilo", F.coalesce("_label", F.col("estilo"))).select(*df.columns)
 
 
 def apply_enrichment(df: DataFrame, enrichment: DataFrame) -> DataFrame:
     """Merge enrichment rows by id.
 
     Text when longer than 20; place only over a generic one, which voids the
-    coordinates; price and hour only where missing.  Every row counts as enriched.
+    coordinates; price and hour only where missing.  Every row counts as enriched.  Of several
+    enrichments of one id the last one counts, by ``order`` where they have that column, and
+    among equals the one with the greatest values.
     """
-    e = enrichment.select(
-        "id", F.col("descripcion_limpia").alias("_text"), F.col("precio_num").alias("_price"),
-        F.col("hora").alias("_hour"), F.col("lugar_corregido").alias("_place"),
+    fields = ["descripcion_limpia", "precio_num", "hora", "lugar_corregido"]
+    later = ["order"] if "order" in enrichment.columns else []
+    e = enrichment.groupBy("id").agg(F.max(F.struct(*later, *fields)).alias("e")).select(
+        "id", F.col("e.descripcion_limpia").alias("_text"), F.col("e.precio_num").alias("_price"),
+        F.col("e.hora").alias("_hour"), F.col("e.lugar_corregido").alias("_place"),
     )
     joined = df.join(e, "id", "left")
     place = F.when(is_generic_place(F.col("lugar")) & (F.length("_place") > 2), strip(F.col("_place")))

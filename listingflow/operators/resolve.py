@@ -6,14 +6,15 @@ It runs here without ever holding a whole block in one task:
 
 * copies collapse first: one row per (block, title), by a partial aggregate;
 * a block of at most ``chunk`` titles is one array in one Arrow batch;
-* a larger block goes through rounds.  A round solves the first ``chunk`` open
-  titles of each block, then compares all other open titles, spread over slices
-  of bounded size, with the leaders just found.  A title that finds one is
-  decided (leaders found earlier in the order win, exactly as in the sequential
-  pass); the rest goes to the next round.
-
-No pair list is built, nothing is capped, and the result equals the sequential
-pass (``tests/test_resolve.py`` checks it against brute force).
+* of a larger block the first ``chunk`` titles are solved, and all others, spread
+  over slices of bounded size, are compared with the leaders found.  A title that
+  finds one is decided (leaders found earlier in the order win, exactly as in the
+  sequential pass);
+* the rest goes through a candidate join and an ordered fixpoint over its edges
+  (``candidates``).
+
+Nothing is capped, and the result equals the sequential pass (``tests/test_resolve.py``
+checks it against brute force).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from ..functions.parse import hour_to_minutes
 from ..functions.similarity import Leaders, follow_leaders
 from ..functions.text import canonical_title, fold, occurrence_key, strip
 from ..session import no_match_key, python_partitions, settle
+from .candidates import TILE, ordered_leaders, similar_edges
 from .survivors import keep_best, master_rank, quality_score, survivor_rank
 
 CHUNK = 4096
@@ -99,32 +101,38 @@ def assign_leaders(
             "leader": [leaders.names[i] if i >= 0 else None for i in hits],
         })
 
+    # The head of a large block is solved as it is and compared with all others; what then still is
+    # open has few similar pairs left.
     parts = python_partitions(titles.sparkSession)
-    while True:
-        solved = settle(_solve_blocks(_first_chunk(todo, "block", chunk), threshold, use_ratio))
-        decided.append(solved)
-        rest = todo.join(solved, ["block", "title"], "left_anti")
-        rest = rest.withColumn("slice", F.pmod(F.xxhash64("title"), F.col("slices")))
-        new_leaders = (
-            todo.join(solved.filter("title = leader"), ["block", "title"])
-            .select("block", "leader", F.col("rank").alias("place"), "slices")
-            .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1)))
-            .drop("slices")
-        )
-        order = F.row_number().over(W.partitionBy("block", "slice").orderBy("place"))
-        new_leaders = settle(new_leaders.withColumn("place", order))
-        compared = settle(
-            rest.select("block", "title", "slice").repartition(parts, "block", "slice")
-            .groupBy("block", "slice")
-            .cogroup(new_leaders.repartition(parts, "block", "slice").groupBy("block", "slice"))
-            .applyInPandas(compare, "block string, title string, leader string")
-        )
-        decided.append(compared.filter("leader IS NOT NULL"))
-        todo = settle(
-            todo.join(compared.filter("leader IS NULL").select("block", "title"), ["block", "title"])
-        )
-        if todo.isEmpty():
-            return reduce(DataFrame.unionByName, decided)
+    solved = settle(_solve_blocks(_first_chunk(todo, "block", chunk), threshold, use_ratio))
+    decided.append(solved)
+    rest = todo.join(solved, ["block", "title"], "left_anti")
+    rest = rest.withColumn("slice", F.pmod(F.xxhash64("title"), F.col("slices")))
+    leaders = (
+        todo.join(solved.filter("title = leader"), ["block", "title"])
+        .select("block", "leader", F.col("rank").alias("place"), "slices")
+        .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1)))
+        .drop("slices")
+    )
+    order = F.row_number().over(W.partitionBy("block", "slice").orderBy("place"))
+    leaders = settle(leaders.withColumn("place", order))
+    compared = settle(
+        rest.select("block", "title", "slice").repartition(parts, "block", "slice")
+        .groupBy("block", "slice")
+        .cogroup(leaders.repartition(parts, "block", "slice").groupBy("block", "slice"))
+        .applyInPandas(compare, "block string, title string, leader string")
+    )
+    decided.append(compared.filter("leader IS NOT NULL"))
+    todo = settle(
+        todo.join(compared.filter("leader IS NULL").select("block", "title"), ["block", "title"]).select("block", "title", "rank")
+    )
+    sizes = todo.groupBy("block").count()
+    large = settle(sizes.filter(F.col("count") > chunk).select("block"))
+    decided.append(_solve_blocks(todo.join(large, "block", "left_anti"), threshold, use_ratio))
+    if not large.isEmpty():
+        todo = settle(todo.join(large, "block"))
+        decided.append(ordered_leaders(todo, similar_edges(todo, threshold=threshold, use_ratio=use_ratio, tile=min(slice_size, TILE))))
+    return reduce(DataFrame.unionByName, decided)
 
 
 def cluster_titles(
@@ -457,3 +465,24 @@ def fingerprint_text(df: DataFrame, *, run: str, text: str, order: Sequence[str]
         .withColumn(text, F.when(F.col("place") == F.col("owner"), F.col(text)))
         .drop("mark", "place", "owner")
     )
+
+
+def first_new_text(candidates: DataFrame, *, run: str, order: Sequence[str], place: str, text: str, size: int = 200) -> DataFrame:
+    """The candidate text that each owner takes: its first, in ``place`` order, whose first ``size``
+    characters no earlier owner of the run took.  Owners without any are left out.
+
+    The sequential rule as rounds: each owner offers its first text still open to it, each text
+    goes to the earliest owner that offers it, and the others go on to their next.  A text once
+    lost stays lost, so the rounds follow the longest chain of refusals, not the number of owners.
+    """
+    owner = F.struct(*[F.col(c) for c in order])
+    every = settle(candidates.withColumns({"_mark": F.xxhash64(strip(F.substring(F.col(text), 1, size))), "_owner": owner}))
+    slim = every.select(run, "_owner", F.col(place).alias("_place"), "_mark")
+    while True:
+        offers = settle(slim.groupBy(run, "_owner").agg(F.min(F.struct("_place", "_mark")).alias("o")).select(run, "_owner", "o.*"))
+        holders = offers.groupBy(run, "_mark").agg(F.min("_owner").alias("_holder"))
+        lost = settle(offers.join(holders, [run, "_mark"]).filter("_owner <> _holder").select(run, "_owner", "_place"))
+        if lost.isEmpty():
+            taken = offers.select(run, "_owner", F.col("_place").alias(place), "_mark")
+            return every.join(taken, [run, "_owner", place, "_mark"], "left_semi").drop("_mark", "_owner")
+        slim = settle(slim.join(lost, [run, "_owner", "_place"], "left_anti"))

@@ -45,10 +45,11 @@ def _given(name: str, dtype: str) -> Column:
 
 def fold_batch(batch: DataFrame, order: str) -> DataFrame:
     """One row per key of a batch: the last row wins; optional columns keep their
-    last given value and insert-only ones their first.  All are ordered
-    aggregates, so a repeated key is combined before the shuffle."""
+    last given value and insert-only ones their first.  Rows of equal ``order`` go by
+    the hash of all their values, so the result doesn't depend on the order they come in.
+    All are ordered aggregates, so a repeated key is combined before the shuffle."""
     types = dict(batch.dtypes)
-    at = F.col(order)
+    at = F.struct(F.col(order), F.xxhash64(*[c for c, t in types.items() if "map<" not in t]))
     last = F.max_by(F.struct(*OVERWRITTEN), at).alias("last")
     given = [
         F.max_by(_given(c, types[c]), F.when(_given(c, types[c]).isNotNull(), at)).alias(c)

@@ -1,10 +1,11 @@
 """Captured web pages -> cards, sections, facts, paragraphs, images.
 
-Pages are a table (page_id, url, html).  Mark-up is put in a regular, numbered form
-once per page (``markup.walked``, in Arrow batches), so that nesting, quotes and the
-order of attributes do not matter, and then cut with Catalyst regular expressions.
-Extraction is a narrow projection next to the scan; nothing shuffles until cards are
-made unique.
+Pages are a table (page_id, url, html).  Cards, descriptions, images and marked facts
+are selected from the element table of a page (``elements.page_elements``), so nesting
+is real; sections and microdata are cut from a regular form of the mark-up
+(``markup.walked``), JSON-LD is read from the mark-up itself.  Each page is walked once
+per extraction, in Arrow batches, and all selection is array expressions next to the
+scan; nothing shuffles until cards are made unique.
 """
 
 from __future__ import annotations
@@ -16,65 +17,90 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import vocab as v
 from ..functions.flags import is_boilerplate, is_generic_title
 from ..functions.parse import (
-    extract_date, extract_hour, extract_price, prefer_ticket_link, resolve_url, valid_image,
+    domain_of, extract_date, extract_hour, extract_price, prefer_ticket_link, resolve_url, valid_image,
 )
 from ..functions.text import any_contains, blank_to_null, clean_text, let, name_from_slug, strip
 from ..operators.survivors import first_seen
+from .elements import El, attribute, first, image_source, inside, page_elements, select, text_of
 from .markup import plain, walked, whole
 
-# Description containers in order of preference, as (tag, attribute part).
-DESCRIPTION_CONTAINERS = [
-    ("div", "itemprop=\"description\""), ("div", "class=\"description\""),
-    ("[a-z]+", "event-description"), ("[a-z]+", "entry-content"), ("article", ""),
-    ("[a-z]+", "detail-text"), ("[a-z]+", "info-event"), ("[a-z]+", "content-detail"),
-    ("[a-z]+", "field-body"), ("[a-z]+", "class=\"texto\""), ("[a-z]+", "class=\"cuerpo\""),
+
+
+def _cls(*parts: str, tag: str | tuple[str, ...] | None = None) -> El:
+    """An element whose class attribute contains one of the parts."""
+    return El(tag, has=(("class", parts),))
+
+
+def _link(*parts: str) -> El:
+    return El("a", has=(("href", parts),))
+
+
+# Description containers in order of preference.
+DESCRIPTION_CONTAINERS: list[tuple[El, ...]] = [
+    (El("div", attr=(("itemprop", "description"),)),), (El("div", cls="description"),), (El(cls="event-description"),),
+    (El(id="event-description"),), (El(cls="entry-content"),), (El("article"), El(cls="content")), (El("article"),),
+    (El(has=(("class", ("description",)),), lacks=(("class", "condition"),)),), (El(cls="detail-text"),), (El(cls="info-event"),),
+    (El(cls="content-detail"),), (El(cls="field-body"),), (El(cls="texto"),), (El(cls="cuerpo"),),
+]
+# Where the image of an event is, in order of preference; first those of some hosts only.
+HOST_IMAGES: dict[str, list[tuple[El, ...]]] = {
+    "entrees": [(El("img", has=(("src", ("media.entrees.es",)),)),), (El("img", has=(("data-image", ("media.entrees.es",)),)),)],
+}
+EVENT_IMAGES: list[tuple[El, ...]] = [
+    (El(cls="event-image"), El("img")), (El(cls="detail-image"), El("img")), (_cls("poster"), El("img")), (_cls("cartel"), El("img")),
+    (El(cls="main-image"), El("img")), (El(cls="entry-content"), El("img")), (El("article"), El("img")), (_cls("event", "poster", "cartel", tag="img"),),
+    (El(cls="contenido"), El("img")), (El(cls="imagen"), El("img")), (El("img", has=(("src", ("tomaticket.com/eventos", "tomaticket.com/images/eventos")),)),),
 ]
+# Marked facts by host, in order of preference; "" is for all hosts not named.
+PRICE_MARKS: dict[str, list[tuple[El, ...]]] = {
+    "tomaticket": [(El(id="BotonExterno"),), (El("a", cls="btn-compra"),), (El(cls="boton-compra"),), (_link("entradas"), El("span")),
+                   (El(cls="event-price"),), (_cls("price"),), (_cls("precio"),)],
+    "tickety": [(El(cls="event-price"),), (_cls("price"),), (_cls("precio"),), (El("button", shows="€"),), (El("span", shows="€"),)],
+    "ticketmaster": [(El(cls="event-price"),), (_cls("price"),), (El(has=(("data-testid", ("price",)),)),)],
+    "guiniguada": [(El(cls="precio"),), (_cls("price"),), (_cls("tarifa"),)],
+    "cicca": [(El(cls="precio"),), (_cls("price"),), (_cls("tarifa"),)],
+    "auditorio": [], "teatro_galdos": [],
+    "": [(El(cls="price"),), (El(cls="precio"),), (_cls("price"),), (_cls("precio"),)],
+}
+DATE_MARKS: dict[str, list[tuple[El, ...]]] = {
+    "tomaticket": [(El("p", cls="fecha-info"),), (El(cls="event-date"),), (El(cls="date"),), (El(cls="fecha"),), (_cls("date"),), (_cls("fecha"),), (El(cls="info-date"),)],
+    "tickety": [(El(cls="date"),), (El(cls="fecha"),), (_cls("date"),)],
+    "ticketmaster": [(_cls("date"),), (El("time"),), (El(given="datetime"),)],
+    "guiniguada": [(El(cls="fecha"),), (_cls("date"),), (El(cls="event-date"),)],
+    "cicca": [(El(cls="fecha"),), (_cls("date"),), (El(cls="event-date"),)],
+    "auditorio": [(El(cls="event__container__header-info"), El("p")), (El(cls="info"), El("p")), (El(cls="event-info"),)],
+    "teatro_galdos": [(El(cls="event__container__header-info"), El("p")), (El(cls="info"), El("p")), (El(cls="event-info"),)],
+    "": [(El(cls="event-date"),), (El(cls="date"),), (El(cls="fecha"),), (_cls("date"),), (_cls("fecha"),)],
+}
+PLACE_MARKS: dict[str, list[tuple[El, ...]]] = {
+    "tomaticket": [(El(cls="info-evento"), El(cls="lugar")), (El(cls="venue"),), (El(cls="venue-name"),), (_cls("venue"),), (_cls("lugar"),),
+                   (El("p", cls="lugar"),), (El(cls="event-info"), El(cls="location")), (El(cls="info-ficha"), El(cls="lugar"))],
+    "tickety": [(El(cls="event-venue"),), (El(cls="venue"),), (El(cls="location"),), (_cls("venue"),), (_cls("location"),), (El(cls="event-detail"), El(cls="venue-name"))],
+    "entradascanarias": [(El(cls="venue-name"),), (El(cls="venue"),), (_cls("venue"),), (El(cls="event-location"),), (El(cls="location-name"),)],
+    "entradas_com": [(El(cls="venue"),), (El(cls="event-location"),), (_cls("venue"),), (_cls("location"),), (El(cls="lugar"),)],
+    "": [(El(cls="venue"),), (El(cls="venue-name"),), (El(cls="location"),), (_cls("venue"),), (_cls("location"),),
+         (El(attr=(("itemprop", "location"),)),), (_cls("lugar"),)],
+}
 # Marks of list items in section pages.
 SECTION_MARKS = {"lugar": ["📍"], "fecha": ["🗓", "📆"], "hora": ["⏰", "⏱"], "precio": ["💶"]}
 SECTION_SKIP = ["suscríbete", "conclusión"]
-# One rule per kind of listing page.  ``card`` cuts a page into
-# cards, the others pick a field inside a card (first group).
-CARD_RULES: dict[str, dict[str, str]] = {
-    "tomaticket": {
-        "card": r"<a\b[^>]*class=\"[^\"]*eventtt[^\"]*\"[^>]*>.*?</a>",
-        "title": r"<h2\b[^>]*>(.*?)</h2>", "date": r"class=\"fecha[^\"]*\"[^>]*>(.*?)<",
-    },
-    "tickety": {
-        "card": r"<a\b[^>]*href=\"[^\"]*/event/[^\"]*\"[^>]*>.*?</a>",
-        "title": r"<h[1-4]\b[^>]*>(.*?)</h[1-4]>",
-    },
-    "entradas_com": {
-        "card": r"<(?:tr|li|article)\b[^>]*>.*?</(?:tr|li|article)>",
-        "title": r"<h[23]\b[^>]*>\s*<a\b[^>]*>(.*?)</a>",
-        "price": r"class=\"[^\"]*(?:price|precio)[^\"]*\"[^>]*>(.*?)<",
-    },
-    "entrees": {
-        "card": r"<a\b[^>]*href=\"[^\"]*/(?:evento|entradas)/[^\"]*\"[^>]*>.*?</a>",
-        "title": r"<h[23]\b[^>]*>(.*?)</h[23]>",
-        "place": r"class=\"[^\"]*(?:location|lugar|venue)[^\"]*\"[^>]*>(.*?)<",
-        "price": r"class=\"[^\"]*(?:price|precio)[^\"]*\"[^>]*>(.*?)<",
-    },
-    "cicca": {
-        "card": r"<article\b[^>]*et_pb_post[^>]*>.*?</article>",
-        "title": r"<h4\b[^>]*>(.*?)</h4>",
-    },
-    "guiniguada": {"card": r"<a\b[^>]*href=\"[^\"]*/eventos/[^\"]*\"[^>]*>.*?</a>"},
-    "teldecultura": {
-        "card": r"<(?:article|div)\b[^>]*(?:event-card|em-event-item|bloque-evento)[^>]*>.*?</(?:article|div)>",
-        "title": r"<h[1-4]\b[^>]*>(.*?)</h[1-4]>",
-    },
-    "salanproducciones": {
-        "card": r"<article\b[^>]*elementor-post[^>]*>.*?</article>",
-        "title": r"<h3\b[^>]*>(.*?)</h3>",
-    },
-    "ticketmaster": {
-        "card": r"<a\b[^>]*href=\"[^\"]*/(?:event|activity)/[^\"]*\"[^>]*>.*?</a>",
-        "title": r"<h[23]\b[^>]*>(.*?)</h[23]>",
-        "date": r"class=\"[^\"]*(?:date|fecha)[^\"]*\"[^>]*>(.*?)<",
-        "place": r"class=\"[^\"]*(?:venue|location)[^\"]*\"[^>]*>(.*?)<",
-    },
-    "entradium": {"card": r"<a\b[^>]*href=\"[^\"]*/es/events/[^\"]*\"[^>]*>.*?</a>"},
-    "generico": {"card": r"<a\b[^>]*href=\"[^\"]*\"[^>]*>.*?</a>"},
+# One rule per kind of listing page.  ``card`` selects the cards of a page, the others pick
+# the first element of a field inside a card.
+_HEADINGS = ("h1", "h2", "h3", "h4")
+CARD_RULES: dict[str, dict[str, tuple[El, ...]]] = {
+    "tomaticket": {"card": (_cls("eventtt", tag="a"),), "title": (El("h2"),), "date": (_cls("fecha"),)},
+    "tickety": {"card": (_link("/event/"),), "title": (El(_HEADINGS),)},
+    "entradas_com": {"card": (El(("tr", "li", "article")),), "title": (El(("h2", "h3")), El("a")), "price": (_cls("price", "precio"),)},
+    "entrees": {"card": (_link("/evento/", "/entradas/"),), "title": (El(("h2", "h3")),), "place": (_cls("location", "lugar", "venue"),),
+                "price": (_cls("price", "precio"),)},
+    "cicca": {"card": (_cls("et_pb_post", tag="article"),), "title": (El("h4"),)},
+    "guiniguada": {"card": (_link("/eventos/"),)},
+    "teldecultura": {"card": (_cls("event-card", "em-event-item", "bloque-evento", tag=("article", "div")),), "title": (El(_HEADINGS),)},
+    "salanproducciones": {"card": (_cls("elementor-post", tag="article"),), "title": (El("h3"),)},
+    "ticketmaster": {"card": (_link("/event/", "/activity/"),), "title": (El(("h2", "h3")),), "date": (_cls("date", "fecha"),),
+                     "place": (_cls("venue", "location"),)},
+    "entradium": {"card": (_link("/es/events/"),)},
+    "generico": {"card": (El("a", given="href"),)},
 }
 DOTALL = "(?is)"
 
@@ -98,24 +124,36 @@ def _image_of(html: Column) -> Column:
     return F.coalesce(src, lazy)
 
 
+def shown(text: Column, e: Column) -> Column:
+    """Cleaned text of an element; null without one."""
+    return F.when(e.isNotNull(), clean_text(text_of(text, e)))
+
+
 def extract_cards(
-    pages: DataFrame, rule: Mapping[str, str] | str, *, base: Column | None = None,
+    pages: DataFrame, rule: Mapping[str, tuple[El, ...]] | str, *, base: Column | None = None,
     max_text: int | None = None, slash: str = "keep",
 ) -> DataFrame:
     """Cards of listing pages (page_id, pos, title, url, image, date, price, place, text).
 
-    Relative links are resolved against the page's own site.  Cards are unique by
-    URL in (page, position) order.
+    Cards inside cards are cards of their own.  Relative links are resolved against the
+    page's own site.  Cards are unique by URL in (page, position) order.
     """
     rule = CARD_RULES[rule] if isinstance(rule, str) else rule
     site = base if base is not None else F.regexp_extract("url", r"^[a-z]+://[^/?#]+", 0)
-    opening, cut, _ = rule["card"].rpartition(">.*?</")
-    pattern = whole(opening) if cut else rule["card"]
-    cards = pages.select("page_id", site.alias("site"), walked(F.col("html")).alias("html")).select(
-        "page_id", "site", F.posexplode(F.regexp_extract_all("html", F.lit(DOTALL + pattern), 0)).alias("pos", "card"),
-    ).withColumn("card", plain(F.col("card")))
-    card = F.col("card")
-    href = blank_to_null(_pick(card, r"href=\"([^\"]*)\""))
+    elements, text = F.col("elements"), F.col("text")
+    walked_pages = page_elements(pages.select("page_id", site.alias("site"), "html")).drop("html")
+
+    def picked(e: Column) -> Column:
+        own = inside(elements, e)
+        linked = F.coalesce(attribute(e, "href"), attribute(first(select(elements, text, El(given="href"), among=own)), "href"))
+        image = image_source(first(select(elements, text, El("img"), among=own)))
+        fields = [shown(text, first(select(elements, text, *rule[f], among=own))).alias(f"{f}_text") if f in rule
+                  else F.lit(None).cast("string").alias(f"{f}_text") for f in ("title", "date", "price", "place")]
+        return F.struct(linked.alias("href"), image.alias("image"), *fields, shown(text, e).alias("text"))
+
+    cards = walked_pages.select("page_id", "site", F.posexplode(F.transform(select(elements, text, *rule["card"]), picked)).alias("pos", "card"))
+    cards = cards.select("page_id", "site", "pos", "card.*")
+    href = blank_to_null(F.col("href"))
     absolute = F.when(href.rlike("^https?://"), href).when(
         F.startswith(href, F.lit("/")), F.concat("site", href)
     ).otherwise(F.concat("site", F.lit("/"), href))
@@ -124,16 +162,11 @@ def extract_cards(
         url = F.regexp_replace(url, "/+$", "")
     cards = cards.withColumn("url", url).filter(F.col("url").isNotNull() & (F.col("url") != ""))
     cards = first_seen(cards, ["url"], ["page_id", "pos"])
-
-    def field(name: str) -> Column:
-        return blank_to_null(tag_text(_pick(card, rule[name]))) if name in rule else F.lit(None).cast("string")
-
-    text = tag_text(card)
-    title = F.coalesce(field("title"), blank_to_null(text), name_from_slug(F.col("url")))
+    title = F.coalesce(blank_to_null(F.col("title_text")), blank_to_null(F.col("text")), name_from_slug(F.col("url")))
     return cards.select(
-        "page_id", "pos", title.alias("title"), "url", valid_image(_image_of(card)).alias("image"),
-        field("date").alias("date_text"), field("price").alias("price_text"),
-        field("place").alias("place_text"), (F.substring(text, 1, max_text) if max_text else text).alias("text"),
+        "page_id", "pos", title.alias("title"), "url", valid_image(F.col("image")).alias("image"),
+        *(blank_to_null(F.col(f"{f}_text")).alias(f"{f}_text") for f in ("date", "price", "place")),
+        (F.substring("text", 1, max_text) if max_text else F.col("text")).alias("text"),
     )
 
 
@@ -271,58 +304,73 @@ def extract_article_date(pages: DataFrame, as_of: Column) -> DataFrame:
 
 
 # ---------------------------------------------------------------- text and image
-def _paragraphs(html: Column, min_size: int) -> Column:
-    """Cleaned paragraphs above a size and not boilerplate, joined by new lines."""
-    parts = F.split(html, r"(?is)<(?:p|li)\b[^>]*>")
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    ends = r"(?is)^(.*?)(?:</(?:p|li|article|ul|div)>|\z)"
-    texts = F.transform(inner, lambda t: tag_text(F.regexp_extract(t, ends, 1)))
-    return F.array_join(
-        F.filter(texts, lambda t: (F.length(t) > min_size) & ~is_boilerplate(t)), "\n"
-    )
+def _lines(text: Column, parts: Column, min_size: int) -> Column:
+    """Cleaned texts of elements above a size and not boilerplate, joined by new lines."""
+    texts = F.transform(parts, lambda e: clean_text(text_of(text, e)))
+    return F.array_join(F.filter(texts, lambda t: (F.length(t) > min_size) & ~is_boilerplate(t)), "\n")
 
 
-def extract_paragraphs(pages: DataFrame, containers: Sequence[tuple[str, str]] = DESCRIPTION_CONTAINERS,
-                       min_text: int = 30) -> DataFrame:
-    """Description of each page: first container with enough text, else loose paragraphs."""
-    html = F.regexp_replace("html", DOTALL + whole(r"<(?:script|style|nav|footer)\b[^>]*"), " ")
-    body = pages.select("page_id", "url", walked(F.col("html")).alias("html")).select("page_id", "url", html.alias("body"))
+def _container_text(elements: Column, text: Column, path: tuple[El, ...]) -> Column:
+    """What the first container says: its p, li and span elements, or all of it where it has none; null without one."""
+    def said(e: Column) -> Column:
+        parts = select(elements, text, El(("p", "li", "span")), among=inside(elements, e))
+        own = clean_text(text_of(text, e))
+        whole_text = F.when(~is_boilerplate(own), own).otherwise("")
+        return F.when(e.isNotNull(), let(parts, lambda p: F.when(F.size(p) > 0, _lines(text, p, 5)).otherwise(whole_text)))
 
-    def usable(found: Column) -> Column:
-        return F.when((F.length(found) > min_text) & ~is_boilerplate(found), found)
+    return let(first(select(elements, text, *path)), said)
 
-    layers = [
-        let(_paragraphs(plain(_pick(F.col("body"), whole(rf"<{tag}\b[^>]*{mark}[^>]*"), 2)), 5), usable)
-        for tag, mark in containers
-    ]
-    loose = F.nullif(_paragraphs(plain(F.col("body")), 20), F.lit(""))
-    return body.select("page_id", "url", F.coalesce(*layers, loose).alias("descripcion"))
+
+def description_candidates(
+    pages: DataFrame, containers: Sequence[tuple[El, ...]] = DESCRIPTION_CONTAINERS, min_text: int = 30,
+) -> DataFrame:
+    """(page_id, url, ord, descripcion): texts of the containers in order of preference, then the loose paragraphs.
+
+    Loose paragraphs are all of the page but those in navigation and footers.
+    """
+    elements, text = F.col("elements"), F.col("text")
+    body = page_elements(pages.select("page_id", "url", "html")).drop("html")
+    found = [_container_text(elements, text, path) for path in containers]
+    usable = [let(f, lambda t: F.when((F.length(t) > min_text) & ~is_boilerplate(t), t)) for f in found]
+    frame = select(elements, text, El(("nav", "footer")))
+    loose = let(frame, lambda outer: _lines(text, F.filter(
+        elements, lambda e: e["tag"].isin("p", "li") & ~F.exists(outer, lambda o: (e["n"] > o["n"]) & (e["n"] <= o["last"]))), 20))
+    texts = F.array(*usable, F.nullif(loose, F.lit("")))
+    return body.select("page_id", "url", F.posexplode(texts).alias("ord", "descripcion")).filter("descripcion IS NOT NULL")
+
+
+def extract_paragraphs(pages: DataFrame, containers: Sequence[tuple[El, ...]] = DESCRIPTION_CONTAINERS,
+                       min_text: int = 30) -> DataFrame:
+    """Description of each page: first container with enough text, else loose paragraphs."""
+    found = description_candidates(pages, containers, min_text)
+    best = found.groupBy("page_id").agg(F.min_by("descripcion", "ord").alias("descripcion"))
+    return pages.select("page_id", "url").join(best, "page_id", "left")
 
 
 def image_candidates(pages: DataFrame, *, wide_images: int | None = None) -> DataFrame:
-    """(page_id, layer, pos, image): og:image, then article images, then wide images.
+    """(page_id, layer, pos, image): og:image, then images of the event in order of preference, then wide images.
 
     ``wide_images`` looks for wide ones among the first images only; the default takes all.
     """
-    pages = pages.select("page_id", plain(walked(F.col("html"))).alias("html"))
-    og = pages.select(
-        "page_id", F.lit(1).alias("layer"), F.lit(0).alias("pos"),
-        blank_to_null(_pick(F.col("html"), r"<meta\b[^>]*property=\"og:image\"[^>]*content=\"([^\"]*)\"")).alias("image"),
-    )
-    tags = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<img\b[^>]*>"), 0)).alias("pos", "tag"))
-    tag = F.col("tag")
-    source = F.coalesce(blank_to_null(_pick(tag, r"\ssrc=\"([^\"]*)\"")),
-                        blank_to_null(_pick(tag, r"\sdata-(?:src|image)=\"([^\"]*)\"")))
-    low = F.lower(source)
-    poster = tag.rlike(r"(?i)class=\"[^\"]*(event|poster|cartel)") & ~F.contains(low, F.lit("logo"))
-    width = _pick(tag, r"\swidth=\"(\d+)").try_cast("int")
-    wide = (width > 200) & ~any_contains(low, ["logo", "icon"])
-    if wide_images is not None:
-        wide = wide & (F.col("pos") < wide_images)
-    rest = tags.select(
-        "page_id", F.when(poster, 2).when(wide, 3).alias("layer"), "pos", source.alias("image")
-    ).filter(F.col("layer").isNotNull())
-    return og.unionByName(rest).withColumn("image", valid_image(F.col("image"))).filter("image IS NOT NULL")
+    elements, text = F.col("elements"), F.col("text")
+    walked_pages = page_elements(pages.select("page_id", "url", "html")).drop("html")
+
+    def candidate(layer: int, pos: Column, image: Column) -> Column:
+        return F.struct(F.lit(layer).alias("layer"), pos.alias("pos"), valid_image(image).alias("image"))
+
+    og = attribute(first(select(elements, text, El("meta", attr=(("property", "og:image"),)))), "content")
+    hosts = [(host, path) for host, paths in HOST_IMAGES.items() for path in paths] + [("", path) for path in EVENT_IMAGES]
+    events = []
+    for pos, (host, path) in enumerate(hosts):
+        source = image_source(first(select(elements, text, *path)))
+        if host:
+            source = F.when(domain_of(F.col("url")) == host, source)
+        events.append(candidate(2, F.lit(pos), let(source, lambda u: F.when(~F.contains(F.lower(u), F.lit("logo")), u))))
+    images = select(elements, text, El("img"))
+    wide = F.transform(F.slice(images, 1, wide_images) if wide_images is not None else images, lambda e, i: candidate(3, i, F.when(
+        (attribute(e, "width").try_cast("int") > 200) & ~any_contains(F.lower(image_source(e)), ["logo", "icon"]), image_source(e))))
+    found = F.concat(F.array(candidate(1, F.lit(0), og), *events), wide)
+    return walked_pages.select("page_id", F.explode(found).alias("c")).select("page_id", "c.*").filter("image IS NOT NULL")
 
 
 def extract_image(pages: DataFrame) -> DataFrame:
@@ -345,21 +393,32 @@ def fact_candidates(
     """(page_id, field, layer, ord, value) from JSON-LD, marked elements, ``time`` tags and text.
 
     One pass over the pages.  ``text_size`` limits the text layer and ``time_tags`` the
-    number of ``time`` tags; the default reads the whole visible text and all tags.
+    number of ``time`` tags; the default reads the whole visible text and all tags.  Marked
+    elements are looked for by the selectors of the page's host.
     """
-    html, regular = F.col("html"), F.col("regular")
-    pages = pages.withColumn("regular", plain(walked(html)))
-
-    def marked(names: str) -> Column:
-        return tag_text(_pick(regular, rf"class=\"[^\"]*(?:{names})[^\"]*\"[^>]*>(.*?)</"))
-
+    html, elements, shown_text = F.col("html"), F.col("elements"), F.col("text")
     typed = F.filter(jsonld_items(html), lambda i: _raw_text(i, "$['@type']").isin(*v.EVENT_TYPES))
-    text = tag_text(html)
-    times = F.regexp_extract_all(regular, F.lit(r"(?is)<time\b[^>]*datetime=\"([^\"]*)\""), 1)
-    parts = pages.select(
-        "page_id", F.get(typed, F.lit(0)).alias("item"), marked("price|precio|tarifa").alias("price"),
-        marked("date|fecha").alias("date"), marked("venue|location|lugar|recinto").alias("venue"),
-        (F.slice(times, 1, time_tags) if time_tags else times).alias("times"),
+    host = domain_of(F.col("url")) if "url" in pages.columns else F.lit("")
+    walked_pages = page_elements(pages).withColumn("host", host)
+
+    def marked(marks: Mapping[str, list[tuple[El, ...]]]) -> Column:
+        """Texts of the first match of each selector of the page's host."""
+        def texts(paths: list[tuple[El, ...]]) -> Column:
+            found = [shown(shown_text, first(select(elements, shown_text, *path))) for path in paths]
+            return F.array(*found) if found else F.array().cast("array<string>")
+
+        out = texts(marks[""])
+        for name, paths in marks.items():
+            if name:
+                out = F.when(F.col("host") == name, texts(paths)).otherwise(out)
+        return out
+
+    times = F.transform(select(elements, shown_text, El("time", given="datetime")), lambda e: attribute(e, "datetime"))
+    body = first(select(elements, shown_text, El("body")))
+    text = clean_text(F.when(body.isNotNull(), text_of(shown_text, body)).otherwise(shown_text))
+    parts = walked_pages.select(
+        "page_id", "host", F.get(typed, F.lit(0)).alias("item"), marked(PRICE_MARKS).alias("prices"), marked(DATE_MARKS).alias("dates"),
+        marked(PLACE_MARKS).alias("venues"), (F.slice(times, 1, time_tags) if time_tags else times).alias("times"),
         (F.substring(text, 1, text_size) if text_size else text).alias("text"),
     )
     item = F.col("item")
@@ -369,26 +428,31 @@ def fact_candidates(
         "ld_venue": strip(_first_text(item, "location", ["name"])),
     })
 
-    def fact(field: str, layer: int, value: Column, ord_: Column | None = None) -> Column:
+    def fact(field: str, layer: int | Column, value: Column, ord_: Column | None = None) -> Column:
         return F.struct(
-            F.lit(field).alias("field"), F.lit(layer).alias("layer"),
+            F.lit(field).alias("field"), (F.lit(layer) if isinstance(layer, int) else layer).alias("layer"),
             (F.lit(0) if ord_ is None else ord_).alias("ord"), value.cast("string").alias("value"),
         )
 
     def day(c: Column) -> Column:
         return extract_date(c, as_of)
 
-    price, date, body, start = F.col("price"), F.col("date"), F.col("text"), F.col("start")
+    text, start = F.col("text"), F.col("start")
     fixed = F.array(
         fact("precio_num", 1, F.col("ld_price").try_cast("double")), fact("fecha_iso", 1, day(start)),
         fact("hora", 1, extract_hour(start)), fact("lugar", 1, F.when(F.length("ld_venue") > 2, F.col("ld_venue"))),
-        fact("precio_num", 2, extract_price(price)), fact("fecha_iso", 2, day(date)),
-        fact("hora", 2, extract_hour(date)), fact("lugar", 2, F.nullif("venue", F.lit(""))),
-        fact("precio_num", 4, extract_price(body)), fact("fecha_iso", 4, day(body)),
-        fact("hora", 4, extract_hour(body)),
+        fact("precio_num", 5, extract_price(text)), fact("fecha_iso", 5, day(text)),
+        fact("hora", 5, extract_hour(text)),
     )
-    timed = F.flatten(F.transform("times", lambda t, i: F.array(
-        fact("fecha_iso", 3, day(t), i), fact("hora", 3, extract_hour(t), i))))
+    # Dates of marked elements come before the time tags on one host and after them on the others.
+    dated = F.when(F.col("host") == "tomaticket", 2).otherwise(4)
+    by_mark = [
+        F.transform("prices", lambda t, i: fact("precio_num", 2, extract_price(t), i)),
+        F.transform("dates", lambda t, i: fact("fecha_iso", dated, day(t), i)), F.transform("dates", lambda t, i: fact("hora", dated, extract_hour(t), i)),
+        F.transform("venues", lambda t, i: fact("lugar", 2, F.nullif(t, F.lit("")), i)),
+    ]
+    timed = F.concat(*by_mark, F.flatten(F.transform("times", lambda t, i: F.array(
+        fact("fecha_iso", 3, day(t), i), fact("hora", 3, extract_hour(t), i)))))
     return (
         parts.select("page_id", F.explode(F.concat(fixed, timed)).alias("f"))
         .select("page_id", "f.*").filter("value IS NOT NULL")
