@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from ..functions import vocab as v
 from ..operators import aggregates, lookups, quality, sets, survivors, upsert
 from ..schema import LISTING_SCHEMA, backfill, conform
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, settle
 from ..streaming.upsert_stream import read_target, upsert_stream
 from . import sqltext as s
 from .registry import on_listing, query
@@ -130,6 +130,32 @@ def _(spark, sf):
     return lookups.apply_labels(listing(spark, sf), lab).select("id", "estilo")
 
 
+_MANY = "SELECT doc_id, unnest([1, 2, 3]) AS n FROM documents"
+
+
+@query("apply_labels_repeated", f"""WITH {LISTING_SQL}, lab AS (SELECT doc_id AS id, n AS ord, ['Otros', 'Cine', 'Teatro', 'Humor', 'Nada'][(doc_id + n) % 5 + 1] AS categoria FROM ({_MANY})),
+last AS (SELECT id, max_by(categoria, ord) AS categoria FROM lab WHERE categoria IN ({', '.join(s.q(c) for c in v.CATEGORIES)}) AND categoria <> 'Otros' GROUP BY id)
+SELECT listing.id, coalesce(categoria, estilo) AS estilo FROM listing LEFT JOIN last ON last.id = listing.id""")
+def _(spark, sf):
+    """Three labels of each id; the last one that is a category counts."""
+    k, n = F.col("id"), F.col("order")
+    lab = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array(*[LIT(i) for i in (1, 2, 3)])).alias("order"))
+    names = F.array(*[LIT(c) for c in ("Otros", "Cine", "Teatro", "Humor", "Nada")])
+    lab = lab.withColumn("categoria", F.element_at(names, ((k + n) % 5 + 1).cast("int")))
+    return lookups.apply_labels(listing(spark, sf), lab).select("id", "estilo")
+
+
+@query("apply_enrichment_repeated", f"""WITH {LISTING_SQL}, enr AS (SELECT doc_id AS id, max_by('Sala ' || n, n) AS pl FROM ({_MANY}) GROUP BY doc_id)
+SELECT listing.id, CASE WHEN pl IS NOT NULL AND {s.generic_place('lugar')} THEN pl ELSE lugar END AS lugar FROM listing LEFT JOIN enr ON enr.id = listing.id""")
+def _(spark, sf):
+    """Three enrichments of each id; the last one counts."""
+    none = LIT(None).cast("string")
+    enr = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array(*[LIT(i) for i in (3, 1, 2)])).alias("order")).select(
+        "id", "order", none.alias("descripcion_limpia"), LIT(None).cast("double").alias("precio_num"), none.alias("hora"),
+        TXT(LIT("Sala "), _s(F.col("order"))).alias("lugar_corregido"))
+    return lookups.apply_enrichment(listing(spark, sf), enr).select("id", "lugar")
+
+
 @query("apply_enrichment", f"""WITH {LISTING_SQL}, enr AS (SELECT doc_id AS id, '[Generado por IA] ' || text AS t, n_chars::DOUBLE AS p,
   CASE WHEN doc_id % 2 = 0 THEN '21:00' ELSE 'tarde' END AS h, CASE WHEN doc_id % 3 = 0 THEN ' Sala ' || source ELSE 'x' END AS pl FROM documents),
 j AS (SELECT listing.*, t, p, h, CASE WHEN {s.generic_place('lugar')} AND length(pl) > 2 THEN {s.strip('pl')} END AS np FROM listing LEFT JOIN enr ON enr.id = listing.id)
@@ -428,10 +454,19 @@ on_listing("sanitize", "SELECT id, nombre, lugar, fecha_iso, precio_num FROM san
     lambda df: quality.sanitize(df, today()).select("id", "nombre", "lugar", "fecha_iso", "precio_num"))
 
 
-on_listing("staged_gates", f"""SELECT 'blank_hour' AS gate, 100.0::DOUBLE * count(*) FILTER (WHERE {s.blank_hour('hora')}) / count(*) AS value, 25.0::DOUBLE AS threshold,
+def _watched(df):
+    """The gates measured on the way of the pass that writes the sanitized rows."""
+    metrics = Observation("watched")
+    settle(quality.demote_and_cut(quality.watch_gates(quality.canonical_rows(df), metrics), today()))
+    return quality.watched_gates(df.sparkSession, metrics)
+
+
+_STAGED = f"""SELECT 'blank_hour' AS gate, 100.0::DOUBLE * count(*) FILTER (WHERE {s.blank_hour('hora')}) / count(*) AS value, 25.0::DOUBLE AS threshold,
   CASE WHEN 100.0::DOUBLE * count(*) FILTER (WHERE {s.blank_hour('hora')}) / count(*) > 25 THEN 'alert' ELSE 'ok' END AS level FROM san1 WHERE fecha_iso IS NOT NULL
 UNION ALL SELECT 'generic_titles', 100.0::DOUBLE * count(*) FILTER (WHERE {s.generic_title('nombre')}) / count(*), 5.0::DOUBLE,
-  CASE WHEN 100.0::DOUBLE * count(*) FILTER (WHERE {s.generic_title('nombre')}) / count(*) > 5 THEN 'abort' ELSE 'ok' END FROM san1""", SANITIZED)(quality.staged_gates)
+  CASE WHEN 100.0::DOUBLE * count(*) FILTER (WHERE {s.generic_title('nombre')}) / count(*) > 5 THEN 'abort' ELSE 'ok' END FROM san1"""
+on_listing("staged_gates", _STAGED, SANITIZED)(quality.staged_gates)
+on_listing("watched_gates", _STAGED, SANITIZED)(_watched)
 on_listing("audit_counters", f"""SELECT count(*) AS total, count(*) FILTER (WHERE bad) AS basura_eliminada,
   count(*) FILTER (WHERE NOT bad AND venue IS NOT NULL AND venue IS DISTINCT FROM lugar) AS lugares_corregidos, 0::BIGINT AS deep_scrape_hits,
   count(*) FILTER (WHERE NOT bad AND precio_num > 300) AS precios_corregidos

@@ -37,6 +37,6 @@ def _part(df, needle):
     return postings.search_substring(df.sparkSession, folder, needle, key="id", columns=["nombre", "lugar"]).select("id", "nombre", "lugar")
 
 
-for _name, _needle in {"search_substring": "CIERTO de l", "search_two_letters": "zó"}.items():
+for _name, _needle in {"search_substring": "CIERTO de l", "search_two_letters": "ón"}.items():
     on_listing(_name, f"SELECT id, nombre, lugar FROM listing WHERE contains(lower(nombre), lower('{_needle}')) OR contains(lower(lugar), lower('{_needle}'))")(
         lambda df, n=_needle: _part(df, n))

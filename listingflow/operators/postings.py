@@ -20,6 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import vocab as v
 from ..functions.stem import stem
+from ..session import settle
 from .serving import matches, search_index
 
 BUCKETS, PARTS, BLOCK_KEYS = 64, 64, 512
@@ -78,8 +79,10 @@ def search_postings(spark: SparkSession, path: str, terms: Sequence[str], n: int
 # ------------------------------------------------------------------ words
 def write_word_index(df: DataFrame, path: str, *, key: str, fields: dict[str, str], block_keys: int = BLOCK_KEYS, **options) -> int:
     """Index of the stems of all words; ``fields`` maps columns to weight classes."""
-    words = search_index(df, key=key, fields=fields, **options)
-    stems = words.select(key, stem(F.col("token")).alias("term"), "weight").groupBy("term", key).agg(F.round(F.sum("weight"), 6).alias("weight"))
+    words = settle(search_index(df, key=key, fields=fields, **options))
+    # Each word is stemmed once, however many rows have it.
+    terms = settle(words.select("token").distinct().withColumn("term", stem(F.col("token"))))
+    stems = words.join(terms, "token").groupBy("term", key).agg(F.round(F.sum("weight"), 6).alias("weight"))
     return write_postings(stems, path, key=key, block_keys=block_keys)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import vocab as v
 from ..functions.flags import (
@@ -221,15 +221,43 @@ def staged_gates(df: DataFrame) -> DataFrame:
     return table_gates(rows).filter(F.col("gate").isin("blank_hour", "generic_titles"))
 
 
+def watch_gates(rows: DataFrame, metrics: Observation) -> DataFrame:
+    """Canonical rows as they are; whoever computes them also fills ``metrics`` for :func:`watched_gates`.
+
+    The sums are collected on the way, in the pass that reads the rows anyhow.  A task that runs
+    again may count twice, in both parts of a share.
+    """
+    dated = F.col("fecha_iso").isNotNull()
+    return rows.observe(
+        metrics, F.count(F.lit(1)).alias("rows"), F.count_if(dated).alias("dated"),
+        F.count_if(dated & is_blank_hour(F.col("hora"))).alias("blank"), F.count_if(is_generic_title(F.col("nombre"))).alias("generic"),
+    )
+
+
+def watched_gates(spark: SparkSession, metrics: Observation) -> DataFrame:
+    """The rows of :func:`staged_gates` from the sums of a finished pass."""
+    found = metrics.get
+
+    def share_of(part: str, whole: str) -> float | None:
+        return 100.0 * found[part] / found[whole] if found.get(whole) else None
+
+    row = spark.createDataFrame(
+        [(share_of("blank", "dated"), share_of("generic", "rows"))], "blank_hour double, generic_titles double")
+    return _gate_rows(row, ["blank_hour", "generic_titles"])
+
+
+def demote_and_cut(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Generic titles of canonical rows become drafts, the past is cut off."""
+    kept = rows.withColumn("fecha_iso", F.when(~is_generic_title(F.col("nombre")), F.col("fecha_iso")))
+    return kept.filter(future_or_draft(F.col("fecha_iso"), as_of))
+
+
 def sanitize(df: DataFrame, as_of: Column) -> DataFrame:
     """Rows fit to publish: :func:`canonical_rows`, generic titles demoted to drafts, the past cut off.
 
     A single narrow projection between two filters; nothing shuffles.
     """
-    kept = canonical_rows(df).withColumn(
-        "fecha_iso", F.when(~is_generic_title(F.col("nombre")), F.col("fecha_iso"))
-    )
-    return kept.filter(future_or_draft(F.col("fecha_iso"), as_of))
+    return demote_and_cut(canonical_rows(df), as_of)
 
 
 def audit_counters(df: DataFrame, page_venues: DataFrame | None = None) -> DataFrame:

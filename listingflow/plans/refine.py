@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import vocab as v
 from ..operators.lookups import apply_enrichment, apply_labels, classify_by_table, classify_keywords, lookup_coords
-from ..operators.quality import audit, drop_gate, sanitize, staged_gates, table_gates
+from ..operators.quality import audit, canonical_rows, demote_and_cut, drop_gate, table_gates, watch_gates, watched_gates
 from ..operators.resolve import CHUNK, fuzzy_cluster, session_survivors
 from ..operators.survivors import keep_first
 from ..session import settle
@@ -41,7 +41,10 @@ def resolve(df: DataFrame, *, drafts: str = "pass", chunk: int = CHUNK) -> DataF
     The rows are written once; the grouping stages read only the columns they
     need from there, and the survivors are picked from the same files.
     """
-    rows = settle(keep_first(df))
+    return resolve_written(settle(keep_first(df)), drafts=drafts, chunk=chunk)
+
+
+def resolve_written(rows: DataFrame, *, drafts: str = "pass", chunk: int = CHUNK) -> DataFrame:
     return session_survivors(fuzzy_cluster(rows, drafts=drafts, chunk=chunk), rows=rows, chunk=chunk)
 
 
@@ -49,12 +52,16 @@ def refine(df: DataFrame, as_of: dt.date, *, drafts: str = "pass", gates: bool =
     """All stages; ``tables`` are the optional inputs of :func:`prepare`.
 
     With ``gates`` the share of generic titles is measured before they are demoted and the
-    past is cut, and the run stops where it is too high.
+    past is cut, in the one pass that prepares and writes the rows, and the run stops where
+    it is too high.
     """
-    ready = prepare(df, **tables)
+    ready, metrics = canonical_rows(prepare(df, **tables)), Observation("gates")
+    if gates:
+        ready = watch_gates(ready, metrics)
+    rows = settle(keep_first(demote_and_cut(ready, F.lit(as_of))))
     if gates:
-        require_gates(staged_gates(ready))
-    return resolve(sanitize(ready, F.lit(as_of)), drafts=drafts)
+        require_gates(watched_gates(df.sparkSession, metrics))
+    return resolve_written(rows, drafts=drafts)
 
 
 def gate_report(before: DataFrame, after: DataFrame) -> DataFrame:

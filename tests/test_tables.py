@@ -42,6 +42,25 @@ def test_upsert_last_row_wins_and_is_idempotent(spark):
     assert upsert.upsert_counters(target, batch).first().asDict() == {"insertados": 1, "actualizados": 1}
 
 
+def test_upsert_ties_do_not_depend_on_row_order(spark):
+    target = rows(spark, [(1, "Rock", 2, "20:00", 5.0, "g1")])
+    same = [(7, "ROCK", 2, "20:00", 7.0, "x"), (7, "rock", 2, "20:00", 8.0, "y"), (7, "Rock", 2, "20:00", 9.0, "z")]
+    got = {tuple(as_map(upsert.upsert(target, rows(spark, order).coalesce(1), now=now(), order="last_seen_at")).items())
+           for order in (same, same[::-1], same[1:] + same[:1])}
+    assert len(got) == 1
+
+
+def test_repeated_labels_and_enrichments_keep_one_row(spark):
+    df = rows(spark, [(1, "Rock", 2, "20:00", 5.0, "g1"), (2, "Jazz", 3, None, 6.0, None)]).withColumn("lugar", F.lit("Gran Canaria"))
+    labels = spark.createDataFrame([(1, "Teatro"), (1, "Cine"), (1, "Otros"), (1, "nothing"), (2, None)], "id long, categoria string")
+    first = next(c for c in lookups.v.CATEGORIES if c in ("Teatro", "Cine"))
+    assert {r.id: r.estilo for r in lookups.apply_labels(df, labels).collect()} == {1: first, 2: None}
+    more = spark.createDataFrame([(1, "x" * 30, 1.0, "20:00", "Sala A"), (1, "y" * 30, 2.0, "21:00", "Sala B")],
+                                 "id long, descripcion_limpia string, precio_num double, hora string, lugar_corregido string")
+    got = [(r.id, r.lugar, r.descripcion) for r in lookups.apply_enrichment(df, more).orderBy("id").collect()]
+    assert got == [(1, "Sala B", "y" * 30), (2, "Gran Canaria", None)]
+
+
 def test_upsert_stream_equals_batches(spark, tmp_path):
     source, table = str(tmp_path / "in"), str(tmp_path / "table")
     first = rows(spark, [(1, "Rock", 2, "20:00", 5.0, "g1"), (2, "Jazz", 3, None, 6.0, None)])
