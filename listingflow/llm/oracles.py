@@ -62,7 +62,7 @@ def _op4_sql() -> str:
     """Sentences by a join on the sentence table, sequences as aggregated strings."""
     from .licenses import RULES, SENTENCES
 
-    known = ", ".join(f"({i}, '{s}')" for i, s in SENTENCES.items())
+    known = ", ".join(f"({i}, '{s}')" for i, forms in SENTENCES.items() for s in forms)
     rules = ", ".join(f"('{n}', {len(ids)}, '{'.*'.join(f'<{i}>' for i in ids)}')" for n, ids in RULES)
     return f"""
 WITH known(id, s) AS (VALUES {known}), rules(license, n, pattern) AS (VALUES {rules}), ways AS (
@@ -70,7 +70,7 @@ WITH known(id, s) AS (VALUES {known}), rules(license, n, pattern) AS (VALUES {ru
   UNION ALL
   SELECT doc_id, 2, regexp_replace(regexp_replace(regexp_replace(text, '\\n\\n+', chr(1), 'g'), '\\n', ' ', 'g'), chr(1), chr(10), 'g') FROM documents
 ), cut AS (
-  SELECT doc_id, way, string_split(regexp_replace(lower(t), '([.!?;:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM ways
+  SELECT doc_id, way, string_split(regexp_replace(regexp_replace(lower(t), 'spdx-license-identifier:[ \\t]*', 'spdx license identifier ', 'g'), '([.!?;:])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM ways
 ), sentence AS (
   SELECT doc_id, way, unnest(range(len(parts))) AS pos, trim(regexp_replace(unnest(parts), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS s FROM cut
 ), ids AS (
