@@ -10,6 +10,7 @@ from ..functions import vocab as v
 from ..operators import aggregates, lookups, quality, sets, survivors, upsert
 from ..schema import LISTING_SCHEMA, backfill, conform
 from ..session import checkpoint_dir, settle
+from ..streaming import bucketed
 from ..streaming.upsert_stream import read_target, upsert_stream
 from . import sqltext as s
 from .registry import on_listing, query
@@ -339,6 +340,22 @@ def _(spark, sf):
     return merged.join(copies, "hash_id", "full_outer")
 
 
+@query("upsert_months", f"""WITH {LISTING_SQL} SELECT {_INGEST} AS hash_id, coalesce(strftime(fecha_iso, '%Y-%m'), 'none') AS month,
+  arg_max_null(precio_num, id) AS precio_num, any_value(organiza) AS organiza, 'upcoming' AS estado FROM listing GROUP BY 1, 2""")
+def _(spark, sf):
+    # Two parts of the orders come in as a stream; the second one opens the months it has rows of.
+    unique = uuid.uuid4().hex
+    folder, name = f"{checkpoint_dir(spark)}/months-{unique}", f"months_{unique}"
+    raw = table(spark, sf, "orders")
+    top = raw.agg(F.max("o_orderkey")).first()[0]
+    bucketed.create_table(spark, name, f"{folder}/table", buckets=8)
+    for part in range(2):
+        raw.filter(F.expr(f"o_orderkey * 2 div {top + 1}") == part).write.mode("append").parquet(f"{folder}/in")
+        rows = listing(spark, sf, order_stream(spark, f"{folder}/in")).withColumn("last_seen_at", F.timestamp_seconds("id"))
+        bucketed.upsert_stream(rows, name, f"{folder}/progress", buckets=8).awaitTermination()
+    return spark.table(name).select("hash_id", "month", "precio_num", "organiza", "estado")
+
+
 on_listing("mark_past", f"SELECT id, CASE WHEN fecha_iso < {AS_OF_SQL} THEN 'past' ELSE estado END AS estado FROM listing")(
     lambda df: upsert.mark_past(df, today()).select("id", "estado"))
 on_listing("replace_future", f"SELECT id, fecha_iso FROM listing WHERE fecha_iso < {AS_OF_SQL} OR fecha_iso IS NULL UNION ALL SELECT id, CAST(fecha_iso + 1 AS DATE) FROM listing WHERE fecha_iso >= {AS_OF_SQL}")(
