@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import serving as sv
+from ..operators import layouts, serving as sv
 from ..operators.aggregates import facet_counts
+from ..session import checkpoint_dir
 from . import sqltext as s
 from .registry import on_listing, query
 from .tables import AS_OF, AS_OF_SQL, table
@@ -45,9 +47,33 @@ _KM = """CASE WHEN latitud IS NULL OR longitud IS NULL THEN 9999.0::DOUBLE ELSE
 on_listing("nearest", f"""SELECT id, round({_KM}, 6) AS km FROM (SELECT *, pow(sin(radians(latitud - 28.1::DOUBLE) / 2), 2)
   + cos(radians(28.1::DOUBLE)) * cos(radians(latitud)) * pow(sin(radians(longitud + 15.43::DOUBLE) / 2), 2) AS a FROM listing)""")(
     lambda df: sv.nearest(df, 28.1, -15.43, None).select("id", F.round("km", 6).alias("km")))
-on_listing("nearest_page", f"""SELECT id FROM (SELECT *, pow(sin(radians(latitud - 28.1::DOUBLE) / 2), 2)
-  + cos(radians(28.1::DOUBLE)) * cos(radians(latitud)) * pow(sin(radians(longitud + 15.43::DOUBLE) / 2), 2) AS a FROM listing) ORDER BY round({_KM}, 6), id LIMIT 18""")(
+_NEAREST = f"""SELECT id FROM (SELECT *, pow(sin(radians(latitud - 28.1::DOUBLE) / 2), 2)
+  + cos(radians(28.1::DOUBLE)) * cos(radians(latitud)) * pow(sin(radians(longitud + 15.43::DOUBLE) / 2), 2) AS a FROM listing) ORDER BY round({_KM}, 6), id LIMIT 18"""
+on_listing("nearest_page", _NEAREST)(
     lambda df: sv.nearest(df, 28.1, -15.43, 18).select("id"))
+
+
+def _stored(df, name):
+    return f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+def _in_zones(df):
+    folder = _stored(df, "zones")
+    layouts.write_zones(df.select("id", "latitud", "longitud"), folder, zone=0.1)
+    return layouts.nearest_in_zones(df.sparkSession, folder, 28.1, -15.43, 18, zone=0.1).select("id")
+
+
+def _deep_page(df, mode):
+    folder = _stored(df, "pages")
+    layouts.write_listing_pages(df.select("id", "fecha_iso", "precio_num"), folder, mode)
+    return layouts.listing_page(df.sparkSession, folder, 500, mode=mode)
+
+
+on_listing("nearest_in_zones", _NEAREST)(_in_zones)
+for _mode in ("fecha", "precio_desc"):
+    on_listing(f"deep_page_{_mode}", f"SELECT id, fecha_iso, precio_num FROM listing ORDER BY {_ORDERS[_mode]}, id LIMIT 18 OFFSET {499 * 18}")(
+        lambda df, m=_mode: _deep_page(df, m))
+
 on_listing("top_n", f"SELECT id, nombre {FROM} ORDER BY fecha_iso, id LIMIT 50")(
     lambda df: sv.feed_rows(df, AS_OF).orderBy("fecha_iso", "id").limit(50).select("id", "nombre"))
 
