@@ -34,14 +34,8 @@ STYLES = {"1-URGENT": "Música", "2-HIGH": "Teatro", "3-MEDIUM": "Cine", "5-LOW"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, read as it is.
-
-    ``listingflow.spread`` in the session's configuration is for small single-file inputs on
-    one machine: their one split is then dealt out to so many tasks.  Nothing sets it on a cluster.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    spread = spark.conf.get("listingflow.spread", None)
-    return df.repartition(int(spread)) if spread else df
+    """A given table, read as it is."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def case(key: Column, mapping: dict) -> Column:

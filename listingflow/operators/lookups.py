@@ -20,7 +20,7 @@ from ..functions.text import fold, let, strip, strip_ai_tags
 from ..session import no_match_key, settle
 from .survivors import keep_best
 
-KEYWORD_BLOCK = 16_000_000
+KEYWORD_BLOCK = 4_000_000  # about 250 MB a worker
 
 def _entries(rows: Sequence[Sequence], names: Sequence[str]) -> Column:
     return F.array(*[
