@@ -11,6 +11,7 @@ from ..operators import aggregates, lookups, quality, sets, survivors, upsert
 from ..schema import LISTING_SCHEMA, backfill, conform
 from ..session import checkpoint_dir, settle
 from ..streaming import bucketed
+from ..streaming.seen_runs import missed_runs
 from ..streaming.upsert_stream import read_target, upsert_stream
 from . import sqltext as s
 from .registry import on_listing, query
@@ -356,6 +357,22 @@ def _(spark, sf):
     return spark.table(name).select("hash_id", "month", "precio_num", "organiza", "estado")
 
 
+@query("missed_runs", f"""WITH {ORDERS_SQL}, seen AS (SELECT DISTINCT o_custkey AS k, year(day) * 12 + month(day) AS run FROM ord),
+next AS (SELECT k, run, lead(run) OVER (PARTITION BY k ORDER BY run) AS after, (SELECT max(run) FROM seen) AS latest FROM seen)
+SELECT CAST(k AS VARCHAR) AS key, CAST(run AS BIGINT) AS last_run, CAST(run + 6 AS BIGINT) AS missed_run FROM next
+WHERE coalesce(after - run > 6, run + 6 <= latest)""")
+def _(spark, sf):
+    # Customers as keys, months as runs; the months come in as two batches of one stream.
+    folder = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    seen = settle(orders(spark, sf).select(F.col("o_custkey").alias("key"), (F.year("day") * 12 + F.month("day")).cast("long").alias("run")))
+    middle = seen.agg(F.percentile_approx("run", 0.5)).first()[0]
+    for part in (F.col("run") <= middle, F.col("run") > middle):
+        seen.filter(part).write.mode("append").parquet(f"{folder}/in")
+        stream = missed_runs(spark.readStream.schema(seen.schema).parquet(f"{folder}/in"), 6).writeStream.format("parquet")
+        stream.option("checkpointLocation", f"{folder}/progress").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 on_listing("mark_past", f"SELECT id, CASE WHEN fecha_iso < {AS_OF_SQL} THEN 'past' ELSE estado END AS estado FROM listing")(
     lambda df: upsert.mark_past(df, today()).select("id", "estado"))
 on_listing("replace_future", f"SELECT id, fecha_iso FROM listing WHERE fecha_iso < {AS_OF_SQL} OR fecha_iso IS NULL UNION ALL SELECT id, CAST(fecha_iso + 1 AS DATE) FROM listing WHERE fecha_iso >= {AS_OF_SQL}")(
