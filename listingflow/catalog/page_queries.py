@@ -9,7 +9,7 @@ from ..operators.resolve import first_new_text
 from ..sources import elements, pages
 from . import sqltext as s
 from .registry import query
-from .tables import AS_OF, listing, table
+from .tables import AS_OF, dealt, listing, table
 
 LIT = F.lit
 _BARE = r"regexp_replace(regexp_replace(html, '(?is)(<(?:script|style)\b[^>]*>).*?(</(?:script|style)>)', '\1\2', 'g'), '(?s)<!--.*?-->', '', 'g')"
@@ -33,13 +33,18 @@ def _(spark, sf):
     return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-def made(spark, sf, url, html: str):
-    """Pages of one piece of mark-up per listing, ``{k}`` its id."""
-    rows = listing(spark, sf).select(F.col("id").alias("page_id"))
+def _of_id(html: str):
+    """Mark-up with ``{k}`` as the id."""
     k = F.col("page_id").cast("string")
-    parts = html.split("{k}")
-    mark_up = F.concat(*[x for p in parts for x in (LIT(p), k)][:-1])
-    return rows.select("page_id", (url if url is not None else F.concat(LIT("https://site.example/"), k)).alias("url"), mark_up.alias("html"))
+    return F.concat(*[x for p in html.split("{k}") for x in (LIT(p), k)][:-1])
+
+
+def _by_kind(spark, sf, url, kinds):
+    """Pages of one piece of mark-up per listing, the kinds in turn."""
+    rows = dealt(listing(spark, sf).select("id")).select(F.col("id").alias("page_id"))
+    html = F.element_at(F.array(*map(_of_id, kinds)), (F.col("page_id") % len(kinds) + 1).cast("int"))
+    own = F.concat(LIT("https://site.example/"), F.col("page_id").cast("string"))
+    return rows.select("page_id", (own if url is None else url).alias("url"), html.alias("html"))
 
 
 _NESTED = """<div><ul><li class=outer><h2>Gira <a href='/a/{k}?ref=1'>Acto {k}</a></h2><span class="big price">{k} €</span>
@@ -52,7 +57,7 @@ SELECT o_orderkey AS page_id, CAST(0 AS BIGINT) AS pos, 'Acto ' || o_orderkey AS
 UNION ALL SELECT o_orderkey, 1, 'Pase ' || o_orderkey, 'https://other.example/b/' || o_orderkey, 'desde 3 €' FROM orders
 UNION ALL SELECT o_orderkey, 2, 'Fila ' || o_orderkey, 'https://site.example/c/' || o_orderkey, NULL FROM orders""")
 def _(spark, sf):
-    cards = pages.extract_cards(made(spark, sf, None, _NESTED), "entradas_com")
+    cards = pages.extract_cards(_by_kind(spark, sf, None, [_NESTED]), "entradas_com")
     return cards.select("page_id", F.col("pos").cast("long").alias("pos"), "title", "url", "price_text")
 
 
@@ -68,14 +73,6 @@ _SAID = """CASE o_orderkey % 4 WHEN 0 THEN 'Primera parte del acto ' || o_orderk
   ELSE 'Dentro del contenido del acto ' || o_orderkey || ' hay texto' || chr(10) || 'y un segundo párrafo ' || o_orderkey END"""
 
 
-def _by_kind(spark, sf, url, kinds):
-    frames = [made(spark, sf, url, html).filter(F.col("page_id") % len(kinds) == i) for i, html in enumerate(kinds)]
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 @query("container_texts", f"SELECT o_orderkey AS page_id, {_SAID} AS descripcion FROM orders")
 def _(spark, sf):
     return pages.extract_paragraphs(_by_kind(spark, sf, None, _TEXTS)).select("page_id", "descripcion")
