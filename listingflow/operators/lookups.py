@@ -184,14 +184,15 @@ def classify_by_table(df: DataFrame, keywords: DataFrame, *, block_chars: int =
     firsts = words.groupBy("category").agg(F.min("ord").alias("first"))
     # The name of a category begins with its place in the order, so that ties can be told from the name alone.
     name = F.concat(F.lpad(F.col("first").cast("string"), 10, "0"), "category")
-    words = settle(words.join(firsts, "category").select("keyword", name.alias("name")))
+    # A keyword repeated in a category is one row with its count, so a hit costs one step per category.
+    words = settle(words.join(firsts, "category").groupBy("keyword", name.alias("name")).agg(F.count(F.lit(1)).alias("uses")))
     blocks = int((words.agg(F.sum(F.length("keyword"))).first()[0] or 0) // block_chars) + 1
     title = F.lower(F.coalesce("nombre", F.lit("")))
     text = F.lower(F.concat_ws(" ", "nombre", "descripcion"))
     points, out = F.lit(None).cast("map<string,int>"), df
     for block in range(blocks):
         mine = words if blocks == 1 else words.filter(F.pmod(F.xxhash64("keyword"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in mine.select("keyword", "name").collect()])
+        shared = spark.sparkContext.broadcast([tuple(r) for r in mine.select("keyword", "name", "uses").collect()])
         out = out.withColumn("_points", _keyword_points(shared)(title, text, points))
         points = F.col("_points")
         if block < blocks - 1:
@@ -211,8 +212,8 @@ def _keyword_points(shared):
 
         if not held:
             uses: dict = {}
-            for keyword, name in shared.value:
-                uses.setdefault(keyword, []).append(name)
+            for keyword, name, n in shared.value:
+                uses.setdefault(keyword, []).append((name, n))
             automaton = ahocorasick.Automaton()
             for keyword, names in uses.items():
                 automaton.add_word(keyword, (keyword, names))
@@ -224,8 +225,9 @@ def _keyword_points(shared):
             if automaton is not None:
                 found = {keyword: names for _, (keyword, names) in automaton.iter(text)}
                 for keyword, names in found.items():
-                    for name in names:
-                        points[name] = points.get(name, 0) + (3 if keyword in title else 1)
+                    weight = 3 if keyword in title else 1
+                    for name, n in names:
+                        points[name] = points.get(name, 0) + weight * n
             out.append(points)
         return pd.Series(out)
 
