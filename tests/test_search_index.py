@@ -7,3 +7,11 @@ def test_index_keeps_words_of_texts(spark):
     df = spark.createDataFrame([(1, "Nosotros durante la gala", None)], "id long, a string, b string")
     rows = {r.token: (r.n, r.weight) for r in serving.search_index(df, key="id", fields={"a": "A", "b": "C"}).collect()}
     assert rows == {w: (1, 1.0) for w in ("nosotros", "durante", "gala")}
+
+
+def test_first_new_text_sends_no_table_to_the_driver(spark):
+    rows = [("a", 1, 0, "x"), ("a", 2, 0, "x"), ("a", 2, 1, "y"), ("a", 3, 0, "y"), ("a", 3, 1, "x"), ("b", 4, 0, "x")]
+    df = resolve.first_new_text(
+        spark.createDataFrame(rows, "run string, id long, ord int, t string"), run="run", order=["id"], place="ord", text="t")
+    assert {(r.id, r.t) for r in df.collect()} == {(1, "x"), (2, "y"), (4, "x")}
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
