@@ -1,6 +1,8 @@
 """The index keeps the words that only a query leaves out; texts are chosen without broadcasts."""
 
-from listingflow.operators import resolve, serving
+from pyspark.sql import functions as F
+
+from listingflow.operators import postings, resolve, serving
 
 
 def test_index_keeps_words_of_texts(spark):
@@ -15,3 +17,16 @@ def test_first_new_text_sends_no_table_to_the_driver(spark):
         spark.createDataFrame(rows, "run string, id long, ord int, t string"), run="run", order=["id"], place="ord", text="t")
     assert {(r.id, r.t) for r in df.collect()} == {(1, "x"), (2, "y"), (4, "x")}
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trigrams_lower_a_text_once(spark):
+    df = spark.createDataFrame([(1, "AbcÑ b"), (2, "ab"), (3, None), (4, "aaaa"), (5, "abc")], "id long, t string")
+    out = df.select("id", postings.trigrams(F.col("t")).alias("g"))
+    assert {r.id: list(r.g) for r in out.collect()} == {1: ["abc", "bcñ", "cñ ", "ñ b"], 2: [], 3: [], 4: ["aaa"], 5: ["abc"]}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_keys_are_counted_before_the_terms(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"title {i}", "x") for i in range(50)], "id long, t string, p string")
+    rows = df.select("id", F.explode(postings.trigrams(F.col("t"))).alias("term"), F.lit(1.0).alias("weight"))
+    assert postings.write_postings(rows, str(tmp_path / "a"), key="id", block_keys=10, keyed=df) == postings.write_postings(rows, str(tmp_path / "b"), key="id", block_keys=10)
