@@ -46,7 +46,7 @@ def upsert_batch(
     merged = settle(merged.withColumn("bucket", F.substring("hash_id", 1, digits)))
     # Rebalanced by bucket: a bucket beyond the advisory partition size is split into several files.
     (merged.hint("rebalance", "bucket").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path))
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, *, order: str = "last_seen_at",

@@ -1,8 +1,9 @@
-"""The index keeps the words that only a query leaves out; texts are chosen without broadcasts."""
+"""What an index keeps and costs, texts chosen without broadcasts, settled copies."""
 
 from pyspark.sql import functions as F
 
 from listingflow.operators import postings, resolve, serving
+from listingflow.session import settle
 
 
 def test_index_keeps_words_of_texts(spark):
@@ -30,3 +31,7 @@ def test_keys_are_counted_before_the_terms(spark, tmp_path):
     df = spark.createDataFrame([(i, f"title {i}", "x") for i in range(50)], "id long, t string, p string")
     rows = df.select("id", F.explode(postings.trigrams(F.col("t"))).alias("term"), F.lit(1.0).alias("weight"))
     assert postings.write_postings(rows, str(tmp_path / "a"), key="id", block_keys=10, keyed=df) == postings.write_postings(rows, str(tmp_path / "b"), key="id", block_keys=10)
+
+
+def test_settled_copies_are_compressed_hard(spark):
+    assert all(f.endswith(".zstd.parquet") for f in settle(spark.range(10)).inputFiles())
