@@ -1,68 +1,21 @@
 """Listings that a source has stopped delivering, counted in runs of the source.
 
-A stream of (key, run) rows keeps one number per key, the last run that had it, in keyed state.
-The run number is the event time, so the watermark is the latest run that is complete, and a
-timer at ``last + runs`` fires when so many runs have gone by without the key.  Keys that come back
-earlier move their timer; nothing is scanned for keys that are not there.
+A stream of (key, run) rows keeps one session per key, which reaches from its first run to ``runs``
+runs after its last, in keyed state.  The run number is the event time, so the watermark is the
+latest run that is complete; a run inside the session extends it, and a session whose end the
+watermark has reached is a key that so many runs went by without.  All of it are Spark's own
+session windows: rows and state stay in the JVM, and no key costs a call to a Python worker.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-# The processor travels with the tasks, so executors need not have this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LAST = StructType([StructField("run", LongType())])
-MISSED = StructType([StructField("key", StringType()), StructField("last_run", LongType()), StructField("missed_run", LongType())])
-
-
-class RunCounter(StatefulProcessor):
-    """Says (key, last run, run by which it was missed) once for every gap of ``runs`` runs."""
-
-    def __init__(self, runs: int):
-        self.runs = runs
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", LAST)
-
-    def missed(self, key, last: int) -> Row:
-        return Row(key=key[0], last_run=last, missed_run=last + self.runs)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.last.get()[0] if self.last.exists() else None
-        last = before
-        for run in sorted({r["run"] for r in rows}):
-            if last is not None and run <= last:
-                continue  # a run that came late
-            if last is not None and run - last > self.runs:
-                yield self.missed(key, last)
-            last = run
-        if last != before:
-            if before is not None:
-                self.handle.deleteTimer((before + self.runs) * 1000)
-            self.last.update((last,))
-            self.handle.registerTimer((last + self.runs) * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.last.exists():
-            yield self.missed(key, self.last.get()[0])
-            self.last.clear()
-
-    def close(self) -> None:
-        pass
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Keyed state with timers needs the RocksDB store; set before a query starts."""
+    """Sessions of many keys outgrow the heap, the RocksDB store does not; set before a query starts."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
@@ -70,11 +23,13 @@ def missed_runs(seen: DataFrame, runs: int) -> DataFrame:
     """(key, last_run, missed_run) for every key of the stream ``seen`` (key, run) that ``runs`` runs on end did not have.
 
     A key counts as gone after that and as new when it comes back.  Repeated rows count once,
-    rows with a null key or run not at all.
+    rows with a null key or run not at all.  ``runs`` is 1 or more.
     """
     use_state_store(seen.sparkSession)
     timed = seen.filter(F.col("key").isNotNull() & F.col("run").isNotNull()).select(
-        F.col("key").cast("string").alias("key"), F.col("run").cast("long").alias("run")
-    ).withColumn("time", F.timestamp_seconds("run")).withWatermark("time", "0 seconds")
-    return timed.groupBy("key").transformWithState(
-        statefulProcessor=RunCounter(runs), outputStructType=MISSED, outputMode="Append", timeMode="EventTime")
+        F.col("key").cast("string").alias("key"), F.timestamp_seconds(F.col("run").cast("long")).alias("time")
+    ).withWatermark("time", "0 seconds")
+    # A run that starts where the session ends still extends it; the session is over once the watermark is there.
+    sessions = timed.groupBy("key", F.session_window("time", f"{runs} seconds").alias("session")).agg(F.count(F.lit(1)).alias("n"))
+    end = F.unix_seconds("session.end")
+    return sessions.select("key", (end - runs).alias("last_run"), end.alias("missed_run"))
