@@ -15,7 +15,6 @@ from ..operators import quality, resolve, survivors
 from ..operators.aggregates import clean_counters
 from ..operators.lookups import attach_sources
 from ..plans import refine
-from ..session import settle
 from . import sqltext as s
 from .registry import on_listing, query
 from .relational_queries import GATE_ROWS, PREPARED, SANITIZED, gate_values, sanitized
@@ -135,17 +134,12 @@ UNION ALL SELECT id, nombre, length(descripcion), imagen_url FROM listing WHERE
 on_listing("clean_counters", """SELECT (SELECT count(*) FROM (SELECT cluster FROM placed GROUP BY cluster HAVING count(*) > 1)) AS grupos_con_copias,
   (SELECT count(*) - count(DISTINCT cluster) FROM placed) AS duplicados_eliminados,
   count(*) FILTER (WHERE size IS DISTINCT FROM length(descripcion) OR fused.imagen_url IS DISTINCT FROM placed.imagen_url) AS maestros_enriquecidos
-FROM placed JOIN fused USING (cluster) WHERE r = 1""", _TABLE_CLUSTERS + _CLEAN)(lambda df: _cleaned(resolve.table_clusters(df)))
+FROM placed JOIN fused USING (cluster) WHERE r = 1""", _TABLE_CLUSTERS + _CLEAN)(lambda df: clean_counters(resolve.table_masters(df)))
 on_listing("refine", """SELECT id, nombre, lugar, fecha_iso, hora, precio_num, estilo, organiza, latitud, longitud, merged_from_sources
 FROM kept""", f"{PREPARED}, {_clusters(sanitized('located'))}, {_KEPT}")(lambda df: refine.refine(df, AS_OF).select(
     "id", "nombre", "lugar", "fecha_iso", "hora", "precio_num", "estilo", "organiza", "latitud", "longitud", "merged_from_sources"))
 
 
-def _cleaned(clustered):
-    clustered = settle(clustered.select("cluster", "id", "nombre", "lugar", "fecha_iso", "hora", "organiza", "descripcion", "imagen_url"))
-    return clean_counters(clustered, resolve.merge_clusters(clustered))
-
-
 def _subgroups(clustered):
     rows = clustered.select("cluster", survivors.survivor_rank().alias("rank"), resolve.session_minute().alias("minute"))
     return resolve.hour_subgroups(rows).select("cluster", F.col("rank.id").alias("id"), "sub")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -12,11 +13,14 @@ from .text import any_contains, count_contains, fold, let, strip
 
 def is_generic_title(title: Column, phrases: Sequence[str] = v.GENERIC_TITLE_PHRASES,
                      words: Sequence[str] = v.CATEGORY_WORDS) -> Column:
-    """A portal phrase or a bare category word instead of an event title."""
-    return let(
-        strip(F.lower(F.coalesce(title, F.lit("")))),
-        lambda low: (F.length(low) < 3) | low.isin(*words) | any_contains(low, phrases),
-    )
+    """A portal phrase or a bare category word instead of an event title.
+
+    One pattern, so the title is computed and walked once: between white space under three characters
+    or a category word and nothing else, or anywhere a phrase (those that contain another one add nothing).
+    """
+    whole = "|".join([".{0,2}", *map(re.escape, words)])
+    parts = [re.escape(p) for p in phrases if not any(o != p and o in p for o in phrases)]
+    return F.lower(F.coalesce(title, F.lit(""))).rlike("|".join([rf"(?Us)\A\s*(?:{whole})\s*\z", *parts]))
 
 
 def is_boilerplate(text: Column, phrases: Sequence[str] = v.BOILERPLATE_PHRASES) -> Column:

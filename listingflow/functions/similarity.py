@@ -200,3 +200,14 @@ def follow_leaders(titles, leaders: Leaders) -> list[str]:
         else:
             out.append(leaders.names[i])
     return out
+
+
+def follow_few(titles, score, threshold: float) -> list[str]:
+    """The same pass for a handful of titles: ``score`` of each pair, without an index over the leaders."""
+    leaders, out = [], []
+    for name in titles:
+        found = next((x for x in leaders if score(x, name) >= threshold), None)
+        if found is None:
+            leaders.append(name)
+        out.append(name if found is None else found)
+    return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from listingflow.functions.similarity import title_score
 from listingflow.functions.text import canonical_title
 from listingflow.operators import resolve
+from listingflow.operators.aggregates import clean_counters
 from listingflow.plans.refine import resolve as resolve_plan
 
 SCHEMA = ("id long, nombre string, lugar string, fecha_iso date, hora string, organiza string, url_venta string, "
@@ -208,6 +209,24 @@ def test_clean_table_equals_sequential_pass(spark, seed):
     assert got == slow_clean(rows)
 
 
+def test_texts_stay_out_of_the_clusters(spark, monkeypatch):
+    """What is written between the steps holds sizes, not descriptions; the counters agree with the cleaned rows."""
+    written = []
+    monkeypatch.setattr(resolve, "settle", lambda df, keep=resolve.settle: written.append(df.schema.simpleString()) or keep(df))
+    rows = make(14, 200, days=1, titles=8) + [(None, "rock noche live", "Telde", None, "", "Otra", "u", "z" * 900, None, None)]
+    rows += [(1000, "rock noche live", "Telde", None, "", "Tickety", "u", "y" * 10, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cleaned = {r.id: (r.descripcion, r.imagen_url) for r in resolve.clean_table(df).filter("id IS NOT NULL").collect()}
+    assert written and not any("descripcion" in columns for columns in written)
+    assert cleaned.pop(1000) == ("z" * 900, None)
+    want = slow_clean(rows[:-2])
+    assert cleaned == want
+    old = {r[0]: (r[7], r[8]) for r in rows}
+    counters = clean_counters(resolve.table_masters(df.filter("id < 1000"))).first()
+    assert counters.duplicados_eliminados == 200 - len(want)
+    assert counters.maestros_enriquecidos == sum(old[k] != x for k, x in want.items())
+
+
 def test_large_table_blocks_use_rounds(spark):
     rows = make(13, 150, days=1, titles=10)
     df = spark.createDataFrame(rows, SCHEMA)

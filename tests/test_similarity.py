@@ -80,3 +80,12 @@ def test_answer_does_not_depend_on_the_number_of_leaders():
             leaders = sim.Leaders(threshold, use_ratio)
             leaders.add(a)
             assert (leaders.first(b) == 0) == (sim.title_score(b, a, use_ratio) >= threshold), (a, b)
+
+
+def test_few_titles_follow_the_same_leaders():
+    rng = random.Random(5)
+    for threshold, use_ratio in ((90, False), (82, True)):
+        score = sim.cached_score(use_ratio)
+        for _ in range(300):
+            titles = list(dict.fromkeys(" ".join(rng.choice(["rock", "rockk", "jazz", "luna", "lunas"]) for _ in range(rng.randint(0, 4))) for _ in range(9)))
+            assert sim.follow_few(titles, score, threshold) == sim.follow_leaders(titles, sim.Leaders(threshold, use_ratio))
