@@ -278,6 +278,20 @@ def distinct_fingerprints(rows: DataFrame, *extra: Column) -> DataFrame:
     return rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *extra)
 
 
+def hamming_edges(unique: DataFrame, *, radius: int = 2, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(u, v) edges that span the groups of the 64-bit fingerprints ``unique`` (fp, n_shingles), written, that link within ``radius`` bits.
+
+    ``sample`` fingerprints shape the routing tree; all are routed and compared, exactly.
+    """
+    slack = -(-radius // 2)
+    n = unique.count()
+    picked = unique.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").collect()
+    x = np.frombuffer(b"".join(bytes(r["fp"]) for r in picked), ">u8").reshape(-1, 1).astype(np.uint64)
+    leaf = max(16, int(len(x) * shard_rows / max(n, 1)))
+    routed = route(unique, grow_tree(x, slack, leaf), 1, slack)
+    return stars(routed, 1, lambda d, a, b: d <= radius, slack, parts=4 * n // shard_rows)
+
+
 def hamming_groups(
     docs: DataFrame, *, shingle: int = 3, radius: int = 2, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
@@ -287,14 +301,7 @@ def hamming_groups(
     Repeated rows and rows with a null doc_id stay (a component of null ids alone has none);
     other columns are ignored; an empty table gives an empty result.
     """
-    slack = -(-radius // 2)
     rows = settle(fingerprints(docs, shingle=shingle).select("doc_id", "fp"))
     unique = settle(distinct_fingerprints(rows).withColumn("n_shingles", F.lit(0).cast("long")))
-    n = unique.count()
-    picked = unique.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").collect()
-    x = np.frombuffer(b"".join(bytes(r["fp"]) for r in picked), ">u8").reshape(-1, 1).astype(np.uint64)
-    leaf = max(16, int(len(x) * shard_rows / max(n, 1)))
-    tree = grow_tree(x, slack, leaf)
-    routed = route(unique, tree, 1, slack)
-    edges = stars(routed, 1, lambda d, a, b: d <= radius, slack, parts=4 * n // shard_rows)
+    edges = hamming_edges(unique, radius=radius, sample=sample, shard_rows=shard_rows)
     return with_components(rows, unique, edges).select("doc_id", "fp", "component_id")

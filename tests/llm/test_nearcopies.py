@@ -89,3 +89,29 @@ def test_first_of_each_group_stays(spark):
     kept = nearcopies.keep_first_of_groups(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)
+
+
+def test_tree_settles_what_it_finds(spark, monkeypatch):
+    """Near copies within two bits become classes in the routing tree; the anchors' shards look at other classes only."""
+    rng, rows = random.Random(3), []
+    for _ in range(4):
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(1500)]
+        rows += [" ".join(base[:-1] + [f"end{k}"]) for k in range(8)]
+    rows += [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(300)) for _ in range(10)]
+    routed, marked = [], []
+    monkeypatch.setattr(nearcopies, "hamming_edges", lambda unique, keep=nearcopies.hamming_edges, **o: routed.append(unique.count()) or keep(unique, **o))
+    monkeypatch.setattr(nearcopies, "touched", lambda dealt, *a, keep=nearcopies.touched: marked.append(keep(dealt, *a)) or marked[-1])
+    check(spark, list(enumerate(rows)))
+    assert routed == [len({nearcopies.fingerprint(nearcopies.np.unique(shingle_hashes(t.encode(), 5))) for t in rows})]
+    assert marked[0].count() == 0
+
+
+def test_links_from_class_to_class(spark):
+    """A class of close copies whose members alone link to another class, through shards in slices as well."""
+    rng, rows = random.Random(4), []
+    for edits in (6, 8, 9, 12):
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(404)]
+        other = edited(rng, base, edits)
+        rows += [" ".join(base)] + [" ".join(other[:-1] + [f"end{k}"]) for k in range(6)] + [" ".join(edited(rng, other, edits))]
+    check(spark, list(enumerate(rows)))
+    check(spark, list(enumerate(rows)), block=3)
