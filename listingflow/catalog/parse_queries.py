@@ -303,8 +303,8 @@ def _(spark, sf):
     field = F.element_at(F.array(*[LIT(x) for x in ("precio_num", "fecha_iso", "hora", "lugar")]), (m + 1).cast("int"))
     cand = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("page_id"), field.alias("field"), (F.col("l_suppkey") % 4 + 1).alias("layer"),
-        F.col("l_partkey").alias("ord"), value.alias("value"))
-    return facts.layered_facts(cand)
+        F.col("l_partkey").alias("ord"), value.alias("value"), F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    return facts.layered_facts(cand, ties=["file_path", "row_index"])  # the first in the table, as the SQL has it
 
 
 @on_listing("card_detail_merge", f"""
