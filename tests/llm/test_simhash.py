@@ -94,3 +94,22 @@ def test_odd_inputs(spark):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.hamming_groups(docs).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (None, 6), (7, 7)}
     assert simhash.hamming_groups(docs.filter("false")).collect() == []
+
+
+def test_fingerprints_of_many_sets_are_those_of_each():
+    draw = np.random.default_rng(2)
+    sets = [draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) for n in (0, 1, 2, 5, 0, simhash.PIECE - 8, simhash.PIECE, 3 * simhash.PIECE + 7, 1, 0)]
+    fps, mins = simhash.fingerprints_of(sets, 2, 3)
+    for h, fp, least in zip(sets, fps, mins):
+        mixed = [[int(x) for x in simhash.remix(h, i)] for i in (0, 1, 100, 101, 102)]
+        bits = [[2 * sum(x >> 63 - b & 1 for x in one) > len(one) for b in range(64)] for one in mixed[:2]]
+        assert fp == np.packbits(bits).tobytes()
+        assert least == [int(np.uint64(min(one)).astype(np.int64)) for one in mixed[2:] if one]
+
+
+def test_a_split_measures_its_vantages_at_once(monkeypatch):
+    x = np.random.default_rng(3).integers(0, 1 << 63, 4000, dtype=np.uint64).reshape(-1, 1)
+    calls, real = [], simhash.distances
+    monkeypatch.setattr(simhash, "distances", lambda a, b: calls.append(1) or real(a, b))
+    v, m, work = simhash.split_at(x, 1)
+    assert len(calls) == 1 and work < 0.9 and (real(x, v) <= m).mean() > 0.2
