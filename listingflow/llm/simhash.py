@@ -29,7 +29,7 @@ from .common import ship, to_batch
 ship(__name__)
 
 SEED, SAMPLE, SHARD_ROWS, LEAF = 42, 8192, 20_000, 128
-FLUSH, PIECE, DOCS = 1 << 20, 1 << 14, 256
+FLUSH, PIECE, DOCS = 1 << 20, 1 << 12, 256
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)  # constants of the splitmix64 generator
 
 
@@ -65,26 +65,25 @@ def fingerprints_of(sets: Sequence[np.ndarray], words: int = 1, anchors: int = 0
     """Fingerprint and least derived hashes of each set of hashes.
 
     A fingerprint is big-endian words whose bits are 1 if set in over half of the hashes; zero for
-    none.  A set has ``anchors`` least hashes, none if it is empty.  All sets are counted together,
+    none.  A set has ``anchors`` least hashes, none if it is empty.  All sets are taken together,
     in pieces that fit the cache.
     """
     full = np.flatnonzero([len(h) for h in sets])
     sizes = np.array([len(sets[k]) for k in full], np.int64)
     ends = np.cumsum(sizes)
     flat = np.concatenate([sets[k] for k in full]) if len(full) else np.zeros(0, np.uint64)
-    count = np.zeros((len(full), words, 64), np.int64)
+    count = np.zeros((len(full), words * 64), np.int64)
     least = np.full((len(full), anchors), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(flat), PIECE):
         piece = flat[at : at + PIECE]
-        own = slice(np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + len(piece), "left") + 1)
+        own = range(np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + len(piece), "left") + 1)
         starts = np.maximum(ends[own] - sizes[own] - at, 0)
-        for i in range(words):
-            h = remix(piece, i)
-            for bit in range(64):
-                count[own, i, bit] += np.add.reduceat((h >> np.uint64(63 - bit)) & np.uint64(1), starts).astype(np.int64)
+        bits = np.unpackbits(np.stack([remix(piece, i) for i in range(words)], axis=1).astype(">u8").view(np.uint8), axis=1)
+        for k, a, b in zip(own, starts.tolist(), [*starts[1:].tolist(), len(piece)]):
+            count[k] += bits[a:b].sum(axis=0, dtype=np.uint16)  # a piece has fewer rows than that holds
         for i in range(anchors):
             least[own, i] = np.minimum(least[own, i], np.minimum.reduceat(remix(piece, 100 + i), starts))
-    ones = np.packbits((count * 2 > sizes[:, None, None]).reshape(len(full), words * 64), axis=1)
+    ones = np.packbits(count * 2 > sizes[:, None], axis=1)
     found, mins = [bytes(8 * words)] * len(sets), [[] for _ in sets]
     for k, fp, some in zip(full.tolist(), ones, least.astype(np.int64).tolist()):
         found[k], mins[k] = fp.tobytes(), some
@@ -119,10 +118,11 @@ def fingerprints(
 
 # ------------------------------------------------------------------ inside one task
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hamming distances of rows of words, broadcast."""
-    if x.shape[-1] == 1:
-        return np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16)
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
+    """Hamming distances of rows of words, broadcast; added word by word, which needs no sum over a short axis."""
+    total = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16)
+    for w in range(1, x.shape[-1]):
+        total += np.bitwise_count(x[..., w] ^ y[..., w])
+    return total
 
 
 def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

@@ -115,3 +115,21 @@ def test_links_from_class_to_class(spark):
         rows += [" ".join(base)] + [" ".join(other[:-1] + [f"end{k}"]) for k in range(6)] + [" ".join(edited(rng, other, edits))]
     check(spark, list(enumerate(rows)))
     check(spark, list(enumerate(rows)), block=3)
+
+
+def test_sets_of_a_batch_are_counted_together(spark, monkeypatch):
+    made, real = [], nearcopies.fingerprints_of
+    monkeypatch.setattr(nearcopies, "fingerprints_of", lambda sets, *more: made.append(len(sets)) or real(sets, *more))
+    schema = nearcopies.pa.schema([("doc_id", nearcopies.pa.int64()), ("mark", nearcopies.pa.int64()), ("text", nearcopies.pa.string())])
+    batch = nearcopies.to_batch([(i, i, f"a b c d e f{i}") for i in range(100)], schema)
+    run = []
+
+    class Docs:  # hands the batch to the function of the tasks
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, compute, ddl):
+            run.extend(compute(iter([batch])))
+
+    nearcopies.nodes_of(Docs(), 5, 8)
+    assert made == [100] and sum(b.num_rows for b in run) == 100
